@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, token_count, url_filter
+from quire.llm import chat_format, decontam, line_dedup, mixing, token_count, url_filter
 from quire.sources.tables import table
 
 #: The rules of the URL query, a fixed value: host, path, verdict.
@@ -18,11 +18,19 @@ URL_RULES = [
 ]
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,10 +44,18 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chat(turns.unionByName(extra)))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES = {
+    "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
+    "op5_decontaminate": op5_decontaminate,
     "op7_token_count": op7_token_count,
     "op8_chat_format": op8_chat_format,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _OP4_SQL = """
@@ -79,4 +95,99 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op4_url_filter": _OP4_SQL, "op8_chat_format": _OP8_SQL}
+_OP5_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), iw AS (
+  SELECT item_id::VARCHAR AS item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, list_slice(w, s, least(s + 9, len(w))) AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM iw WHERE len(w) > 0)
+), lens AS (
+  SELECT DISTINCT len(g) AS n FROM win
+), dg AS (
+  SELECT rid, s, n, list_slice(w, s, s + n - 1) AS g
+  FROM (SELECT rid, w, n, unnest(range(1, greatest(len(w) - n + 2, 1))) AS s FROM dw, lens)
+), hit AS (
+  SELECT rid, s, n, item_id FROM dg JOIN win USING (g)
+), cov AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS p FROM hit) GROUP BY rid
+), its AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
+
+_OP3_SQL = r"""
+WITH b AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(text) AS chars,
+         (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM documents
+), k AS (
+  SELECT *, CASE WHEN chars BETWEEN size * 3 AND size * 12 THEN u ELSE pow(u, 4.0) END AS v FROM b
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM k GROUP BY source
+), l AS (
+  SELECT *, (3 * source_size)::DOUBLE / weight AS full_at, sum(source_size) OVER () AS total FROM s
+), f AS (
+  SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut,
+         sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM l
+), t AS (
+  SELECT *, (total - cut)::DOUBLE / open_weight AS lam FROM f
+), a AS (
+  SELECT arg_min(lam, full_at) AS lam FROM t WHERE lam <= full_at
+), g AS (
+  SELECT source, source_size, CASE WHEN full_at <= a.lam THEN (3 * source_size)::DOUBLE ELSE a.lam * weight END AS target FROM t, a
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM g
+), p AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY v DESC, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN 2 * seen + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM p
+"""
+
+_OP10_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, hash(text) AS th, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+  SELECT rid, doc_id, th, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d
+), c AS (
+  SELECT rid, doc_id, th, i, line, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS k FROM l WHERE regexp_matches(line, '[^\t\n\x0B\f\r ]')
+), w AS (
+  SELECT rid, doc_id, th, k, [i, lead(i) OVER x, lead(i, 2) OVER x] AS pos3, line AS a, lead(line) OVER x AS b, lead(line, 2) OVER x AS c FROM c
+  WINDOW x AS (PARTITION BY rid ORDER BY k)
+), v AS (
+  SELECT * FROM w WHERE c IS NOT NULL
+), f AS (
+  SELECT a, b, c, min((doc_id IS NULL, doc_id, th, k)) AS first FROM v GROUP BY a, b, c
+), r AS (
+  SELECT DISTINCT rid, unnest(pos3) AS i FROM v JOIN f USING (a, b, c)
+  WHERE (doc_id IS NULL, doc_id, th, k) > first AND NOT (doc_id IS NOT DISTINCT FROM first[2] AND th = first[3] AND k < first[4] + 3)
+), n AS (
+  SELECT rid, count(*) AS n_removed FROM r GROUP BY rid
+), kept AS (
+  SELECT rid, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN r USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       CASE WHEN n_removed > 0 THEN coalesce(kept.text, '') ELSE d.text END AS text
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+ORACLES = {
+    "op3_mix_sources": _OP3_SQL,
+    "op4_url_filter": _OP4_SQL,
+    "op5_decontaminate": _OP5_SQL,
+    "op8_chat_format": _OP8_SQL,
+    "op10_line_dedup": _OP10_SQL,
+}
