@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontam, line_dedup, mixing, token_count, url_filter
+from quire.llm import chat_format, decontam, jaccard, line_dedup, mixing, token_count, url_filter
 from quire.sources.tables import table
 
 #: The rules of the URL query, a fixed value: host, path, verdict.
@@ -44,6 +44,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chat(turns.unionByName(extra)))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op7_token_count": op7_token_count,
     "op8_chat_format": op8_chat_format,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -184,10 +189,33 @@ SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0
 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 """
 
+_OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + least(len(w), 4) - 1) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), r AS (
+  SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), m AS (
+  SELECT x, min(y) AS y FROM r GROUP BY x
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
+"""
+
 ORACLES = {
     "op3_mix_sources": _OP3_SQL,
     "op4_url_filter": _OP4_SQL,
     "op5_decontaminate": _OP5_SQL,
     "op8_chat_format": _OP8_SQL,
+    "op9_jaccard_join": _OP9_SQL,
     "op10_line_dedup": _OP10_SQL,
 }

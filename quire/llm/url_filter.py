@@ -14,54 +14,14 @@ default everywhere; empty pages give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the Bloom filter for each listed key, and the most that the filter may have; beyond it
-#: false positives rise, which the exact join removes, and results stay the same.
-BITS_A_KEY, MOST_BITS = 12, 1 << 28
-#: A block is 8 words of 64 bits; a key sets one bit in each.
-WORDS = 8
+from quire.llm import bloom
+
 #: The rules are broadcast up to this many; beyond it the join is shuffled.
 BROADCAST_RULES = 200_000
-_ODD = np.array([0x47B6137B44974D91, 0x8824AD5BA2B7289D, 0x705495C72DF1424B, 0x9EFC49475C6BFB31,
-                 0xA2B7289D705495C7, 0x2DF1424B9EFC4947, 0x5C6BFB3147B6137B, 0x44974D918824AD5B], dtype=np.uint64)
-
-
-def _places(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block of each hashed key and its eight one-bit masks."""
-    h = keys.astype(np.int64).view(np.uint64)
-    at = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    with np.errstate(over="ignore"):
-        bits = (h[:, None] * _ODD[None, :]) >> np.uint64(58)
-    return at.astype(np.int64), np.uint64(1) << bits
-
-
-def build_bloom(hashes: DataFrame, n: int) -> np.ndarray:
-    """The blocked Bloom filter of the column ``h``: partial filters by partition, merged by block."""
-    blocks = max(1, min(MOST_BITS, max(n, 1) * BITS_A_KEY) // (64 * WORDS))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at, masks = _places(b["h"].to_numpy(), blocks)
-            order = np.argsort(at, kind="stable")
-            at, masks = at[order], masks[order]
-            if len(at):
-                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                merged = np.bitwise_or.reduceat(masks, first, axis=0).view(np.int64)
-                yield pd.DataFrame({"block": at[first]} | {f"w{i}": merged[:, i] for i in range(WORDS)})
-
-    schema = "block long, " + ", ".join(f"w{i} long" for i in range(WORDS))
-    rows = hashes.select("h").mapInPandas(partial, schema).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-    filled = np.zeros((blocks, WORDS), dtype=np.uint64)
-    got = rows.toPandas()  # at most MOST_BITS bits
-    filled[got["block"].to_numpy(dtype=np.int64)] = got[[f"w{i}" for i in range(WORDS)]].to_numpy(dtype=np.int64).view(np.uint64)
-    return filled
-
 
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url; both empty without ``://``."""
@@ -92,13 +52,11 @@ def filter_urls(
     )
     n_rules = listed.count()
     lengths = [r[0] for r in listed.select("n").distinct().orderBy("n").collect()]  # bounded by the longest path
-    bloom = spark.sparkContext.broadcast(build_bloom(listed, n_rules))
+    listed_bits = spark.sparkContext.broadcast(bloom.build(listed, n_rules))
 
     @F.pandas_udf("boolean")
     def possible(h: pd.Series) -> pd.Series:
-        words = bloom.value
-        at, masks = _places(h.to_numpy(), len(words))
-        return pd.Series(((words[at] & masks) == masks).all(axis=1))
+        return pd.Series(bloom.passes(listed_bits.value, h.to_numpy()))
 
     host, path = url_parts(F.col("_url"))
     parts = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url")).select("page_id", host.alias("host"), path.alias("path"))
