@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat_format, decontam, jaccard, line_dedup, mixing, token_count, url_filter
+from quire.llm import chat_format, decontam, jaccard, langid, line_dedup, mixing, quality, token_count, url_filter
 from quire.sources.tables import table
 
 #: The rules of the URL query, a fixed value: host, path, verdict.
@@ -18,6 +18,10 @@ URL_RULES = [
 ]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
@@ -31,6 +35,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_language(table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,9 +62,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_mix_sources": op3_mix_sources,
     "op4_url_filter": op4_url_filter,
     "op5_decontaminate": op5_decontaminate,
+    "op6_langid": op6_langid,
     "op7_token_count": op7_token_count,
     "op8_chat_format": op8_chat_format,
     "op9_jaccard_join": op9_jaccard_join,
