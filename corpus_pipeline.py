@@ -1,8 +1,76 @@
-"""The corpus pipeline (being built)."""
+"""A training corpus from raw documents: five stages over the operators of ``quire.llm``.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared
+scratch folder and reads it back as the next stage's documents. Documents that share an id
+stay or go together; a document of a null id is judged alone.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import decontam, jaccard, line_dedup, mixing, quality
+from quire.plans.scratch import Scratch, free_shuffles
+from quire.sources.tables import table
+
+#: Documents below this quality score go; near copies are those of this similarity on shingles of this many words.
+LEAST_SCORE, SHINGLE, PERCENT = 0.7, 5, 80
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    forest = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.score_column(spark, forest)(F.coalesce(F.col("text"), F.lit(""))) >= LEAST_SCORE)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that later occurrences of a repeated window cover; those of which nothing is left go."""
+    clean = line_dedup.dedup_lines(docs)
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"\S")
+    chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return clean.where(left).withColumn("n_chars", chars).select(docs.columns)
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the least id, of each group of near copies."""
+    found = jaccard.jaccard_components(docs, k=SHINGLE, percent=PERCENT)
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(bad.hint("shuffle_hash"), same, "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mixture of sources takes."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_copies", keep_one_of_copies),
+    ("decontamination", drop_contaminated),
+    ("mix", mix),
+]
+
+#: The first stage is a trained model, which SQL can't express; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
+    docs, held = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        done = Scratch(stage(spark, docs, sf_dir))
+        if held:
+            held.drop()
+        docs, held = done.df, done
+        free_shuffles(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.text import crc_mod
@@ -87,6 +87,8 @@ class Forest:
         return self.base + self.value[trees, at].sum(axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if len(x) > 1000:
+            return np.concatenate([self.score(x[k : k + 1000]) for k in range(0, len(x), 1000)])
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
 
@@ -166,6 +168,17 @@ def score_quality(docs: DataFrame, forest: Forest, doc_id: str = "doc_id", text:
     return rows.mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def score_column(spark: SparkSession, forest: Forest):
+    """The score as a function of a text column, for filters that keep the other columns on the JVM's side."""
+    model = spark.sparkContext.broadcast(forest)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(model.value.score(statistics(pc.cast(text, pa.binary()).to_pylist())), pa.float64())
+
+    return score
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = 12_000, doc_id: str = "doc_id", text: str = "text") -> Forest:
     """A forest from the labels whose fold isn't the held-out one."""
     return fit(*training_rows(docs, labels, crc_mod(F.col("doc_id"), folds) != held_out, sample, doc_id, text))
