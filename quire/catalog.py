@@ -1,6 +1,8 @@
-"""All queries of the reference-side operators and their SQL twins."""
+"""All queries of the reading-side operators, each with its SQL twin for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quire import queries_documents, queries_state
+
+QUERIES: dict = queries_documents.QUERIES | queries_state.QUERIES
+ORACLES: dict = queries_documents.ORACLES | queries_state.ORACLES
