@@ -58,7 +58,8 @@ def setting_value(key: Column, value: Column) -> Column:
     out = value
     for name, (low, high) in P.SETTING_RANGES.items():
         number = value.try_cast("double")
-        out = F.when(key == name, F.floor(clamp(number, low, high) + 0.5).cast("long").cast("string")).otherwise(out)
+        rounded = F.floor(clamp(number, low, high) + 0.5).cast("long").cast("string")
+        out = F.when(key == name, F.when(number.isNotNull(), rounded)).otherwise(out)
     return out
 
 
