@@ -6,14 +6,17 @@ of their sets reaches a threshold, and the operator returns connected components
 1. Equal sets are one class; its least id stands for it.
 2. Index. Sets are dealt into levels by size, so that linked sets meet at one level. The tokens of a
    level are cut into more parts than linked sets can differ in tokens, hence two linked sets agree
-   on a whole part that isn't empty. The hash of a part is a key; no link can be missed,
-   and texts that only share a passage seldom share a key.
-3. Groups. Under each key the least id is the leader. Every set is compared with the leader it shares
-   most keys with, which puts similar documents into one group (a component so far).
-4. Matrix. For keys that still hold several groups, a set asks each other group. A group is
-   stored in chunks of at most ``CHUNK`` members with the union of their tokens; the overlap of the set
-   with that union bounds its overlap with every member, and only chunks whose bound
-   reaches the threshold are opened and compared exactly.
+   on several whole parts that aren't empty. The hash of a part is a key; a set knows how many keys
+   every set linked with it must share, so that no link can be missed, and texts that only share
+   a passage seldom share as many.
+3. Stars. Under each key the least id is the leader. Every set is compared with the leader it shares
+   most keys with; links found make components.
+4. Groups and matrix. Sets with one leader are a family, stored in groups of about ``GROUP`` members.
+   A group's row of the matrix is the union of its members' tokens as ``BITS`` hashed bits. A set
+   asks the groups of its own family, and of families that it shares a key with, unless all is
+   one component there. Bits of the set that are missing from the union bound its overlap with
+   every member from above; only groups whose bound reaches the threshold are opened, and
+   their members compared exactly, inside the row of set and group.
 5. The links of 3 and 4 give the components. Pairs inside a group are never listed.
 
 Similarities are exact on 64-bit shingle hashes. Cases: a text of fewer words than a shingle is one
@@ -37,8 +40,8 @@ from quire.llm.components import connected
 from quire.llm.shingles import Shingler, mix
 from quire.plans.scratch import Scratch, free_shuffles, materialise
 
-#: Members of a group that are stored together; sets that a worker remembers to skip equal ones.
-CHUNK, REMEMBERED = 64, 200_000
+#: Members of a group, bits of a row of the matrix, and sets that a worker remembers to skip equal ones.
+GROUP, BITS, REMEMBERED = 64, 4096, 200_000
 
 
 class Parts:
@@ -53,25 +56,28 @@ class Parts:
         self.differ = [2 * (high - 1) * (100 - percent) // (100 + percent) for high in self.low[1:]]
         self.percent = percent
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
+    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+        """The keys, and how many of them every linked set has too, at least."""
         n = len(tokens)
         level = int(np.searchsorted(self.low_array, n, side="right")) - 1
         levels = [level] + [level + 1] * (n * 100 // self.percent >= self.low[level + 1])
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(mix(tokens ^ np.uint64(0xD6E8FEB86659FD93)), out=sums[1:])
-        out = []
+        out, need = [], []
         for j in levels:
             if not self.differ[j]:
                 continue  # only equal sets link here, and they are one class
-            spare = 2 + self.differ[j] // 32
+            spare = 4 + self.differ[j] // 16
             k = self.differ[j] + 1 + spare
             part = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             cut = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
             key = mix(sums[cut[1:]] - sums[cut[:-1]] + np.uint64(j + 1) * np.uint64(0xA0761D6478BD642F) + np.arange(k, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
             full = cut[1:] > cut[:-1]
-            # Linked sets agree on `spare` + 1 parts, so a set with at most `spare` empty parts can leave them out.
-            out.append(key[full] if k - int(full.sum()) <= spare else key)
-        return np.concatenate(out) if out else tokens[:0]
+            empty = k - int(full.sum())
+            # Linked sets agree on `spare` + 1 parts, of which `empty` at most are empty; a set with no more than `spare` empty parts leaves them out.
+            out.append(key[full] if empty <= spare else key)
+            need.append(max(1, spare + 1 - empty))
+        return (np.concatenate(out), min(need)) if out else (tokens[:0], 1)
 
 
 def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
@@ -98,35 +104,46 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _keys(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """``key, id`` for every index key of every row that isn't equal to one its worker has met."""
+    """``key, id, need`` for every index key of every row that isn't equal to one its worker has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, parts = Shingler(k), Parts(percent)
         met: set[tuple[int, int]] = set()
-        names = ["key", "id"]
+
+        def batch(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+            sizes = [len(k) for k, _, _ in held]
+            ids, needs = (np.repeat(np.array(x, dtype=kind), sizes) for x, kind in (([h[1] for h in held], np.int64), ([h[2] for h in held], np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in held]).view(np.int64)), pa.array(ids), pa.array(needs)], ["key", "id", "need"])
+
         for b in batches:
-            held, ids, n = [], [], 0
+            held, n = [], 0
             for i, s in zip(b.column(0).to_pylist(), shingler.sets(_texts(b, "text")), strict=True):
                 if not len(s) or (h := _set_hash(s)) in met:
                     continue
                 if len(met) < REMEMBERED:
                     met.add(h)
                 with np.errstate(over="ignore"):
-                    keys = parts.keys(s)
-                held.append(keys.view(np.int64))
-                ids.append(np.full(len(keys), i, dtype=np.int64))
+                    keys, need = parts.keys(s)
+                held.append((keys, i, need))
                 n += len(keys)
                 if n >= 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(ids))], names)
-                    held, ids, n = [], [], 0
+                    yield batch(held)
+                    held, n = [], 0
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(ids))], names)
+                yield batch(held)
+
+    return rows.where(F.col("id").isNotNull()).select("id", "text").mapInArrow(run, "key long, id long, need int")
+
 
-    return rows.where(F.col("id").isNotNull()).select("id", "text").mapInArrow(run, "key long, id long")
+def _bits(tokens: np.ndarray) -> np.ndarray:
+    """The set as hashed bits, 64 in a number."""
+    seen = np.zeros(BITS, dtype=np.uint8)
+    seen[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
+    return np.packbits(seen, bitorder="little").view(np.int64)
 
 
 def _tokens(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``id, n, tokens`` of the documents in ``wanted``: a Bloom filter spares the others, an exact join settles it."""
+    """``id, n, tokens, bits`` of the documents in ``wanted``: a Bloom filter spares the others, an exact join settles it."""
     spark = rows.sparkSession
     words = spark.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("id").alias("h")), wanted.count()))
 
@@ -140,9 +157,10 @@ def _tokens(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = list(shingler.sets(_texts(part, "text")))
                 at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), flat).cast(kind)], ["id", "tokens"])
+                bits = pa.array([_bits(x) for x in sets], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), flat).cast(kind), bits], ["id", "tokens", "bits"])
 
-    found = rows.where(F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, "id long, tokens array<long>")
+    found = rows.where(F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, "id long, tokens array<long>, bits array<long>")
     return found.join(wanted, "id", "left_semi").withColumn("n", F.size("tokens"))
 
 
@@ -168,11 +186,11 @@ def jaccard_components(
     # Keys that more than one document has.
     by_key = F.expr("min(id) OVER (PARTITION BY key)"), F.expr("max(id) OVER (PARTITION BY key)")
     shared = Scratch(
-        _keys(rows, k, percent).select("key", "id", by_key[0].alias("leader"), by_key[1].alias("last")).where("leader <> last").drop("last")
+        _keys(rows, k, percent).select("key", "id", "need", by_key[0].alias("leader"), by_key[1].alias("last")).where("leader <> last").drop("last")
     )
     free_shuffles(spark)
     rep = classes.where("n > 0").select("id", "rep", "n")
-    votes = shared.df.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("votes"))
+    votes = shared.df.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("votes"), F.max("need").alias("need")).where("votes >= need")
     pairs = (
         votes.join(rep.select("id", F.col("rep").alias("a"), F.col("n").alias("na")), "id")
         .join(rep.select(F.col("id").alias("leader"), F.col("rep").alias("b"), F.col("n").alias("nb")), "leader")
@@ -181,16 +199,33 @@ def jaccard_components(
     )
     pairs = Scratch(pairs)
     members = Scratch(
-        shared.df.join(rep.select("id", "rep"), "id").select("key", "rep").distinct()
+        shared.df.join(rep.select("id", "rep"), "id").groupBy("key", "rep").agg(F.max("need").alias("need"))
         .withColumn("count", F.expr("count(*) OVER (PARTITION BY key)")).where("count > 1").drop("count")
     )
     shared.drop()
-    wanted = members.df.select(F.col("rep").alias("id")).distinct()
-    tokens = Scratch(_tokens(rows, wanted, k))
+    # Families: sets with one leader (a leader goes with its own).
+    best = pairs.df
+    nodes = members.df.select("rep").distinct().join(rep.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+    nodes = nodes.join(best.select(F.col("a").alias("rep"), F.col("b").alias("up")), "rep", "left").withColumn("up", F.coalesce("up", "rep"))
+    nodes = nodes.join(best.select(F.col("a").alias("up"), F.col("b").alias("top")), "up", "left")
+    nodes = Scratch(nodes.select("rep", "n", F.coalesce("top", "up").alias("fam")))
+    # Sets that share enough keys with another family.
+    of = members.df.join(nodes.df.select("rep", "fam"), "rep")
+    kinds = of.select("key", "fam").distinct()
+    several = kinds.groupBy("key").agg(F.min("fam").alias("x"), F.max("fam").alias("y")).where("x <> y").select("key")
+    across = of.join(kinds.join(several, "key").select("key", F.col("fam").alias("other")), "key").where("other < fam")
+    across = across.groupBy("rep", F.col("other").alias("fam")).agg(F.count("*").alias("keys"), F.max("need").alias("need"))
+    across = Scratch(across.where("keys >= need").select("rep", "fam"))
+    members.drop()
+    families = nodes.df.groupBy("fam").agg(F.count("*").alias("size"))
+    met = families.where("size > 1").select("fam").unionByName(across.df.select("fam")).distinct()
+    wanted = nodes.df.join(met, "fam").select(F.col("rep").alias("id")).unionByName(across.df.select(F.col("rep").alias("id"))).distinct()
+    wanted = Scratch(wanted)
+    tokens = Scratch(_tokens(rows, wanted.df, k))
     free_shuffles(spark)
 
     side = lambda x: tokens.df.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    stars = pairs.df.join(side("a"), "a").join(side("b"), "b").where(_linked(F.col("ta"), F.col("na"), F.col("tb"), F.col("nb"), percent)).select("a", "b")
+    stars = best.join(side("a"), "a").join(side("b"), "b").where(_linked(F.col("ta"), F.col("na"), F.col("tb"), F.col("nb"), percent)).select("a", "b")
     # Rows that share an id but not a set are one document.
     least = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a")
     same = rep.join(least, "id").select("a", F.col("rep").alias("b")).where("a <> b")
@@ -198,37 +233,40 @@ def jaccard_components(
     groups = connected(first.df)
     free_shuffles(spark)
 
-    # The matrix: sets of a key's lesser groups ask the other groups under that key.
-    of = members.df.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("grp"))
-    of = Scratch(of)
-    under = of.df.groupBy("key", "grp").agg(F.count("*").alias("size"))
-    most = under.groupBy("key").agg(F.max_by("grp", F.struct("size", -F.col("grp"))).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-    asked = (
-        of.df.join(most.select("key", "main"), "key").where("grp <> main")
-        .join(under.select("key", F.col("grp").alias("other")), "key")
-        .where("other <> grp AND (other = main OR other < grp)")
-        .select("rep", F.col("other").alias("grp")).distinct()
-    )
-    asked = Scratch(asked)
-    label = of.df.select("rep", "grp").distinct()
-    sized = tokens.df.join(label, tokens.df["id"] == label["rep"]).select("id", "n", "tokens", "grp")
-    open_groups = asked.df.select("grp").distinct()
-    count = label.groupBy("grp").agg(F.count("*").alias("members"))
-    chunked = (
-        sized.join(open_groups.join(count, "grp"), "grp")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / CHUNK)))
-        .groupBy("grp", "chunk")
-        .agg(
-            F.collect_list(F.struct("id", "n", "tokens")).alias("sets"), F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("united"),
-            F.min("n").alias("least"), F.max("n").alias("most"),
+    # The matrix, and the sets that ask its groups.
+    placed = nodes.df.join(wanted.df.select(F.col("id").alias("rep")), "rep", "left_semi").join(families, "fam")
+    placed = placed.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP))
+    placed = Scratch(placed.select("rep", "n", "fam", part.alias("part"), F.coalesce("label", "rep").alias("label")))
+    asking = placed.df.join(tokens.df.select(F.col("id").alias("rep"), "bits"), "rep")
+    unite = F.aggregate(
+        F.collect_list("bits"), F.array_repeat(F.lit(0).cast("long"), BITS // 64), lambda acc, x: F.zip_with(acc, x, lambda p, q: p.bitwiseOR(q))
+    )
+    matrix = Scratch(
+        asking.groupBy("fam", "part").agg(
+            unite.alias("union"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
         )
+    )
+    mixed = matrix.df.groupBy("fam").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("fam")
+    asked = placed.df.join(mixed, "fam").select("rep", "fam").unionByName(across.df)
+    asker = asking.select("rep", "n", "label", F.col("fam").alias("home"), F.col("part").alias("own"), "bits")
+    missing = F.aggregate(F.zip_with("bits", "union", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, x: acc + x)
+    opened = Scratch(
+        asked.join(asker, "rep").join(matrix.df, "fam")
+        .where("(fam <> home OR part <= own) AND NOT (low = high AND low = label)")
+        .where(f"most * 100 >= n * {percent} AND n * 100 >= least * {percent}")
+        .where((F.col("n") - missing) * 100 >= F.col("n") * percent)
+        .select("rep", "fam", "part")
     )
-    queries = asked.df.join(tokens.df.select(F.col("id").alias("rep"), "n", "tokens"), "rep")
-    met = queries.join(chunked, "grp").where(f"most * 100 >= n * {percent} AND n * 100 >= least * {percent}")
-    opened = met.where(F.size(F.array_intersect("tokens", "united")) * 100 >= F.col("n") * percent)
-    hit = F.filter("sets", lambda s: _linked(F.col("tokens"), F.col("n"), s["tokens"], s["n"], percent))
-    late = Scratch(opened.select(F.col("rep").alias("a"), F.get(F.transform(hit, lambda s: s["id"]), F.lit(0)).alias("b")).where("b IS NOT NULL"))
-    for used in (of, asked, members, tokens, pairs):
+    free_shuffles(spark)
+    # Exact comparison inside the groups that qualify.
+    whole = placed.df.join(opened.df.select("fam", "part").distinct(), ["fam", "part"]).join(tokens.df.select(F.col("id").alias("rep"), "tokens"), "rep")
+    sets = whole.groupBy("fam", "part").agg(F.collect_list(F.struct("rep", "n", "label", "tokens")).alias("sets"))
+    asker = opened.df.join(tokens.df.select(F.col("id").alias("rep"), "n", "tokens"), "rep").join(placed.df.select("rep", "label"), "rep")
+    other = lambda x: (x["label"] != F.col("label")) & _linked(F.col("tokens"), F.col("n"), x["tokens"], x["n"], percent)
+    hit = F.transform(F.filter("sets", other), lambda x: x["rep"])
+    late = Scratch(asker.join(sets, ["fam", "part"]).select(F.col("rep").alias("a"), F.explode(hit).alias("b")))
+    for used in (nodes, across, wanted, placed, matrix, opened, tokens, pairs):
         used.drop()
     if late.df.isEmpty():
         final = groups
