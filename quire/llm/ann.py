@@ -11,7 +11,7 @@ A query starts at its own node and keeps a beam of the best nodes met; in each r
 aren't yet expanded are joined with the graph and the vectors. The beam is ranked anew with
 exact cosines in double precision on the original vectors.
 
-Vectors in the graph are half-precision unit vectors; nothing is broadcast. Cases: vectors that
+Vectors in the graph are single-precision unit vectors; nothing is broadcast. Cases: vectors that
 are null, empty, zero, or hold null or non-finite components take no part, nor do rows of a null
 id; where dimensions differ, the most frequent one (the least of equals) counts; of different
 vectors under one id the least counts; ties go to smaller ids; with too few candidates all are
@@ -51,7 +51,7 @@ def nodes_of(vectors: DataFrame, vec_id: str, embedding: str, k: int) -> DataFra
 
 
 def _halves(nodes: DataFrame) -> DataFrame:
-    """``cid, h``: unit vectors as half-precision bytes."""
+    """``cid, h``: unit vectors in single precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,14 +59,15 @@ def _halves(nodes: DataFrame) -> DataFrame:
             if len(x):
                 x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["cid", "h"])
+            flat, d = pa.array(x.astype(np.float32).ravel()), x.shape[1] if len(x) else 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * d), flat)], ["cid", "h"])
 
-    return nodes.select("cid", "vec").mapInArrow(run, "cid long, h binary")
+    return nodes.select("cid", "vec").mapInArrow(run, "cid long, h array<float>")
 
 
-def _unpack(col: pa.Array) -> np.ndarray:
-    raw = col.to_pylist()
-    return np.frombuffer(b"".join(raw), dtype=np.float16).reshape(len(raw), -1).astype(np.float32)
+def _unpack(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
 def _by_group(rows: DataFrame, key: str, kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
@@ -137,26 +138,11 @@ def _compare(best: int) -> Callable[[pa.Table, np.ndarray], pa.Table]:
     return kernel
 
 
-def _keep_best(degree: int) -> Callable[[pa.Table, np.ndarray], pa.Table]:
-    """The best neighbours of each node; an edge that is there already stays old."""
-
-    def kernel(t: pa.Table, starts: np.ndarray) -> pa.Table:
-        cid, nbr, sim, new = (t.column(c).to_numpy() for c in ("cid", "nbr", "sim", "new"))
-        order = np.lexsort((new, nbr, cid))
-        cid, nbr, sim, new = cid[order], nbr[order], sim[order], new[order]
-        first = np.r_[True, (cid[1:] != cid[:-1]) | (nbr[1:] != nbr[:-1])]
-        cid, nbr, sim, new = cid[first], nbr[first], sim[first], new[first]
-        order = np.lexsort((nbr, -sim, cid))
-        cid = cid[order]
-        begin = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])
-        rank = np.arange(len(cid)) - np.repeat(begin, np.diff(np.append(begin, len(cid))))
-        keep = order[rank < degree]
-        return pa.table({"cid": pa.array(cid[rank < degree]), "nbr": pa.array(nbr[keep]), "sim": pa.array(sim[keep]), "new": pa.array(new[keep])})
-
-    return kernel
-
-
-_EDGE = "cid long, nbr long, sim float, new boolean"
+def _keep_best(edges: DataFrame, degree: int) -> DataFrame:
+    """The best neighbours of each node (cid, nbr, sim, new); an edge that is there already stays old. One shuffle, by node."""
+    once = edges.repartition("cid").groupBy("cid", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.col("sim").desc(), "nbr"))
+    return once.withColumn("r", rank).where(F.col("r") <= degree).drop("r")
 
 
 def _partitioned(halves: DataFrame, n: int, tree: int) -> DataFrame:
@@ -174,19 +160,19 @@ def _partitioned(halves: DataFrame, n: int, tree: int) -> DataFrame:
             code = ((h @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(h), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(code.astype(np.int64))], ["u", "h", "code"])
 
-    coded = halves.mapInArrow(run, "u long, h binary, code long")
+    coded = halves.mapInArrow(run, "u long, h array<float>, code long")
     size = coded.groupBy("code").agg(F.count("*").alias("size"))
     part = F.pmod(F.xxhash64("u", F.lit(tree)), F.ceil(F.col("size") / BUCKET))
     return coded.join(size, "code").select(F.xxhash64("code", part).alias("v"), "u", "h", F.lit(-2.0).cast("float").alias("bar"), F.lit(True).alias("new"))
 
 
-def build_graph(halves: DataFrame, n: int, rounds: int = 8, degree: int = DEGREE, settled: float = 0.05) -> DataFrame:
+def build_graph(halves: DataFrame, n: int, rounds: int = 6, degree: int = DEGREE, settled: float = 0.1) -> DataFrame:
     """``cid, nbr, sim``: the neighbour graph; rounds end when less than ``settled`` of the edges are new."""
     found = None
     for tree in range(TREES):
         part = _by_group(_partitioned(halves, n, tree), "v", _compare(degree), "cid long, nbr long, sim float")
         found = part if found is None else found.unionByName(part)
-    graph = Scratch(_by_group(found.withColumn("new", F.lit(True)), "cid", _keep_best(degree), _EDGE))
+    graph = Scratch(_keep_best(found.withColumn("new", F.lit(True)), degree))
     for turn in range(rounds):
         g = graph.df
         bar = g.groupBy("cid").agg(F.when(F.count("*") >= degree, F.min("sim")).otherwise(-2.0).cast("float").alias("bar"))
@@ -196,7 +182,7 @@ def build_graph(halves: DataFrame, n: int, rounds: int = 8, degree: int = DEGREE
         members = g.select(F.col("cid").alias("v"), F.col("nbr").alias("u"), "new").unionByName(reverse).groupBy("v", "u").agg(F.max("new").alias("new"))
         near = _by_group(members.join(known, "u").select("v", "u", "h", "bar", "new"), "v", _compare(OFFERS), "cid long, nbr long, sim float")
         merged = g.withColumn("new", F.lit(False)).unionByName(near.withColumn("new", F.lit(True)))
-        after = Scratch(_by_group(merged, "cid", _keep_best(degree), _EDGE))
+        after = Scratch(_keep_best(merged, degree))
         fresh = after.df.where("new").count()
         graph.drop()
         graph = after
@@ -211,17 +197,14 @@ def _cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(graph: DataFrame, halves: DataFrame, starts: DataFrame, beam: int = 64, width: int = 12, rounds: int = 6) -> DataFrame:
+def search(graph: DataFrame, halves: DataFrame, starts: DataFrame, beam: int = 64, width: int = 16, rounds: int = 4) -> DataFrame:
     """``q, cid`` for the nodes ``q`` in ``starts``: the best nodes that greedy search from q has met (q among them)."""
     back = Window.partitionBy("nbr").orderBy(F.col("sim").desc(), "cid")
     reverse = graph.select(F.col("nbr").alias("cid"), F.col("cid").alias("nbr"), F.row_number().over(back).alias("r")).where(F.col("r") <= REVERSE).drop("r")
     linked = materialise(graph.select("cid", "nbr").unionByName(reverse).distinct())
     queries = starts.join(halves, starts["q"] == halves["cid"]).select("q", F.col("h").alias("hq"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = (_unpack(b.column(2)) * _unpack(b.column(3))).sum(axis=1) if b.num_rows else np.zeros(0, dtype=np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float32())], ["q", "cid", "sim"])
+    dot = F.aggregate(F.zip_with("hq", "h", lambda x, y: x * y), F.lit(0.0).cast("float"), lambda t, x: t + x)
 
     best = Window.partitionBy("q").orderBy(F.col("sim").desc(), "cid")
     state = Scratch(starts.select("q", F.col("q").alias("cid"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("done")))
@@ -229,7 +212,7 @@ def search(graph: DataFrame, halves: DataFrame, starts: DataFrame, beam: int = 6
         s = state.df
         open_ = s.where("NOT done").withColumn("r", F.row_number().over(best)).where(F.col("r") <= width).select("q", "cid")
         met = open_.join(linked, "cid").select("q", F.col("nbr").alias("cid")).distinct().join(s.select("q", "cid"), ["q", "cid"], "left_anti")
-        scored = met.join(queries, "q").join(halves, "cid").select("q", "cid", "hq", "h").mapInArrow(run, "q long, cid long, sim float")
+        scored = met.join(queries, "q").join(halves, "cid").select("q", "cid", dot.alias("sim"))
         closed = s.join(open_.withColumn("x", F.lit(True)), ["q", "cid"], "left").select("q", "cid", "sim", (F.col("done") | F.coalesce("x", F.lit(False))).alias("done"))
         merged = closed.unionByName(scored.withColumn("done", F.lit(False)))
         after = Scratch(merged.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"))
@@ -240,7 +223,7 @@ def search(graph: DataFrame, halves: DataFrame, starts: DataFrame, beam: int = 6
     return state.df.select("q", "cid")
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rounds: int = 8) -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rounds: int = 6) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row that passes ``query`` (on ``vec_id``)."""
     nodes = materialise(nodes_of(vectors, vec_id, embedding, k))
     n = nodes.count()
