@@ -11,7 +11,7 @@ of their sets reaches a threshold, and the operator returns connected components
    a passage seldom share as many.
 3. Stars. Under each key the least id is the leader. Every set is compared with the leader it shares
    most keys with; links found make components.
-4. Groups and matrix. Sets with one leader are a family, stored in groups of about ``GROUP`` members.
+4. Groups and matrix. Sets that leaders hold together are a family, stored in groups of about ``GROUP`` members.
    A group's row of the matrix is the union of its members' tokens as ``BITS`` hashed bits. A set
    asks the groups of its own family, and of families that it shares a key with, unless all is
    one component there. Bits of the set that are missing from the union bound its overlap with
@@ -42,6 +42,9 @@ from quire.plans.scratch import Scratch, free_shuffles, materialise
 
 #: Members of a group, bits of a row of the matrix, and sets that a worker remembers to skip equal ones.
 GROUP, BITS, REMEMBERED = 64, 4096, 200_000
+#: Numbers of 64 bits in the parity sketch of a set: every token flips one bit, so two sketches differ in
+#: no more bits than the sets do in tokens.
+SKETCH = 16
 
 
 class Parts:
@@ -142,8 +145,13 @@ def _bits(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(seen, bitorder="little").view(np.int64)
 
 
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens >> np.uint64(13)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _tokens(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``id, n, tokens, bits`` of the documents in ``wanted``: a Bloom filter spares the others, an exact join settles it."""
+    """``id, n, tokens, bits, sketch`` of the documents in ``wanted``: a Bloom filter spares the others, an exact join settles it."""
     spark = rows.sparkSession
     words = spark.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("id").alias("h")), wanted.count()))
 
@@ -158,9 +166,9 @@ def _tokens(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64))
                 bits = pa.array([_bits(x) for x in sets], kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), flat).cast(kind), bits], ["id", "tokens", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), flat).cast(kind), bits, pa.array([_sketch(x) for x in sets], kind)], ["id", "tokens", "bits", "sketch"])
 
-    found = rows.where(F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, "id long, tokens array<long>, bits array<long>")
+    found = rows.where(F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, "id long, tokens array<long>, bits array<long>, sketch array<long>")
     return found.join(wanted, "id", "left_semi").withColumn("n", F.size("tokens"))
 
 
@@ -170,6 +178,12 @@ def _linked(a: Column, na: Column, b: Column, nb: Column, percent: int) -> Colum
     return F.when(sized, common * (100 + percent) >= (na + nb) * percent).otherwise(False)
 
 
+def _may_link(a: Column, na: Column, b: Column, nb: Column, percent: int) -> Column:
+    """False only where the sketches differ in more bits than linked sets can in tokens."""
+    bits = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, SKETCH)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
+    return bits * (100 + percent) <= (na + nb) * (100 - percent)
+
+
 def jaccard_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -203,12 +217,11 @@ def jaccard_components(
         .withColumn("count", F.expr("count(*) OVER (PARTITION BY key)")).where("count > 1").drop("count")
     )
     shared.drop()
-    # Families: sets with one leader (a leader goes with its own).
+    # Families: sets that leaders, and the leaders of these, hold together.
     best = pairs.df
-    nodes = members.df.select("rep").distinct().join(rep.groupBy("rep").agg(F.max("n").alias("n")), "rep")
-    nodes = nodes.join(best.select(F.col("a").alias("rep"), F.col("b").alias("up")), "rep", "left").withColumn("up", F.coalesce("up", "rep"))
-    nodes = nodes.join(best.select(F.col("a").alias("up"), F.col("b").alias("top")), "up", "left")
-    nodes = Scratch(nodes.select("rep", "n", F.coalesce("top", "up").alias("fam")))
+    led = connected(best).select(F.col("node").alias("rep"), F.col("label").alias("fam"))
+    nodes = members.df.select("rep").distinct().join(rep.groupBy("rep").agg(F.max("n").alias("n")), "rep").join(led, "rep", "left")
+    nodes = Scratch(nodes.select("rep", "n", F.coalesce("fam", "rep").alias("fam")))
     # Sets that share enough keys with another family.
     of = members.df.join(nodes.df.select("rep", "fam"), "rep")
     kinds = of.select("key", "fam").distinct()
@@ -260,10 +273,11 @@ def jaccard_components(
     )
     free_shuffles(spark)
     # Exact comparison inside the groups that qualify.
-    whole = placed.df.join(opened.df.select("fam", "part").distinct(), ["fam", "part"]).join(tokens.df.select(F.col("id").alias("rep"), "tokens"), "rep")
-    sets = whole.groupBy("fam", "part").agg(F.collect_list(F.struct("rep", "n", "label", "tokens")).alias("sets"))
-    asker = opened.df.join(tokens.df.select(F.col("id").alias("rep"), "n", "tokens"), "rep").join(placed.df.select("rep", "label"), "rep")
-    other = lambda x: (x["label"] != F.col("label")) & _linked(F.col("tokens"), F.col("n"), x["tokens"], x["n"], percent)
+    whole = placed.df.join(opened.df.select("fam", "part").distinct(), ["fam", "part"]).join(tokens.df.select(F.col("id").alias("rep"), "tokens", "sketch"), "rep")
+    sets = whole.groupBy("fam", "part").agg(F.collect_list(F.struct("rep", "n", "label", "tokens", "sketch")).alias("sets"))
+    asker = opened.df.join(tokens.df.select(F.col("id").alias("rep"), "n", "tokens", "sketch"), "rep").join(placed.df.select("rep", "label"), "rep")
+    near = lambda x: (x["label"] != F.col("label")) & _may_link(F.col("sketch"), F.col("n"), x["sketch"], x["n"], percent)
+    other = lambda x: near(x) & _linked(F.col("tokens"), F.col("n"), x["tokens"], x["n"], percent)
     hit = F.transform(F.filter("sets", other), lambda x: x["rep"])
     late = Scratch(asker.join(sets, ["fam", "part"]).select(F.col("rep").alias("a"), F.explode(hit).alias("b")))
     for used in (nodes, across, wanted, placed, matrix, opened, tokens, pairs):

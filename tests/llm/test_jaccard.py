@@ -114,3 +114,12 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103), (7, 7), (None, 1)]
     got = {r.node: r.label for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100, 103: 100}
+
+
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(4)
+    for n in (3, 50, 900):
+        a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for _ in range(2))
+        b[: n // 2] = a[: n // 2]
+        differ = len(set(a.tolist()) ^ set(b.tolist()))
+        assert np.bitwise_count(jaccard._sketch(a) ^ jaccard._sketch(b)).sum() <= differ
