@@ -8,8 +8,8 @@ the nodes that have it as a neighbour are joined with their vectors and compared
 edge are compared, and rounds end when few edges change.
 
 A query starts at its own node and keeps a beam of the best nodes met; in each round the best that
-aren't yet expanded are joined with the graph and the vectors. The beam is ranked anew with
-exact cosines in double precision on the original vectors.
+aren't yet expanded are joined with the graph and the vectors, until every node of the beam is
+expanded. The beam is ranked anew with exact cosines in double precision on the original vectors.
 
 Vectors in the graph are single-precision unit vectors; nothing is broadcast. Cases: vectors that
 are null, empty, zero, or hold null or non-finite components take no part, nor do rows of a null
@@ -166,7 +166,7 @@ def _partitioned(halves: DataFrame, n: int, tree: int) -> DataFrame:
     return coded.join(size, "code").select(F.xxhash64("code", part).alias("v"), "u", "h", F.lit(-2.0).cast("float").alias("bar"), F.lit(True).alias("new"))
 
 
-def build_graph(halves: DataFrame, n: int, rounds: int = 6, degree: int = DEGREE, settled: float = 0.1) -> DataFrame:
+def build_graph(halves: DataFrame, n: int, rounds: int = 8, degree: int = DEGREE, settled: float = 0.05) -> DataFrame:
     """``cid, nbr, sim``: the neighbour graph; rounds end when less than ``settled`` of the edges are new."""
     found = None
     for tree in range(TREES):
@@ -197,7 +197,7 @@ def _cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(graph: DataFrame, halves: DataFrame, starts: DataFrame, beam: int = 64, width: int = 16, rounds: int = 4) -> DataFrame:
+def search(graph: DataFrame, halves: DataFrame, starts: DataFrame, beam: int = 64, width: int = 16) -> DataFrame:
     """``q, cid`` for the nodes ``q`` in ``starts``: the best nodes that greedy search from q has met (q among them)."""
     back = Window.partitionBy("nbr").orderBy(F.col("sim").desc(), "cid")
     reverse = graph.select(F.col("nbr").alias("cid"), F.col("cid").alias("nbr"), F.row_number().over(back).alias("r")).where(F.col("r") <= REVERSE).drop("r")
@@ -208,7 +208,7 @@ def search(graph: DataFrame, halves: DataFrame, starts: DataFrame, beam: int = 6
 
     best = Window.partitionBy("q").orderBy(F.col("sim").desc(), "cid")
     state = Scratch(starts.select("q", F.col("q").alias("cid"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("done")))
-    for _ in range(rounds):
+    while True:  # the beam only gets better, so that a node which left it can't come back
         s = state.df
         open_ = s.where("NOT done").withColumn("r", F.row_number().over(best)).where(F.col("r") <= width).select("q", "cid")
         met = open_.join(linked, "cid").select("q", F.col("nbr").alias("cid")).distinct().join(s.select("q", "cid"), ["q", "cid"], "left_anti")
@@ -223,7 +223,7 @@ def search(graph: DataFrame, halves: DataFrame, starts: DataFrame, beam: int = 6
     return state.df.select("q", "cid")
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rounds: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rounds: int = 8) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row that passes ``query`` (on ``vec_id``)."""
     nodes = materialise(nodes_of(vectors, vec_id, embedding, k))
     n = nodes.count()

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.ann import nearest
+from quire.llm.ann import nearest, search
 
 SCHEMA = "vec_id long, embedding array<float>, cid int"
 
@@ -52,3 +52,13 @@ def test_few_rows(spark):
     assert run(spark, []) == {}
     assert run(spark, [(0, [1.0])]) == {}
     assert run(spark, [(0, [1.0]), (3, [-2.0])]) == {0: [(3, -1.0)]}
+
+
+def test_search_expands_the_whole_beam(spark):
+    # A chain: every round of the search gets one node further.
+    angles = [(i, [float(np.cos(i / 20)), float(np.sin(i / 20))]) for i in range(12)]
+    halves = spark.createDataFrame(angles, "cid long, h array<float>")
+    chain = [(i, j, float(np.cos(1 / 20))) for i in range(12) for j in (i - 1, i + 1) if 0 <= j < 12]
+    graph = spark.createDataFrame(chain, "cid long, nbr long, sim float")
+    found = search(graph, halves, spark.createDataFrame([(0,)], "q long")).collect()
+    assert sorted(r.cid for r in found) == list(range(12))
