@@ -303,6 +303,19 @@ def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", X.failure_class(F.col("t")).alias("failure"), X.provider_error_class(F.col("t")).alias("provider"), X.should_split(F.col("t")).alias("split"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, text || ' ' || [{', '.join(map(sql_literal, _WORDS))}][(doc_id % 8 + 1)::INT] AS phrased, text FROM documents),
+t AS (SELECT doc_id, unnest(['text', 'phrased']) AS of, unnest([text, phrased]) AS t FROM d), l AS (SELECT *, {_LOWER.format('t')} AS low FROM t)
+SELECT doc_id, of, CASE WHEN {_CLASSES_SQL[0]} THEN 'permanent' WHEN {_CLASSES_SQL[1]} THEN 'transient' ELSE 'unknown' END AS failure,
+CASE WHEN contains(lower(t), 'auth') OR contains(lower(t), 'login') OR contains(lower(t), '认证') THEN 'authentication' WHEN contains(t, '提前退出') OR contains(t, '意外退出') THEN 'process-exited'
+WHEN contains(lower(t), 'json-rpc') OR contains(lower(t), 'stream-json') THEN 'transport' ELSE 'provider' END AS provider, {' OR '.join(f"contains(t, {sql_literal(x)})" for x in P.SPLIT_TRIGGERS)} AS split FROM l""")
+def failure_classes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of every whole text, alone and with the phrase appended."""
+    phrase = F.get(F.array(*[F.lit(w) for w in _WORDS]), (F.col("doc_id") % 8).cast("int"))
+    both = F.array(F.struct(F.lit("text").alias("of"), F.col("text").alias("t")), F.struct(F.lit("phrased").alias("of"), F.concat("text", F.lit(" "), phrase).alias("t")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.inline(both))
+    return rows.select("doc_id", "of", X.failure_class(F.col("t")).alias("failure"), X.provider_error_class(F.col("t")).alias("provider"), X.should_split(F.col("t")).alias("split"))
+
+
 @query(rf"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^[^/]+//([^/?#:]*)', 1) AS host FROM pages)
 SELECT page_id, host, regexp_matches(url, '^https?://') AND host <> '' AND host <> 'localhost' AS is_public, length(url) AS n FROM p""")
 def public_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
