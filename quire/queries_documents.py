@@ -347,6 +347,17 @@ def split_pages_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("page").cast("long").alias("page"), F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query("""WITH n AS (SELECT doc_id, string_split(replace(text, chr(12), chr(10)), chr(10)) AS x FROM documents), v AS (SELECT doc_id, x, unnest([-1, 0, 1]) AS extra FROM n),
+p AS (SELECT doc_id, extra, x, unnest(range(1, len(x) + extra + 1)) AS page FROM v)
+SELECT doc_id, extra, page, length(coalesce(x[page], '')) AS n_chars, md5(coalesce(x[page], '')) AS digest FROM p""")
+def split_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of every text, a line being a page: as many as it has, and one fewer and one more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("text"))
+    cases = docs.withColumn("extra", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select(F.struct("doc_id", "extra").alias("key"), "text")
+    out = D.split_pages(cases, F.size(F.split("text", "\f", -1)) + F.col("key.extra"), "key").select("doc_id.*", "page", "text")
+    return out.select("doc_id", "extra", F.col("page").cast("long").alias("page"), F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 _ROMANS = ["I", "iv", "IX", "XL", "MCMXC", "IIX", "ABC", "xii"]
 _CJK = ["一", "十", "十二", "二十", "一百", "一百零五", "三百二十一", "42"]
 

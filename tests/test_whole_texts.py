@@ -27,3 +27,13 @@ def test_failure_classes(spark, tmp_path):
     assert got[19] != got[83] and got[27][1] == "authentication" and got[35] != got[83]
     assert [r["doc_id"] for r in found if r["of"] == "text" and r["split"]] == [99]
     assert {r["failure"] for r in found if r["of"] == "text"} >= {"transient", "unknown", "permanent"}
+
+
+def test_split_pages(spark, tmp_path):
+    texts = {1: "a\nb\nc\nd\ne\n\nlast", 2: "one", 3: "", 4: "a\n", 5: None, 6: "p\fq\nr\ns"}
+    found = both(spark, tmp_path, "split_pages_whole", list(texts.items()))
+    for extra in (-1, 0, 1):
+        for i, t in texts.items():
+            pages = [] if t is None else (t.replace("\f", "\n").split("\n") + [""])[: len(t.replace("\f", "\n").split("\n")) + extra]
+            got = sorted((r["page"], r["n_chars"]) for r in found if (r["doc_id"], r["extra"]) == (i, extra))
+            assert got == [(k + 1, len(p)) for k, p in enumerate(pages)]
