@@ -7,15 +7,18 @@ position. Lines that later occurrences cover are merged by document and removed.
 occurrence that overlaps the first one in the same document is not a later one, so that a run of
 equal lines keeps its first three.
 
+With ``long_words``, a line of more words than that is also a window of its own, and all lines of a
+text of one or two lines that are not blank are a window.
+
 Cases: a null text stays null and has no lines; a text of fewer than three lines that are not
-blank has no window and stays; blank lines are never removed and never part of a window; null
+blank has no window and stays, unless ``long_words`` is given; blank lines are never removed and never part of a window; null
 ids come last in the order; rows that repeat a document (same id and text) keep equal results;
 rows with one id and different texts count apart; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
@@ -25,22 +28,33 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.split(F.col(text), "\n", -1).alias("lines"))
 
 
-def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int | None = None) -> DataFrame:
     """``doc_id, text_hash, removed``: the 0-based lines of each document that later occurrences cover."""
     full = F.filter(
         F.transform("lines", lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: F.regexp(x["line"], F.lit(r"\S"))
     )
     kept = _lines(docs, doc_id, text).select("doc_id", "text_hash", full.alias("full"))
     line = lambda k, j: F.get("full", k + j)["line"]
-    windows = F.transform(
-        F.when(F.size("full") >= WINDOW, F.sequence(F.lit(0), F.size("full") - WINDOW)),
-        lambda k: F.struct(
+
+    def window(k: Column, size: int) -> Column:
+        of = [line(k, j) for j in range(size)]
+        return F.struct(
             k.alias("k"),
-            F.transform(F.slice("full", k + 1, WINDOW), lambda x: x["i"]).alias("at"),
-            F.xxhash64(F.lit(1), line(k, 0), line(k, 1), line(k, 2)).alias("h1"),
-            F.xxhash64(line(k, 2), line(k, 1), line(k, 0), F.lit(2)).alias("h2"),
-        ),
-    )
+            F.transform(F.slice("full", k + 1, size), lambda x: x["i"]).alias("at"),
+            F.xxhash64(F.lit(1), *of).alias("h1"),
+            F.xxhash64(*of[::-1], F.lit(2)).alias("h2"),
+        )
+
+    windows = F.transform(F.when(F.size("full") >= WINDOW, F.sequence(F.lit(0), F.size("full") - WINDOW)), lambda k: window(k, WINDOW))
+    if long_words is not None:
+        none = F.array().cast("array<int>")
+        every = F.when(F.size("full") > 0, F.sequence(F.lit(0), F.size("full") - 1)).otherwise(none)
+        alone = F.filter(every, lambda k: (F.size("full") == 1) | (F.regexp_count(line(k, 0), F.lit(r"\S+")) > long_words))
+        pair = F.when(F.size("full") == 2, F.array(F.lit(0))).otherwise(none)
+        windows = F.concat(
+            F.when(windows.isNotNull(), windows).otherwise(F.transform(none, lambda k: window(k, WINDOW))),
+            F.transform(alone, lambda k: window(k, 1)), F.transform(pair, lambda k: window(k, 2)),
+        )
     # An outer generator: for an inner one Spark adds a filter that computes the windows twice.
     rows = kept.select("doc_id", "text_hash", windows.alias("windows")).select("doc_id", "text_hash", F.inline_outer("windows"))
     rows = rows.where(F.col("k").isNotNull())
@@ -50,13 +64,13 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     )
     same = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.hash"))
-    later = rows.join(firsts, ["h1", "h2"]).where(~(same & (F.col("k") < F.col("first.k") + WINDOW)))
+    later = rows.join(firsts, ["h1", "h2"]).where(~(same & (F.col("k") < F.col("first.k") + F.size("at"))))
     return later.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_removed``."""
-    covered = repeated_windows(docs, doc_id, text).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
+    covered = repeated_windows(docs, doc_id, text, long_words).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
     joined = docs.withColumn("_key", F.xxhash64(F.col(text))).join(
         covered.hint("shuffle_hash"), (F.col(doc_id).eqNullSafe(F.col("_id"))) & (F.col("_key") == F.col("_hash")), "left"
     )

@@ -65,6 +65,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, long_words=50).select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_nn_descent": op2_nn_descent,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_dedup_long": op10_line_dedup_long,
 }
 
 _OP4_SQL = """
@@ -204,6 +210,36 @@ SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0
 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 """
 
+_OP10_LONG_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, hash(text) AS th, string_split(text, chr(10)) AS lines FROM documents
+), l AS (
+  SELECT rid, doc_id, th, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d
+), c AS (
+  SELECT rid, doc_id, th, i, line, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY rid) AS n
+  FROM l WHERE regexp_matches(line, '[^\t\n\x0B\f\r ]')
+), w AS (
+  SELECT *, lead(i) OVER x AS i2, lead(i, 2) OVER x AS i3, lead(line) OVER x AS b, lead(line, 2) OVER x AS c FROM c
+  WINDOW x AS (PARTITION BY rid ORDER BY k)
+), v AS (
+  SELECT rid, doc_id, th, k, [i, i2, i3] AS pos, [line, b, c] AS g FROM w WHERE c IS NOT NULL
+  UNION ALL SELECT rid, doc_id, th, k, [i, i2], [line, b] FROM w WHERE n = 2 AND k = 0
+  UNION ALL SELECT rid, doc_id, th, k, [i], [line] FROM w WHERE n = 1 OR len(regexp_extract_all(line, '[^\t\n\x0B\f\r ]+')) > 50
+), f AS (
+  SELECT g, min((doc_id IS NULL, doc_id, th, k)) AS first FROM v GROUP BY g
+), r AS (
+  SELECT DISTINCT rid, unnest(pos) AS i FROM v JOIN f USING (g)
+  WHERE (doc_id IS NULL, doc_id, th, k) > first AND NOT (doc_id IS NOT DISTINCT FROM first[2] AND th = first[3] AND k < first[4] + len(g))
+), n AS (
+  SELECT rid, count(*) AS n_removed FROM r GROUP BY rid
+), kept AS (
+  SELECT rid, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN r USING (rid, i) GROUP BY rid
+)
+SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       CASE WHEN n_removed > 0 THEN coalesce(kept.text, '') ELSE d.text END AS text
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
+"""
+
 _OP9_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -233,4 +269,5 @@ ORACLES = {
     "op8_chat_format": _OP8_SQL,
     "op9_jaccard_join": _OP9_SQL,
     "op10_line_dedup": _OP10_SQL,
+    "op10_line_dedup_long": _OP10_LONG_SQL,
 }
