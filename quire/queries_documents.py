@@ -339,6 +339,14 @@ def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT doc_id, length(x) AS n_escaped, md5(x) AS digest
+FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS x FROM documents)""")
+def escaped_texts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest of every whole text with HTML escapes."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.escape_html(F.col("text"), "&#039;").alias("x"))
+    return rows.select("doc_id", F.char_length("x").cast("long").alias("n_escaped"), F.md5(F.col("x").cast("binary")).alias("digest"))
+
+
 @query("""WITH n AS (SELECT doc_id, (doc_id * 37) % 4000 AS v, string_split(text, chr(10)) AS x FROM documents) SELECT doc_id, unnest(range(1, 4)) AS page,
 unnest(list_transform(range(1, 4), lambda i: length(coalesce(x[i], '')))) AS n_chars FROM n""")
 def split_pages_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 from test_queries import rows
 
@@ -37,3 +39,12 @@ def test_split_pages(spark, tmp_path):
             pages = [] if t is None else (t.replace("\f", "\n").split("\n") + [""])[: len(t.replace("\f", "\n").split("\n")) + extra]
             got = sorted((r["page"], r["n_chars"]) for r in found if (r["doc_id"], r["extra"]) == (i, extra))
             assert got == [(k + 1, len(p)) for k, p in enumerate(pages)]
+
+
+def test_escaped_texts(spark, tmp_path):
+    tail = "& < > \" ' &amp; é"
+    found = both(spark, tmp_path, "escaped_texts_whole", [(1, "x" * 5000 + tail), (2, ""), (3, None), (4, tail)])
+    want = "&amp; &lt; &gt; &quot; &#039; &amp;amp; é"
+    got = {r["doc_id"]: (r["n_escaped"], r["digest"]) for r in found}
+    assert got[1] == (5000 + len(want), hashlib.md5(("x" * 5000 + want).encode()).hexdigest())
+    assert got[2][0] == 0 and got[4][0] == len(want)
