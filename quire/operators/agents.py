@@ -35,11 +35,18 @@ def final_answer(events: DataFrame, task: str, order: str) -> DataFrame:
     return events.groupBy(task).agg(F.coalesce(F.nullif(deltas, F.lit("")), last).alias("answer"), F.max(F.col("type") == "error").alias("failed"))
 
 
+def _message_text(line: str) -> Column:
+    """The text of all text blocks of a message (a block without a type counts as one); null if there is none."""
+    blocks = F.from_json(_get(line, "$.message.content"), "array<struct<type string, text string>>")
+    texts = F.filter(blocks, lambda b: (F.coalesce(b["type"], F.lit("text")) == "text") & b["text"].isNotNull())
+    return F.nullif(F.array_join(F.transform(texts, lambda b: b["text"]), ""), F.lit(""))
+
+
 def stream_events(lines: DataFrame, task: str, order: str, line: str = "line") -> DataFrame:
     """Stream-JSON lines: whole messages count only where no delta came before, a result only where nothing did."""
     kind = _get(line, "$.type")
     delta = _get(line, "$.event.delta.text")
-    rows = lines.select(task, order, kind.alias("type"), delta.alias("delta"), _get(line, "$.message.content[0].text").alias("message"), _get(line, "$.result").alias("result"))
+    rows = lines.select(task, order, kind.alias("type"), delta.alias("delta"), _message_text(line).alias("message"), _get(line, "$.result").alias("result"))
     before = Window.partitionBy(task).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("seen", F.coalesce(F.max(F.col("delta").isNotNull()).over(before), F.lit(False)))
     rows = rows.withColumn("said", F.when(F.col("delta").isNotNull(), F.col("delta")).when((F.col("type") == "assistant") & ~F.col("seen"), F.col("message")))
