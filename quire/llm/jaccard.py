@@ -4,25 +4,26 @@ A document is the set of its distinct word shingles. Two documents link if the J
 of their sets reaches a threshold, and the operator returns connected components of links.
 
 1. Equal sets are one class; its least id stands for it.
-2. Index. Sets are dealt into levels by size, so that linked sets meet at one level. The tokens of a
-   level are cut into more parts than linked sets can differ in tokens, hence two linked sets agree
-   on several whole parts that aren't empty. The hash of a part is a key; a set knows how many keys
-   every set linked with it must share, so that no link can be missed, and texts that only share
-   a passage seldom share as many.
-3. Stars. Under each key the least id is the leader. Every set is compared with the leader it shares
-   most keys with; links found make components.
-4. Groups and matrix. Sets that leaders hold together are a family, stored in groups of about ``GROUP`` members.
-   A group's row of the matrix is the union of its members' tokens as ``BITS`` hashed bits. A set
-   asks the groups of its own family, and of families that it shares a key with, unless all is
-   one component there. Bits of the set that are missing from the union bound its overlap with
-   every member from above; only groups whose bound reaches the threshold are opened, and
-   their members compared exactly, inside the row of set and group.
-5. The links of 3 and 4 give the components. Pairs inside a group are never listed.
-
-Similarities are exact on 64-bit shingle hashes. Cases: a text of fewer words than a shingle is one
-shingle; a text without words (or null) has an empty set and links with nothing; rows of a
-null id are judged alone (component null); rows that share an id are one document with
-several sets; an empty table gives no rows; other columns are ignored.
+2. Groups. Every set puts its least tokens (by hash, so in one order for all) under an index. Of these two
+   linked sets share a known number at least, so a set with fewer shared ones links with nothing and
+   is done. The others name the leader they share most tokens with; sets that leaders hold
+   together are a family, cut into groups of about ``GROUP`` members and ``TOKENS`` tokens.
+3. Matrix. A group's row of the matrix is the union of its members' tokens. Every set asks its own group and
+   the first group of its family: the tokens that it has in the union bound its overlap with every
+   member, and only sets and groups whose bound reaches the threshold are opened and compared exactly.
+   Links found make components.
+4. What may still link: a link between two components needs tokens that both have, so a token within one
+   component counts for nothing, and a set with too few other tokens is done. This is repeated until
+   it takes few sets away.
+5. The sets left, mostly none, are grouped again, and groups ask groups: pairs of groups of different
+   components that share a token of their members' prefixes are bounded and opened as in 3.
+
+Work by token is linear; what is joined with one another are groups, never members, and pairs
+inside a group are never listed: a group gives a spanning tree of its links. Comparisons are exact on
+64-bit shingle hashes. Cases: a text of fewer words than a shingle is one shingle; a text without
+words (or null) has an empty set and links with nothing; rows of a null id are judged alone
+(component null); rows that share an id are one document with several sets; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,55 +33,41 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import bloom
 from quire.llm.components import connected
+from quire.llm.groups import by_group
 from quire.llm.shingles import Shingler, mix
-from quire.plans.scratch import Scratch, free_shuffles, materialise
-
-#: Members of a group, bits of a row of the matrix, and sets that a worker remembers to skip equal ones.
-GROUP, BITS, REMEMBERED = 64, 4096, 200_000
-#: Numbers of 64 bits in the parity sketch of a set: every token flips one bit, so two sketches differ in
-#: no more bits than the sets do in tokens.
-SKETCH = 16
-
-
-class Parts:
-    """The index keys of a set for a threshold of ``percent`` / 100."""
-
-    def __init__(self, percent: int):
-        self.low = [1]
-        while self.low[-1] < 1 << 40:
-            self.low.append(self.low[-1] * 100 // percent + 1)
-        self.low_array = np.array(self.low, dtype=np.int64)
-        # The most tokens in which two linked sets of a level can differ.
-        self.differ = [2 * (high - 1) * (100 - percent) // (100 + percent) for high in self.low[1:]]
-        self.percent = percent
-
-    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
-        """The keys, and how many of them every linked set has too, at least."""
-        n = len(tokens)
-        level = int(np.searchsorted(self.low_array, n, side="right")) - 1
-        levels = [level] + [level + 1] * (n * 100 // self.percent >= self.low[level + 1])
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mix(tokens ^ np.uint64(0xD6E8FEB86659FD93)), out=sums[1:])
-        out, need = [], []
-        for j in levels:
-            if not self.differ[j]:
-                continue  # only equal sets link here, and they are one class
-            spare = 4 + self.differ[j] // 16
-            k = self.differ[j] + 1 + spare
-            part = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-            cut = np.searchsorted(part, np.arange(k + 1, dtype=np.uint64))
-            key = mix(sums[cut[1:]] - sums[cut[:-1]] + np.uint64(j + 1) * np.uint64(0xA0761D6478BD642F) + np.arange(k, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-            full = cut[1:] > cut[:-1]
-            empty = k - int(full.sum())
-            # Linked sets agree on `spare` + 1 parts, of which `empty` at most are empty; a set with no more than `spare` empty parts leaves them out.
-            out.append(key[full] if empty <= spare else key)
-            need.append(max(1, spare + 1 - empty))
-        return (np.concatenate(out), min(need)) if out else (tokens[:0], 1)
+from quire.plans.scratch import Scratch, free_shuffles
+
+#: Members and tokens of a group, and sets that a worker remembers to skip equal ones.
+GROUP, TOKENS, REMEMBERED = 64, 65_536, 200_000
+#: Columns of the matrix that a comparison holds at a time.
+COLUMNS = 16_384
+
+
+def least_common(n: int, percent: int) -> int:
+    """Tokens that a set of ``n`` shares with every set that it links with, at least."""
+    return -(-n * percent // 100)
+
+
+def _spare(n: int, percent: int) -> int:
+    return min(1 + n // 16, least_common(n, percent))
+
+
+def indexed(n: int, percent: int) -> int:
+    """How many of its least tokens a set of ``n`` puts under the index."""
+    return min(n, n - least_common(n, percent) + _spare(n, percent))
+
+
+def needed(n: int, percent: int) -> int:
+    """How many indexed tokens it shares with every set that it links with, at least.
+
+    Of ``c`` common tokens the k-th least is among the first n - c + k of either set.
+    """
+    return _spare(least_common(n, percent), percent)
 
 
 def _set_hash(tokens: np.ndarray) -> tuple[int, int]:
@@ -106,28 +93,27 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, n long, h1 long, h2 long")
 
 
-def _keys(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """``key, id, need`` for every index key of every row that isn't equal to one its worker has met."""
+def _index(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """``key, h, need`` for every indexed token of every set (by its hash ``h``), but for equal sets that a worker has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, parts = Shingler(k), Parts(percent)
-        met: set[tuple[int, int]] = set()
+        shingler = Shingler(k)
+        met: set[int] = set()
 
         def batch(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
             sizes = [len(k) for k, _, _ in held]
-            ids, needs = (np.repeat(np.array(x, dtype=kind), sizes) for x, kind in (([h[1] for h in held], np.int64), ([h[2] for h in held], np.int32)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in held]).view(np.int64)), pa.array(ids), pa.array(needs)], ["key", "id", "need"])
+            hs, needs = (np.repeat(np.array(x, dtype=kind), sizes) for x, kind in (([h[1] for h in held], np.int64), ([h[2] for h in held], np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[0] for h in held]).view(np.int64)), pa.array(hs), pa.array(needs)], ["key", "h", "need"])
 
         for b in batches:
             held, n = [], 0
-            for i, s in zip(b.column(0).to_pylist(), shingler.sets(_texts(b, "text")), strict=True):
-                if not len(s) or (h := _set_hash(s)) in met:
+            for s in shingler.sets(_texts(b, "text")):
+                if not len(s) or (h := _set_hash(s)[0]) in met:
                     continue
                 if len(met) < REMEMBERED:
                     met.add(h)
-                with np.errstate(over="ignore"):
-                    keys, need = parts.keys(s)
-                held.append((keys, i, need))
+                keys = s[: indexed(len(s), percent)]
+                held.append((keys, h, needed(len(s), percent)))
                 n += len(keys)
                 if n >= 100_000:
                     yield batch(held)
@@ -135,25 +121,13 @@ def _keys(rows: DataFrame, k: int, percent: int) -> DataFrame:
             if n:
                 yield batch(held)
 
-    return rows.where(F.col("id").isNotNull()).select("id", "text").mapInArrow(run, "key long, id long, need int")
-
-
-def _bits(tokens: np.ndarray) -> np.ndarray:
-    """The set as hashed bits, 64 in a number."""
-    seen = np.zeros(BITS, dtype=np.uint8)
-    seen[(tokens % np.uint64(BITS)).astype(np.int64)] = 1
-    return np.packbits(seen, bitorder="little").view(np.int64)
-
-
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    odd = np.bincount((tokens >> np.uint64(13)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return rows.where(F.col("id").isNotNull()).select("text").mapInArrow(run, "key long, h long, need int")
 
 
 def _tokens(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``id, n, tokens, bits, sketch`` of the documents in ``wanted``: a Bloom filter spares the others, an exact join settles it."""
+    """``rep, n, tokens`` (least first) of the documents ``rep`` in ``wanted``: a Bloom filter spares the others, an exact join settles it."""
     spark = rows.sparkSession
-    words = spark.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("id").alias("h")), wanted.count()))
+    words = spark.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("rep").alias("h")), wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
@@ -165,130 +139,196 @@ def _tokens(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 sets = list(shingler.sets(_texts(part, "text")))
                 at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64))
-                bits = pa.array([_bits(x) for x in sets], kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), flat).cast(kind), bits, pa.array([_sketch(x) for x in sets], kind)], ["id", "tokens", "bits", "sketch"])
-
-    found = rows.where(F.col("id").isNotNull()).select("id", F.xxhash64("id").alias("h"), "text").mapInArrow(run, "id long, tokens array<long>, bits array<long>, sketch array<long>")
-    return found.join(wanted, "id", "left_semi").withColumn("n", F.size("tokens"))
-
-
-def _linked(a: Column, na: Column, b: Column, nb: Column, percent: int) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    sized = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
-    return F.when(sized, common * (100 + percent) >= (na + nb) * percent).otherwise(False)
-
-
-def _may_link(a: Column, na: Column, b: Column, nb: Column, percent: int) -> Column:
-    """False only where the sketches differ in more bits than linked sets can in tokens."""
-    bits = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(1, SKETCH)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
-    return bits * (100 + percent) <= (na + nb) * (100 - percent)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), flat).cast(kind)], ["rep", "tokens"])
+
+    found = rows.where(F.col("id").isNotNull()).select(F.col("id").alias("rep"), F.xxhash64("id").alias("h"), "text").mapInArrow(run, "rep long, tokens array<long>")
+    return found.join(wanted, "rep", "left_semi").where("size(tokens) > 0").withColumn("n", F.size("tokens"))
+
+
+def _spanning(sizes: np.ndarray, flat: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that hold the linked sets of a group together: all with all, or side 0 with side 1 where there are two."""
+    m = len(sizes)
+    none = np.zeros(0, dtype=np.int64)
+    who = np.repeat(np.arange(m), sizes)
+    order = np.argsort(flat, kind="stable")
+    v, who = flat[order], who[order]
+    col = np.cumsum(np.r_[0, v[1:] != v[:-1]])
+    if side.any():
+        right = np.bincount(col, side[who])
+        useful = (right > 0) & (np.bincount(col) > right)  # the unions of both sides have it
+    else:
+        useful = np.bincount(col) > 1  # the union of the others has it
+    keep = useful[col]
+    # The bound: tokens that a set has in the union limit its overlap with every member.
+    ok = np.bincount(who[keep], minlength=m) * 100 >= sizes * percent
+    if ok.sum() < 2:
+        return none, none
+    row = np.cumsum(ok) - 1
+    keep &= ok[who]
+    place, line, n = (np.cumsum(useful) - 1)[col[keep]], row[who[keep]], sizes[ok]
+    common = np.zeros((len(n), len(n)), dtype=np.float64)
+    cut = np.searchsorted(place, np.arange(0, int(useful.sum()) + COLUMNS, COLUMNS))
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        if hi > lo:
+            block = np.zeros((len(n), int(place[hi - 1] - place[lo]) + 1), dtype=np.float32)
+            block[line[lo:hi], place[lo:hi] - place[lo]] = 1
+            common += block @ block.T
+    link = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(link, False)
+    if side.any():
+        link &= side[ok][:, None] != side[ok][None, :]
+    label = np.arange(len(n))
+    while True:
+        after = np.minimum(label, np.where(link, label[None, :], len(n)).min(axis=1))
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    at = np.flatnonzero(ok)
+    moved = label != np.arange(len(n))
+    return at[moved], at[label[moved]]
+
+
+def _open(groups: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components inside groups; ``groups`` has ``gid, side, rep, label, tokens``."""
+
+    def kernel(t: pa.Table, starts: np.ndarray) -> pa.Table:
+        rep, label, side = (t.column(c).to_numpy() for c in ("rep", "label", "side"))
+        tokens = t.column("tokens").combine_chunks()
+        sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, at = tokens.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
+        a, b = [], []
+        for lo, hi in zip(starts, np.append(starts[1:], len(rep)), strict=True):
+            if hi - lo > 1 and (label[lo:hi] != label[lo]).any():
+                x, y = _spanning(sizes[lo:hi], flat[at[lo] : at[hi]], side[lo:hi], percent)
+                a.append(rep[lo + x])
+                b.append(rep[lo + y])
+        return pa.table({"a": np.concatenate(a) if a else rep[:0], "b": np.concatenate(b) if b else rep[:0]})
+
+    return by_group(groups.select("gid", "side", "rep", "label", "tokens"), "gid", kernel, "a long, b long")
+
+
+def _grouped(sets: DataFrame) -> DataFrame:
+    """``sets`` (rep, n, fam, ...) with their group ``part`` of the family and its number of ``parts``; the family's first leader is in part 0."""
+    sizes = sets.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / TOKENS)).alias("parts"))
+    part = F.when(F.col("rep") == F.col("fam"), 0).otherwise(F.pmod(F.xxhash64("rep"), "parts"))
+    return sets.join(sizes, "fam").withColumn("part", part.cast("long"))
+
+
+def _across(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """The rows whose key is in more than one component, by ``by`` and with their number."""
+    ends = F.expr(f"min(label) OVER (PARTITION BY {key})"), F.expr(f"max(label) OVER (PARTITION BY {key})")
+    return rows.select("*", ends[0].alias("low"), ends[1].alias("high")).where("low < high").groupBy(by)
+
+
+def _unsettled(alive: Scratch, tokens: DataFrame, percent: int) -> Scratch:
+    """Those of ``alive`` (rep, n, fam, label) that have enough tokens in common with other components."""
+    n = alive.df.count()
+    while n:
+        each = tokens.select("rep", "tokens").join(alive.df.select("rep", "n", "label"), "rep").select("rep", "n", "label", F.explode("tokens").alias("token"))
+        left = _across(each, "token", "rep").agg(F.count("*").alias("c"), F.min("n").alias("m")).where(f"c * 100 >= m * {percent}").select("rep")
+        after = Scratch(alive.df.join(left, "rep", "left_semi"))
+        alive.drop()
+        alive, before, n = after, n, after.df.count()
+        if n > 0.9 * before:
+            break
+    return alive
 
 
 def jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, log: dict | None = None
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: sets link at a similarity of ``percent`` / 100."""
+    """``doc_id, n_shingles, component_id`` for every row: sets link at a similarity of ``percent`` / 100.
+
+    ``log`` takes the number of sets and links by step.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    log = {} if log is None else log
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     plain = Scratch(_classes(rows, k))
-    several = plain.df.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").drop("last")
-    classes = materialise(
+    reps = Scratch(plain.df.where("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")))
+    several = reps.df.where("rep <> last").drop("last")
+    classes = Scratch(
         plain.df.join(several, ["n", "h1", "h2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
     )
     plain.drop()
 
-    # Keys that more than one document has.
-    by_key = F.expr("min(id) OVER (PARTITION BY key)"), F.expr("max(id) OVER (PARTITION BY key)")
-    shared = Scratch(
-        _keys(rows, k, percent).select("key", "id", "need", by_key[0].alias("leader"), by_key[1].alias("last")).where("leader <> last").drop("last")
-    )
+    # Indexed tokens that more than one set has, and the sets that have enough of them.
+    ends = F.expr("min(h) OVER (PARTITION BY key)"), F.expr("max(h) OVER (PARTITION BY key)")
+    shared = Scratch(_index(rows, k, percent).select("key", "h", "need", ends[0].alias("leader"), ends[1].alias("last")).where("leader < last").drop("last"))
     free_shuffles(spark)
-    rep = classes.where("n > 0").select("id", "rep", "n")
-    votes = shared.df.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("votes"), F.max("need").alias("need")).where("votes >= need")
+    enough = shared.df.groupBy("h").agg(F.countDistinct("key").alias("c"), F.max("need").alias("need")).where("c >= need").select("h")
+    nodes = Scratch(reps.df.select(F.col("h1").alias("h"), "rep", F.col("n").cast("int").alias("n")).join(enough, "h", "left_semi"))
+    reps.drop()
+
+    # Families: sets that leaders, and the leaders of these, hold together.
+    votes = shared.df.where("h <> leader").groupBy("h", "leader").agg(F.count("*").alias("votes"), F.max("need").alias("need")).where("votes >= need")
     pairs = (
-        votes.join(rep.select("id", F.col("rep").alias("a"), F.col("n").alias("na")), "id")
-        .join(rep.select(F.col("id").alias("leader"), F.col("rep").alias("b"), F.col("n").alias("nb")), "leader")
+        votes.join(nodes.df.select("h", F.col("rep").alias("a"), F.col("n").alias("na")), "h")
+        .join(nodes.df.select(F.col("h").alias("leader"), F.col("rep").alias("b"), F.col("n").alias("nb")), "leader")
         .where(f"a <> b AND na * 100 >= nb * {percent} AND nb * 100 >= na * {percent}")
         .groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b"))
-    )
-    pairs = Scratch(pairs)
-    members = Scratch(
-        shared.df.join(rep.select("id", "rep"), "id").groupBy("key", "rep").agg(F.max("need").alias("need"))
-        .withColumn("count", F.expr("count(*) OVER (PARTITION BY key)")).where("count > 1").drop("count")
     )
-    shared.drop()
-    # Families: sets that leaders, and the leaders of these, hold together.
-    best = pairs.df
-    led = connected(best).select(F.col("node").alias("rep"), F.col("label").alias("fam"))
-    nodes = members.df.select("rep").distinct().join(rep.groupBy("rep").agg(F.max("n").alias("n")), "rep").join(led, "rep", "left")
-    nodes = Scratch(nodes.select("rep", "n", F.coalesce("fam", "rep").alias("fam")))
-    # Sets that share enough keys with another family.
-    of = members.df.join(nodes.df.select("rep", "fam"), "rep")
-    kinds = of.select("key", "fam").distinct()
-    several = kinds.groupBy("key").agg(F.min("fam").alias("x"), F.max("fam").alias("y")).where("x <> y").select("key")
-    across = of.join(kinds.join(several, "key").select("key", F.col("fam").alias("other")), "key").where("other < fam")
-    across = across.groupBy("rep", F.col("other").alias("fam")).agg(F.count("*").alias("keys"), F.max("need").alias("need"))
-    across = Scratch(across.where("keys >= need").select("rep", "fam"))
-    members.drop()
-    families = nodes.df.groupBy("fam").agg(F.count("*").alias("size"))
-    met = families.where("size > 1").select("fam").unionByName(across.df.select("fam")).distinct()
-    wanted = nodes.df.join(met, "fam").select(F.col("rep").alias("id")).unionByName(across.df.select(F.col("rep").alias("id"))).distinct()
-    wanted = Scratch(wanted)
-    tokens = Scratch(_tokens(rows, wanted.df, k))
+    led = connected(pairs)
+    sets = Scratch(
+        nodes.df.join(led.select(F.col("node").alias("rep"), F.col("label").alias("fam")), "rep", "left")
+        .select("h", "rep", "n", F.coalesce("fam", "rep").alias("fam"))
+    )
+    nodes.drop()
+    tokens = Scratch(_tokens(rows, sets.df.select("rep").distinct(), k))
     free_shuffles(spark)
 
-    side = lambda x: tokens.df.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    stars = best.join(side("a"), "a").join(side("b"), "b").where(_linked(F.col("ta"), F.col("na"), F.col("tb"), F.col("nb"), percent)).select("a", "b")
+    # Every set asks its own group and the first group of its family.
+    placed = _grouped(sets.df.select("rep", "fam").distinct().join(tokens.df, "rep"))
+    of = lambda *x: F.xxhash64("fam", *x)
+    columns = ["rep", F.col("rep").alias("label"), "tokens"]
+    alone = placed.select(of("part").alias("gid"), F.lit(0).alias("side"), *columns)
+    head = F.lit("head")
+    asks = placed.where("part > 0").select(of("part", head).alias("gid"), F.lit(0).alias("side"), *columns)
+    heads = placed.where("part = 0 AND parts > 1").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1).cast("array<long>")))
+    heads = heads.select(of("part", head).alias("gid"), F.lit(1).alias("side"), *columns)
+    links = _open(alone.unionByName(asks).unionByName(heads), percent)
     # Rows that share an id but not a set are one document.
-    least = rep.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a")
-    same = rep.join(least, "id").select("a", F.col("rep").alias("b")).where("a <> b")
-    first = Scratch(stars.unionByName(same))
-    groups = connected(first.df)
+    known = classes.df.where("n > 0 AND id IS NOT NULL").select("id", "rep")
+    least = known.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a")
+    same = known.join(least, "id").select("a", F.col("rep").alias("b")).where("a <> b")
+    first = Scratch(links.unionByName(same))
     free_shuffles(spark)
-
-    # The matrix, and the sets that ask its groups.
-    placed = nodes.df.join(wanted.df.select(F.col("id").alias("rep")), "rep", "left_semi").join(families, "fam")
-    placed = placed.join(groups.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / GROUP))
-    placed = Scratch(placed.select("rep", "n", "fam", part.alias("part"), F.coalesce("label", "rep").alias("label")))
-    asking = placed.df.join(tokens.df.select(F.col("id").alias("rep"), "bits"), "rep")
-    unite = F.aggregate(
-        F.collect_list("bits"), F.array_repeat(F.lit(0).cast("long"), BITS // 64), lambda acc, x: F.zip_with(acc, x, lambda p, q: p.bitwiseOR(q))
-    )
-    matrix = Scratch(
-        asking.groupBy("fam", "part").agg(
-            unite.alias("union"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("low"), F.max("label").alias("high")
-        )
-    )
-    mixed = matrix.df.groupBy("fam").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("fam")
-    asked = placed.df.join(mixed, "fam").select("rep", "fam").unionByName(across.df)
-    asker = asking.select("rep", "n", "label", F.col("fam").alias("home"), F.col("part").alias("own"), "bits")
-    missing = F.aggregate(F.zip_with("bits", "union", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda acc, x: acc + x)
-    opened = Scratch(
-        asked.join(asker, "rep").join(matrix.df, "fam")
-        .where("(fam <> home OR part <= own) AND NOT (low = high AND low = label)")
-        .where(f"most * 100 >= n * {percent} AND n * 100 >= least * {percent}")
-        .where((F.col("n") - missing) * 100 >= F.col("n") * percent)
-        .select("rep", "fam", "part")
-    )
+    final = connected(first.df)
+
+    # What may still link with another component.
+    labels = final.select(F.col("node").alias("rep"), "label")
+    now = sets.df.join(labels, "rep", "left").select("h", "rep", "n", "fam", F.coalesce("label", "rep").alias("label"))
+    crossing = shared.df.select("key", "h", "need").join(now.select("h", "label"), "h")
+    may = _across(crossing, "key", "h").agg(F.countDistinct("key").alias("c"), F.max("need").alias("need")).where("c >= need").select("h")
+    alive = Scratch(now.join(may, "h", "left_semi").groupBy("rep", "fam", "label").agg(F.min("n").alias("n")))
+    log |= {"classes_indexed": sets.df.count(), "edges_first": first.df.count(), "may_link": alive.df.count()}
+    shared.drop()
+    sets.drop()
     free_shuffles(spark)
-    # Exact comparison inside the groups that qualify.
-    whole = placed.df.join(opened.df.select("fam", "part").distinct(), ["fam", "part"]).join(tokens.df.select(F.col("id").alias("rep"), "tokens", "sketch"), "rep")
-    sets = whole.groupBy("fam", "part").agg(F.collect_list(F.struct("rep", "n", "label", "tokens", "sketch")).alias("sets"))
-    asker = opened.df.join(tokens.df.select(F.col("id").alias("rep"), "n", "tokens", "sketch"), "rep").join(placed.df.select("rep", "label"), "rep")
-    near = lambda x: (x["label"] != F.col("label")) & _may_link(F.col("sketch"), F.col("n"), x["sketch"], x["n"], percent)
-    other = lambda x: near(x) & _linked(F.col("tokens"), F.col("n"), x["tokens"], x["n"], percent)
-    hit = F.transform(F.filter("sets", other), lambda x: x["rep"])
-    late = Scratch(asker.join(sets, ["fam", "part"]).select(F.col("rep").alias("a"), F.explode(hit).alias("b")))
-    for used in (nodes, across, wanted, placed, matrix, opened, tokens, pairs):
-        used.drop()
-    if late.df.isEmpty():
-        final = groups
-    else:
+    alive = _unsettled(alive, tokens.df, percent)
+    log["unsettled"] = alive.df.count()
+    if log["unsettled"]:
+        # Groups ask groups that share a token of a prefix with them.
+        left = _grouped(alive.df.drop("n").join(tokens.df, "rep")).withColumn("gid", F.xxhash64("fam", "part"))
+        groups = Scratch(left.select("gid", "rep", "n", "label", "tokens"))
+        prefix = F.expr(f"slice(tokens, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + 1)")
+        lines = groups.df.select("gid", "label", F.explode(prefix).alias("token")).groupBy("token", "gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        several = lines.groupBy("token").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x < y").select("token")
+        lines = Scratch(lines.join(several, "token"))
+        x, y = (lines.df.select("token", *(F.col(c).alias(c + s) for c in ("gid", "low", "high"))) for s in "xy")
+        meet = x.join(y, "token").where("gidx < gidy AND NOT (lowx = highx AND lowy = highy AND lowx = lowy)").select("gidx", "gidy").distinct()
+        pair = F.xxhash64("gidx", "gidy", F.lit("pair")).alias("pair")
+        sides = meet.select(F.col("gidx").alias("gid"), pair, F.lit(0).alias("side")).unionByName(meet.select(F.col("gidy").alias("gid"), pair, F.lit(1).alias("side")))
+        own = groups.df.select("gid", F.lit(0).alias("side"), "rep", "label", "tokens")
+        late = Scratch(_open(groups.df.join(sides, "gid").drop("gid").withColumnRenamed("pair", "gid").select(own.columns).unionByName(own), percent))
+        log["edges_late"] = late.df.count()
         final = connected(first.df.unionByName(late.df))
-    for used in (late, first):
+        for used in (late, lines, groups):
+            used.drop()
+    for used in (alive, first, tokens):
         used.drop()
     free_shuffles(spark)
-    return classes.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
+    return classes.df.join(final.select(F.col("node").alias("rep"), "label"), "rep", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id")
     )
