@@ -14,7 +14,7 @@ of their sets reaches a threshold, and the operator returns connected components
    Links found make components.
 4. What may still link: a link between two components needs tokens that both have, so a token within one
    component counts for nothing, and a set with too few other tokens is done. This is repeated until
-   it takes few sets away.
+   it takes few sets away or few are left.
 5. The sets left, mostly none, are grouped again, and groups ask groups: pairs of groups of different
    components that share a token of their members' prefixes are bounded and opened as in 3.
 
@@ -44,8 +44,8 @@ from quire.plans.scratch import Scratch, free_shuffles
 
 #: Members and tokens of a group, and sets that a worker remembers to skip equal ones.
 GROUP, TOKENS, REMEMBERED = 64, 65_536, 200_000
-#: Columns of the matrix that a comparison holds at a time.
-COLUMNS = 16_384
+#: Columns of the matrix that a comparison holds at a time, and sets that are compared without asking once more whether they may link.
+COLUMNS, FEW = 16_384, 2_000
 
 
 def least_common(n: int, percent: int) -> int:
@@ -224,7 +224,7 @@ def _across(rows: DataFrame, key: str, by: str) -> DataFrame:
 def _unsettled(alive: Scratch, tokens: DataFrame, percent: int) -> Scratch:
     """Those of ``alive`` (rep, n, fam, label) that have enough tokens in common with other components."""
     n = alive.df.count()
-    while n:
+    while n > FEW:
         each = tokens.select("rep", "tokens").join(alive.df.select("rep", "n", "label"), "rep").select("rep", "n", "label", F.explode("tokens").alias("token"))
         left = _across(each, "token", "rep").agg(F.count("*").alias("c"), F.min("n").alias("m")).where(f"c * 100 >= m * {percent}").select("rep")
         after = Scratch(alive.df.join(left, "rep", "left_semi"))

@@ -139,6 +139,7 @@ def test_group_kernel():
 def test_late_links_between_components(spark, monkeypatch):
     # Sets far from their leader that link with one another are found by the second round only.
     monkeypatch.setattr(jaccard, "GROUP", 3)
+    monkeypatch.setattr(jaccard, "FEW", 0)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(120)]
     docs = []
