@@ -13,12 +13,13 @@ of their sets reaches a threshold, and the operator returns connected components
    member, and only sets and groups whose bound reaches the threshold are opened and compared exactly.
    Links found make components.
 4. What may still link: a link between two components needs tokens that both have, so a token within one
-   component counts for nothing, and a set with too few other tokens is done. This is repeated until
-   it takes few sets away or few are left.
+   component counts for nothing, and a set with too few other tokens is done. The number of the others
+   also bounds the size of sets it may link with. This is repeated until it takes few sets away or few are left.
 5. The sets left, mostly none, are grouped again, and groups ask groups: pairs of groups of different
    components that share a token of their members' prefixes are bounded and opened as in 3.
 
-Work by token is linear; what is joined with one another are groups, never members, and pairs
+Work by token is linear, and as a document has a token once, no token has more than a small share of
+the rows of an index, however many documents share it. What is joined with one another are groups, never members, and pairs
 inside a group are never listed: a group gives a spanning tree of its links. Comparisons are exact on
 64-bit shingle hashes. Cases: a text of fewer words than a shingle is one shingle; a text without
 words (or null) has an empty set and links with nothing; rows of a null id are judged alone
@@ -43,7 +44,7 @@ from quire.llm.shingles import Shingler, mix
 from quire.plans.scratch import Scratch, free_shuffles
 
 #: Members and tokens of a group, and sets that a worker remembers to skip equal ones.
-GROUP, TOKENS, REMEMBERED = 64, 65_536, 200_000
+GROUP, TOKENS, REMEMBERED = 256, 131_072, 200_000
 #: Columns of the matrix that a comparison holds at a time, and sets that are compared without asking once more whether they may link.
 COLUMNS, FEW = 16_384, 2_000
 
@@ -159,8 +160,12 @@ def _spanning(sizes: np.ndarray, flat: np.ndarray, side: np.ndarray, percent: in
     else:
         useful = np.bincount(col) > 1  # the union of the others has it
     keep = useful[col]
-    # The bound: tokens that a set has in the union limit its overlap with every member.
-    ok = np.bincount(who[keep], minlength=m) * 100 >= sizes * percent
+    # The bound: tokens that a set has in the union limit its overlap with every member, of which none is smaller than the least.
+    if side.any():
+        smallest = np.where(side == 0, sizes[side != 0].min(), sizes[side == 0].min())
+    else:
+        smallest = np.full(m, sizes.min())
+    ok = np.bincount(who[keep], minlength=m) * (100 + percent) >= (sizes + np.maximum(smallest, sizes * percent // 100)) * percent
     if ok.sum() < 2:
         return none, none
     row = np.cumsum(ok) - 1
@@ -210,7 +215,7 @@ def _open(groups: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(sets: DataFrame) -> DataFrame:
     """``sets`` (rep, n, fam, ...) with their group ``part`` of the family and its number of ``parts``; the family's first leader is in part 0."""
-    sizes = sets.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / TOKENS)).alias("parts"))
+    sizes = sets.groupBy("fam").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / TOKENS)).alias("parts"), F.count("*").alias("members"))
     part = F.when(F.col("rep") == F.col("fam"), 0).otherwise(F.pmod(F.xxhash64("rep"), "parts"))
     return sets.join(sizes, "fam").withColumn("part", part.cast("long"))
 
@@ -222,15 +227,25 @@ def _across(rows: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def _unsettled(alive: Scratch, tokens: DataFrame, percent: int) -> Scratch:
-    """Those of ``alive`` (rep, n, fam, label) that have enough tokens in common with other components."""
-    n = alive.df.count()
+    """Those of ``alive`` (rep, n, fam, label) that have enough tokens in common with other components.
+
+    Sets of ``n`` and ``m`` tokens that link have (n + m) * percent / (100 + percent) in common at least, so the
+    ``c`` tokens that a set shares with others also say how large (``most``) a set can be that it links with.
+    """
+    first = Scratch(alive.df.withColumn("most", (F.col("n") * 100 / percent).cast("int")))
+    alive.drop()
+    alive, turn, n = first, 0, first.df.count()
+    token = "OVER (PARTITION BY token)"
     while n > FEW:
-        each = tokens.select("rep", "tokens").join(alive.df.select("rep", "n", "label"), "rep").select("rep", "n", "label", F.explode("tokens").alias("token"))
-        left = _across(each, "token", "rep").agg(F.count("*").alias("c"), F.min("n").alias("m")).where(f"c * 100 >= m * {percent}").select("rep")
-        after = Scratch(alive.df.join(left, "rep", "left_semi"))
+        each = tokens.select("rep", "tokens").join(alive.df.drop("fam"), "rep").select("rep", "n", "label", "most", F.explode("tokens").alias("token"))
+        least = each.withColumn("least", F.expr(f"min(struct(n, label)) {token}")).withColumn("next", F.expr(f"min(CASE WHEN label <> least.label THEN n END) {token}"))
+        other = F.when(F.col("label") == F.col("least.label"), F.col("next")).otherwise(F.col("least.n"))
+        counted = least.where(other <= F.col("most")).groupBy("rep").agg(F.count("*").alias("c"), F.min("n").alias("m")).where(f"c * 100 >= m * {percent}")
+        size = F.least(F.col("most"), F.floor(F.col("c") * (100 + percent) / percent).cast("int") - F.col("m"))
+        after = Scratch(alive.df.join(counted, "rep").select("rep", "fam", "label", "n", F.greatest(size, F.lit(0)).alias("most")))
         alive.drop()
-        alive, before, n = after, n, after.df.count()
-        if n > 0.9 * before:
+        alive, before, n, turn = after, n, after.df.count(), turn + 1
+        if turn > 1 and n > 0.9 * before:
             break
     return alive
 
@@ -282,7 +297,7 @@ def jaccard_components(
     placed = _grouped(sets.df.select("rep", "fam").distinct().join(tokens.df, "rep"))
     of = lambda *x: F.xxhash64("fam", *x)
     columns = ["rep", F.col("rep").alias("label"), "tokens"]
-    alone = placed.select(of("part").alias("gid"), F.lit(0).alias("side"), *columns)
+    alone = placed.where("members > 1").select(of("part").alias("gid"), F.lit(0).alias("side"), *columns)
     head = F.lit("head")
     asks = placed.where("part > 0").select(of("part", head).alias("gid"), F.lit(0).alias("side"), *columns)
     heads = placed.where("part = 0 AND parts > 1").withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts") - 1).cast("array<long>")))
@@ -310,7 +325,7 @@ def jaccard_components(
     log["unsettled"] = alive.df.count()
     if log["unsettled"]:
         # Groups ask groups that share a token of a prefix with them.
-        left = _grouped(alive.df.drop("n").join(tokens.df, "rep")).withColumn("gid", F.xxhash64("fam", "part"))
+        left = _grouped(alive.df.drop("n", "most").join(tokens.df, "rep")).withColumn("gid", F.xxhash64("fam", "part"))
         groups = Scratch(left.select("gid", "rep", "n", "label", "tokens"))
         prefix = F.expr(f"slice(tokens, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + 1)")
         lines = groups.df.select("gid", "label", F.explode(prefix).alias("token")).groupBy("token", "gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
