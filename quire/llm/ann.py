@@ -2,7 +2,9 @@
 
 Equal vectors are one node, which keeps its least ids (no more of them can be among the nearest).
 The graph starts from a few random-projection partitions, inside whose small buckets every node
-takes its best neighbours. Then rounds of NN-descent: each node's neighbours and a sample of
+takes its best neighbours, and from one random partition, so that a node alone in its direction has
+neighbours too. Every node keeps ``degree`` of them, better ones or not, so a search never ends with
+fewer nodes than a query needs. Then rounds of NN-descent: each node's neighbours and a sample of
 the nodes that have it as a neighbour are joined with their vectors and compared with one another
 (neighbours of neighbours), and every node keeps its ``degree`` best. Only pairs with a new
 edge are compared, and rounds end when few edges change.
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.groups import by_group
 from quire.plans.scratch import Scratch, free_shuffles, materialise
 
 #: Neighbours kept a node, sampled reverse neighbours, random-projection partitions, nodes a bucket.
@@ -70,36 +73,6 @@ def _unpack(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
-def _by_group(rows: DataFrame, key: str, kernel: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """Run ``kernel(rows, starts of groups)`` over whole groups of ``key``, many at a time."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            if table.num_rows:
-                v = table.column(0).to_numpy()
-                yield from kernel(table, np.flatnonzero(np.r_[True, v[1:] != v[:-1]])).select(names).to_batches()
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(pa.Table.from_batches([b]))
-            v = b.column(0).to_numpy()
-            if held[0].column(0)[0].as_py() == v[-1]:
-                continue  # one group so far
-            table = pa.concat_tables(held)
-            cut = table.num_rows - (len(v) - int(np.searchsorted(v, v[-1])))
-            yield from done(table.slice(0, cut))
-            held = [table.slice(cut)]
-        if held:
-            yield from done(pa.concat_tables(held))
-
-    first = [key] + [c for c in rows.columns if c != key]
-    return rows.select(*first).repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
-
-
 def _compare(best: int) -> Callable[[pa.Table, np.ndarray], pa.Table]:
     """All-with-all inside each group (v): for every member its best others above its bar, where one of the two is new."""
 
@@ -146,8 +119,8 @@ def _keep_best(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def _partitioned(halves: DataFrame, n: int, tree: int) -> DataFrame:
-    """``v, u, h, bar, new``: buckets of a random-projection partition, about ``BUCKET`` nodes each."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
+    """``v, u, h, bar, new``: buckets of about ``BUCKET`` nodes by random projections; for a negative ``tree`` by a hash only."""
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / BUCKET)))) if tree >= 0 else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -156,7 +129,7 @@ def _partitioned(halves: DataFrame, n: int, tree: int) -> DataFrame:
                 continue
             h = _unpack(b.column(1))
             if planes is None:
-                planes = np.random.default_rng(tree).normal(size=(h.shape[1], bits)).astype(np.float32)
+                planes = np.random.default_rng(abs(tree)).normal(size=(h.shape[1], bits)).astype(np.float32)
             code = ((h @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(h), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(code.astype(np.int64))], ["u", "h", "code"])
 
@@ -169,8 +142,8 @@ def _partitioned(halves: DataFrame, n: int, tree: int) -> DataFrame:
 def build_graph(halves: DataFrame, n: int, rounds: int = 8, degree: int = DEGREE, settled: float = 0.05) -> DataFrame:
     """``cid, nbr, sim``: the neighbour graph; rounds end when less than ``settled`` of the edges are new."""
     found = None
-    for tree in range(TREES):
-        part = _by_group(_partitioned(halves, n, tree), "v", _compare(degree), "cid long, nbr long, sim float")
+    for tree in range(-1, TREES):
+        part = by_group(_partitioned(halves, n, tree), "v", _compare(degree), "cid long, nbr long, sim float")
         found = part if found is None else found.unionByName(part)
     graph = Scratch(_keep_best(found.withColumn("new", F.lit(True)), degree))
     for turn in range(rounds):
@@ -180,7 +153,7 @@ def build_graph(halves: DataFrame, n: int, rounds: int = 8, degree: int = DEGREE
         back = Window.partitionBy("nbr").orderBy(F.col("new").desc(), F.xxhash64("cid", F.lit(turn)))
         reverse = g.select(F.col("nbr").alias("v"), F.col("cid").alias("u"), "new", F.row_number().over(back).alias("r")).where(F.col("r") <= REVERSE).drop("r")
         members = g.select(F.col("cid").alias("v"), F.col("nbr").alias("u"), "new").unionByName(reverse).groupBy("v", "u").agg(F.max("new").alias("new"))
-        near = _by_group(members.join(known, "u").select("v", "u", "h", "bar", "new"), "v", _compare(OFFERS), "cid long, nbr long, sim float")
+        near = by_group(members.join(known, "u").select("v", "u", "h", "bar", "new"), "v", _compare(OFFERS), "cid long, nbr long, sim float")
         merged = g.withColumn("new", F.lit(False)).unionByName(near.withColumn("new", F.lit(True)))
         after = Scratch(_keep_best(merged, degree))
         fresh = after.df.where("new").count()

@@ -3,7 +3,7 @@
 Texts are lower-cased and cut into character 1- to 3-grams, hashed into 2^16 buckets; a row's vector
 is (1 + log tf) * idf, scaled to length 1. Document frequencies come from every training row. The
 regression is trained example by example with FTRL-proximal (per-coordinate rates, elastic-net
-penalty) on a bounded sample of ``a_language`` training rows for each language, a part of which
+penalty) on a sample of ``a_language`` distinct training texts, in expectation, for each language, a part of which
 calibrates the temperature of the softmax instead.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; rows without a language
@@ -135,7 +135,7 @@ def fit_langid(docs: DataFrame, learn, text: str = "text", lang: str = "lang", a
     if languages:
         sample = known.withColumn("place", place).where(F.col("place") < F.coalesce(*shares)).dropDuplicates(["lang", "place"])
         kept = sample.select("lang", "place", "text").mapInArrow(features, "lang string, place double, at array<long>, n array<long>")
-        rows = kept.limit(2 * a_language * len(languages)).toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
+        rows = kept.toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
         index = {k: i for i, k in enumerate(languages)}
         train(model, [(at.values.to_numpy(), n.values.to_numpy(), index[k.as_py()]) for k, at, n in zip(rows["lang"], rows["at"], rows["n"], strict=True)])
     return model

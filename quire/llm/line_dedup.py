@@ -13,7 +13,8 @@ text of one or two lines that are not blank are a window.
 Cases: a null text stays null and has no lines; a text of fewer than three lines that are not
 blank has no window and stays, unless ``long_words`` is given; blank lines are never removed and never part of a window; null
 ids come last in the order; rows that repeat a document (same id and text) keep equal results;
-rows with one id and different texts count apart; an empty table gives no rows.
+rows with one id and different texts count apart; an empty table gives no rows; other columns, whatever
+their names, stay as they are, but for ``n_lines`` and ``n_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.text import unused
+
 WINDOW = 3
 
 
@@ -70,17 +73,15 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_removed``."""
-    covered = repeated_windows(docs, doc_id, text, long_words).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-    joined = docs.withColumn("_key", F.xxhash64(F.col(text))).join(
-        covered.hint("shuffle_hash"), (F.col(doc_id).eqNullSafe(F.col("_id"))) & (F.col("_key") == F.col("_hash")), "left"
-    )
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("removed"))
-    rest = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    id_, hash_, key, gone, split = unused([*docs.columns, "n_lines", "n_removed"], "id", "hash", "key", "removed", "lines")
+    covered = repeated_windows(docs, doc_id, text, long_words).toDF(id_, hash_, gone)
+    joined = docs.withColumn(key, F.xxhash64(F.col(text))).join(covered.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_)), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    rest = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
     return (
-        joined.withColumn("_lines", lines)
-        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long"))
+        joined.withColumn(split, F.split(F.col(text), "\n", -1))
+        .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"))
+        .withColumn("n_removed", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
         .withColumn(text, F.when(F.col("n_removed") > 0, rest).otherwise(F.col(text)))
-        .drop("_id", "_hash", "_key", "_lines", "removed")
+        .drop(id_, hash_, key, split, gone)
     )

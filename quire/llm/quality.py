@@ -6,7 +6,7 @@ arrays (feature, threshold, value by node of a complete tree), which scoring wal
 and trees at once.
 
 The model is fitted on the driver on a bounded sample of labelled rows (``sample`` rows, chosen by
-a hash of the id); scoring runs over every row. Cases: a null or empty text has all-zero
+a hash of the id, in expectation; of several texts of one id the least); scoring runs over every row. Cases: a null or empty text has all-zero
 statistics and is scored like any other; conflicting labels of one id are averaged; labels that are
 null or without a document are ignored; without any label every score is 0.5; repeated rows
 give repeated results; an empty table gives no rows; other columns are ignored.
@@ -14,6 +14,7 @@ give repeated results; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.text import crc_mod
 
-#: Texts beyond this many bytes are described piece by piece, their statistics averaged by size.
+#: Bytes of a text that are split into words at a time; the statistics don't depend on it.
 PIECE = 1 << 21
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t", "line": b"\n\r",
             "stop": b".,;:", "shout": b"!?", "quote": b"'\"()-", "symbol": b"#$%&*+/<=>@[\\]^_`{|}~"}
@@ -37,22 +38,46 @@ _OF[0xC0:] = len(_CLASSES) + 2
 FEATURES = 24
 
 
-def _piece(data: bytes) -> np.ndarray:
-    n = len(data)
-    count = np.bincount(_OF[np.frombuffer(data, dtype=np.uint8)], minlength=len(_CLASSES) + 3).astype(np.float64)
-    words = data.split()
-    lines = [x for x in data.split(b"\n") if x.strip()]
-    w, m = max(len(words), 1), max(len(lines), 1)
-    distinct = len(set(words))
-    size = sum(map(len, words))
+def _runs(data: bytes) -> Iterator[bytes]:
+    """``data`` in pieces that end at white space."""
+    at = 0
+    while at < len(data):
+        end = at + PIECE
+        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def _text(data: bytes) -> np.ndarray:
+    n, size = len(data), 0
+    count = np.zeros(len(_CLASSES) + 3)
+    hashes = []
+    for piece in _runs(data):
+        count += np.bincount(_OF[np.frombuffer(piece, dtype=np.uint8)], minlength=len(_CLASSES) + 3)
+        words = piece.split()
+        size += sum(map(len, words))
+        hashes.append(np.fromiter(map(hash, words), dtype=np.int64, count=len(words)))
+    h = np.concatenate(hashes)
+    distinct = len(set(h.tolist()))
+    with np.errstate(over="ignore"):
+        pairs = len(set((h[:-1] * np.int64(0x9E3779B97F4A7C1) + h[1:]).tolist()))
+    n_lines = long_line = 0
+    lines: set[int] = set()
+    for line in io.BytesIO(data):
+        line = line.removesuffix(b"\n")
+        if line.strip():
+            n_lines += 1
+            lines.add(hash(line))
+            long_line = max(long_line, len(line))
+    w, m = max(len(h), 1), max(n_lines, 1)
     letters = max(count[0] + count[1], 1)
-    long_line = max(map(len, lines), default=0)
     return np.concatenate(
         [
             count / n,
             [
-                np.log1p(len(words)), size / w, distinct / w, len(set(zip(words, words[1:], strict=False))) / w, count[0] / letters,
-                len(lines) / w, len(set(lines)) / m, long_line / n, count[5] / w, count[6] / w, count[8] / w, (count[7] + count[2]) / w,
+                np.log1p(len(h)), size / w, distinct / w, pairs / w, count[0] / letters,
+                n_lines / w, len(lines) / m, long_line / n, count[5] / w, count[6] / w, count[8] / w, (count[7] + count[2]) / w,
             ],
         ]
     )
@@ -63,8 +88,7 @@ def statistics(texts: list[bytes | None]) -> np.ndarray:
     out = np.zeros((len(texts), FEATURES))
     for i, t in enumerate(texts):
         if t:
-            parts = [t[k : k + PIECE] for k in range(0, len(t), PIECE)]
-            out[i] = np.average([_piece(p) for p in parts], axis=0, weights=[len(p) for p in parts]) if len(parts) > 1 else _piece(t)
+            out[i] = _text(t)
     return out
 
 
@@ -146,7 +170,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, sample: int
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
-    got = rows.select("y", "text").mapInArrow(run, "y double, x array<double>").limit(4 * sample).toArrow()
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))  # one text an id, so no more rows than picked labels
+    got = rows.select("y", "text").mapInArrow(run, "y double, x array<double>").toArrow()
     y = got.column("y").to_numpy()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(len(y), FEATURES)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order in which rows arrive

@@ -21,3 +21,15 @@ def ascii_lower(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``: the fold of a row."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores added until none of ``columns`` is called so."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

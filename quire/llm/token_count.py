@@ -3,7 +3,9 @@
 A batch of texts is split into pre-tokens; those not met before become one ragged numpy array of
 symbol ids. In each round every sequence finds its lowest-ranked adjacent pair and all its
 occurrences are merged at once (left to right where they overlap), for all sequences together;
-sequences without a ranked pair are done, and the surviving symbols are counted.
+sequences without a ranked pair are done, and the surviving symbols are counted. In a sequence of
+more than ``LONG`` symbols pairs wait by rank instead, and a round touches only the pairs of its
+lowest rank and their neighbours, so that the time is near linear in the length.
 
 Cases: a null text counts as empty (no bytes, no tokens); the special strings of the vocabulary
 count as one token each where they occur in a text; repeated rows give repeated results; a very
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens in one run, and pre-tokens whose counts a worker remembers.
 RUN, REMEMBERED = 200_000, 300_000
+#: Symbols from which a sequence is merged on its own.
+LONG = 1024
 
 
 def byte_symbols() -> list[str]:
@@ -59,8 +64,54 @@ class RankMerger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], self.none)
 
+    def _long(self, word: bytes) -> int:
+        """Tokens of one long word."""
+        n = left = len(word)
+        sym = self.byte_id[np.frombuffer(word, dtype=np.uint8)]
+        before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), self.none)  # of the pair that starts there
+        waiting: dict[int, list[np.ndarray]] = {}
+        lowest: list[int] = []
+
+        def put(at: np.ndarray) -> None:
+            at = at[rank[at] < self.none]
+            at = at[np.argsort(rank[at], kind="stable")]
+            of = rank[at]
+            for part in np.split(at, np.flatnonzero(of[1:] != of[:-1]) + 1) if len(at) else []:
+                key = int(rank[part[0]])
+                if key not in waiting:
+                    heappush(lowest, key)
+                waiting.setdefault(key, []).append(part)
+
+        put(np.arange(n - 1))
+        while lowest:
+            key = heappop(lowest)
+            at = np.unique(np.concatenate(waiting.pop(key)))
+            at = at[rank[at] == key]
+            if not len(at):
+                continue
+            k = np.arange(len(at))
+            first = np.maximum.accumulate(np.where(np.r_[True, after[at[:-1]] != at[1:]], k, 0))
+            at = at[(k - first) % 2 == 0]
+            gone = after[at]
+            sym[at], rank[gone], after[at] = self.merged[key], self.none, after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left -= len(at)
+            touched = np.unique(np.concatenate([at, before[at]]))
+            touched = touched[touched >= 0]
+            right = after[touched]
+            rank[touched] = np.where(right < n, self.ranks(sym[touched], sym[np.minimum(right, n - 1)]), self.none)
+            put(touched)
+        return left
+
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Tokens of each word."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out = self.counts([w if len(w) <= LONG else b"" for w in words])
+            out[long] = [self._long(words[i]) for i in long]
+            return out
         n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         out = n.copy()
         seq = np.repeat(np.arange(len(words)), n)

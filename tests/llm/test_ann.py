@@ -62,3 +62,14 @@ def test_search_expands_the_whole_beam(spark):
     graph = spark.createDataFrame(chain, "cid long, nbr long, sim float")
     found = search(graph, halves, spark.createDataFrame([(0,)], "q long")).collect()
     assert sorted(r.cid for r in found) == list(range(12))
+
+
+def test_outlier_and_far_clusters(spark):
+    # One vector against all others, and two tight clusters that point apart: every query gets all its neighbours.
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=16)
+    rows = [(0, (-base).tolist())] + [(i, (base + 0.01 * rng.normal(size=16)).tolist()) for i in range(1, 400)]
+    got = run(spark, rows, 50)
+    want = brute(rows, range(0, 400, 50))
+    assert {q: len(x) for q, x in got.items()} == dict.fromkeys(range(0, 400, 50), 5)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want]) / 5 >= 0.9

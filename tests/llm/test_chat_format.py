@@ -38,3 +38,16 @@ def test_digests(spark):
 
 def test_empty(spark):
     assert digests(format_chat(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_many_turns(spark):
+    # Linear enough for a conversation of 20,000 turns, a third of them merged.
+    rows = [(1, i, ("user", "assistant", "assistant")[i % 3], f"t{i} <|im_end|>&") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = format_chat(df)
+    got = out.first()
+    assert [got.formatted[s.start - 1 : s.start - 1 + s.length] for s in got.loss_spans] == [t.replace("&", "&amp;").replace("<|", "&lt;|") for _, _, r, t in rows if r == "assistant"]
+    d = digests(out).first()
+    said = "".join(t for _, _, r, t in rows if r == "assistant")
+    assert (d.n_turns, d.loss_chars, d.loss_sha256) == (20_000, len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert d.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()

@@ -51,3 +51,34 @@ def test_temperature_and_sparsity(spark):
     model = fit_langid(docs, F.lit(True))
     assert 0.05 <= model.temperature <= 5 and np.mean(model.weights == 0) > 0.9
     assert model.predict("ab ab")[0] == "p" and model.predict("zw xy")[0] == "q"
+
+
+def test_ftrl_against_plain_loops():
+    """The same updates coordinate by coordinate."""
+    from math import exp, log, sqrt
+
+    rows = [(np.array([1, 5]), np.array([1, 2]), 0), (np.array([2, 5]), np.array([3, 1]), 1), (np.array([1]), np.array([1]), 0)] * 3
+    model = langid.Model(["a", "b"], np.ones(langid.SIZE), np.zeros((2, langid.SIZE + 1)))
+    langid.train(model, rows[:9], epochs=2, alpha=0.5, beta=1.0, l1=0.02, l2=0.02)
+    z, n = {}, {}
+
+    def weight(k, i):
+        zi, ni = z.get((k, i), 0.0), n.get((k, i), 0.0)
+        return 0.0 if abs(zi) <= 0.02 else -(zi - (0.02 if zi > 0 else -0.02)) / ((1 + sqrt(ni)) / 0.5 + 0.02)
+
+    for _ in range(2):
+        for at, count, y in rows[:9]:
+            x = {int(i): 1 + log(c) for i, c in zip(at, count, strict=True)}
+            norm = sqrt(sum(v * v for v in x.values()))
+            x = {i: v / norm for i, v in x.items()} | {langid.SIZE: 1.0}
+            w = {(k, i): weight(k, i) for k in (0, 1) for i in x}
+            e = [exp(sum(w[k, i] * v for i, v in x.items())) for k in (0, 1)]
+            for k in (0, 1):
+                for i, v in x.items():
+                    g = (e[k] / sum(e) - (k == y)) * v
+                    old = n.get((k, i), 0.0)
+                    z[k, i] = z.get((k, i), 0.0) + g - (sqrt(old + g * g) - sqrt(old)) / 0.5 * w[k, i]
+                    n[k, i] = old + g * g
+    for k in (0, 1):
+        for i in (1, 2, 5, langid.SIZE):
+            assert np.isclose(model.weights[k, i], weight(k, i))

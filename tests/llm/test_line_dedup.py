@@ -27,7 +27,9 @@ def brute(docs):
 
 
 def run(spark, docs):
-    df = spark.createDataFrame([(*d, "e") for d in docs], "doc_id long, text string, lines string")
+    names = "lines string, removed string, _id string, id string, hash string, key string, n_lines string"
+    df = spark.createDataFrame([(*d, *"efghijk") for d in docs], f"doc_id long, text string, {names}")
+    assert all((r.lines, r.removed, r._id, r.id, r.hash, r.key) == tuple("efghij") for r in dedup_lines(df).collect())
     return sorted([(r.doc_id, r.n_lines, r.n_removed, r.text) for r in dedup_lines(df).collect()], key=repr)
 
 

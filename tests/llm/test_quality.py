@@ -36,10 +36,45 @@ def test_statistics(monkeypatch):
     texts = [None, b"", b" \n", "Ünï çode".encode(), b"\x00\xff" * 10, b"A! " * 100]
     s = statistics(texts)
     assert s.shape == (6, FEATURES) and np.isfinite(s).all() and not s[0].any() and not s[1].any()
-    long = b"Some words here.\n" * 400
-    whole = statistics([long])
+    long = [b"Some words here.\n" * 400, b"a b c d e f " * 900 + b"\n\nx\n" + bytes(range(65, 91)) * 200]
+    whole = statistics(long)
     monkeypatch.setattr(quality, "PIECE", 1700)
-    assert np.allclose(whole[0, :12], statistics([long])[0, :12])
+    assert np.array_equal(whole, statistics(long))
+
+
+def test_statistics_by_hand():
+    text = b"One two, two three.\n\nOne two, two three.\nX1"
+    words = text.split()
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    want = [np.log1p(9), sum(map(len, words)) / 9, len(set(words)) / 9, len(set(zip(words, words[1:]))) / 9, 3 / 29, 3 / 9, 2 / 3, 19 / len(text), 4 / 9, 0, 0, 1 / 9]  # noqa: B905
+    assert np.allclose(statistics([text])[0, 12:], want)
+
+
+def test_first_tree_is_the_best_one_by_brute_force():
+    """Every cut of every column is tried; the histogram fit must reach the same gains and leaf values."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 9, size=(120, 3)).astype(float), rng.integers(0, 2, 120).astype(float)
+    forest = fit(x, y, trees=1, depth=2, rate=1.0, bins=64, l2=1.0, least=2.0)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(rows, left):
+        a, b = rows & left, rows & ~left
+        if h[a].sum() < 2 or h[b].sum() < 2:
+            return 0
+        return sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (a, b)) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+
+    def check(rows, node, level):
+        if level == 2:
+            assert np.isclose(forest.value[0, node], -g[rows].sum() / (h[rows].sum() + 1))
+            return
+        best = max(gain(rows, x[:, j] <= c) for j in range(3) for c in range(9))
+        left = x[:, forest.feature[0, node]] <= forest.threshold[0, node]
+        assert np.isclose(gain(rows, left), best) or best <= 1e-6
+        check(rows & left, 2 * node + 1, level + 1)
+        check(rows & ~left, 2 * node + 2, level + 1)
+
+    check(np.ones(120, dtype=bool), 0, 0)
 
 
 def test_held_out_accuracy_and_cases(spark, data):

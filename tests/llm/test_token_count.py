@@ -45,3 +45,16 @@ def test_null_and_long(spark):
 @pytest.mark.parametrize("n", [0])
 def test_empty(spark, n):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == n
+
+
+def test_long_pretokens():
+    import random
+    import time
+
+    rng = random.Random(1)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(1_000_000))
+    few = "".join(rng.choice("aab") for _ in range(30_000))
+    texts = [letters, few, "the" * 20_000, "é" * 5001, "=" * 70_001]
+    began = time.perf_counter()
+    got = Counter(PATH).count(texts)
+    assert time.perf_counter() - began < 60 and got == library(texts)
