@@ -2,8 +2,9 @@
 
 Multi-step operators cut their lineage by writing a Parquet table below ``spark.checkpoint.dir``
 and reading it back: the files outlive any executor, and Parquet is smaller than a row
-checkpoint. The folder is read from the session; only where it is unset (local tests) a
-folder of this process is used.
+checkpoint. The folder is read from the session, or from the context's own checkpoint folder; where neither is
+set, a local session (tests) uses a folder of this process, and on a cluster it is an error.
+Tables that nobody drops are deleted when the application ends.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ _LOCAL: dict[str, str] = {}
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="quire-scratch-")
     return _LOCAL["dir"]
@@ -35,11 +38,13 @@ class Scratch:
         (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(self.path)
         self._spark = spark
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        self._at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.deleteOnExit(self._at)
 
     def drop(self) -> None:
-        jvm = self._spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._fs.delete(self._at, True)
+        self._fs.cancelDeleteOnExit(self._at)
 
 
 def materialise(df: DataFrame) -> DataFrame:
