@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quire import queries_documents, queries_state
+from quire import queries_agents, queries_documents, queries_library, queries_state
 
-QUERIES: dict = queries_documents.QUERIES | queries_state.QUERIES
-ORACLES: dict = queries_documents.ORACLES | queries_state.ORACLES
+_MODULES = (queries_documents, queries_state, queries_library, queries_agents)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

@@ -31,8 +31,7 @@ def meta_content(html: Column, name: str) -> Column:
     """Content of a meta tag by name or property, in either order of its attributes."""
     quoted = "".join("\\" + ch if not ch.isalnum() else ch for ch in name)
     key = rf"""(?:name|property)\s*=\s*["']{quoted}["']"""
-    forward = rf"""(?is)<meta\b[^>]*{key}[^>]*content\s*=\s*["']([^"']+)["'][^>]*>"""
-    reverse = rf"""(?is)<meta\b[^>]*content\s*=\s*["']([^"']+)["'][^>]*{key}[^>]*>"""
+    forward, reverse = P.META_FORWARD.replace("{key}", key), P.META_REVERSE.replace("{key}", key)
     return F.trim(X.decode_entities(F.coalesce(_first(html, forward), _first(html, reverse))))
 
 
@@ -119,3 +118,63 @@ def protect(inner: Column, pattern: str = P.PROTECTED) -> Column:
     holes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(i < F.size(parts), F.concat(F.lit("{{GR"), (i - 1).cast("string"), F.lit("}}"))).otherwise(F.lit("")))
     text = X.visible_text(F.array_join(F.zip_with(parts, holes, lambda a, b: F.concat(a, b)), ""))
     return F.struct(text.alias("text"), F.regexp_extract_all(inner, F.lit(pattern), 0).alias("fragments"))
+
+
+def element(html: Column, opening: str, closing: str) -> Column:
+    """Struct (before, opening, inner, after) around the first element; ``after`` starts at the closing tag and is null without one."""
+    tag = F.regexp_extract(html, opening, 0)
+    at = F.instr(html, tag)
+    tail = F.substr(html, at + F.char_length(tag))
+    close = F.regexp_extract(tail, closing, 0)
+    end = F.when(close != "", F.instr(tail, close))
+    return F.struct(
+        F.left(html, at - 1).alias("before"), tag.alias("opening"), F.left(tail, end - 1).alias("inner"), F.substr(tail, end).alias("after")
+    )
+
+
+def content_tag(opening: Column, chapter_id: Column) -> Column:
+    """An opening tag that is marked as the content of a chapter."""
+    return F.concat(F.regexp_replace(opening, r">[^>]*$", ""), F.lit(' data-content data-chapter-id="'), chapter_id, F.lit('">'))
+
+
+def chapter(html: Column, chapter_id: Column) -> Column:
+    """Struct (html, error): the chapter made of a page. Content is the main element, else the body, else all of it."""
+    whole = content_tag(F.lit("<main>"), chapter_id)
+    main, body = element(html, P.MAIN_OPEN, P.MAIN_CLOSE), element(html, P.BODY_OPEN, P.BODY_CLOSE)
+    in_main = F.concat(main["before"], content_tag(main["opening"], chapter_id), mark_blocks(main["inner"], chapter_id), main["after"])
+    in_body = F.concat(body["before"], body["opening"], whole, mark_blocks(body["inner"], chapter_id), F.lit("</main>"), body["after"])
+    alone = F.concat(F.lit('<!doctype html><html><head><meta charset="utf-8"></head><body>'), whole, mark_blocks(html, chapter_id), F.lit("</main></body></html>"))
+    has_main, has_body = html.rlike(P.MAIN_OPEN), html.rlike(P.BODY_OPEN)
+    return F.struct(
+        F.when(has_main, in_main).when(has_body, in_body).otherwise(alone).alias("html"),
+        F.when(has_main, F.when(main["after"].isNull(), "unclosed-main")).when(has_body & body["after"].isNull(), "unclosed-body").alias("error"),
+    )
+
+
+def replace_element(html: Column, tag: str, original: Column, translated: Column, unmarked: bool = False) -> Column:
+    """The first plain element of this tag and text says the translation instead; with ``unmarked`` a block of a chapter stays."""
+    return _said_again(html, rf"(?is)(<{tag}\b[^>]*>\s*)", original, translated, rf"(\s*</{tag}\s*>)", unmarked)
+
+
+def replace_anchor(html: Column, path: Column, original: Column, translated: Column) -> Column:
+    """The same for the text of the first link to ``path``."""
+    opening = F.concat(F.lit(r"""(?is)(<a\b[^>]*\bhref\s*=\s*["']"""), _quoted(path), F.lit(r"""["'][^>]*>\s*)"""))
+    return _said_again(html, opening, original, translated, r"(\s*</a\s*>)", False)
+
+
+def _quoted(text: Column) -> Column:
+    return F.regexp_replace(text, r"([^\p{L}\p{N}_\s])", r"\\$1")
+
+
+def _said_again(html: Column, opening: str | Column, original: Column, translated: Column, closing: str, unmarked: bool) -> Column:
+    opening = F.lit(opening) if isinstance(opening, str) else opening
+    pattern = F.concat(opening, _quoted(X.escape_html(original)), F.lit(closing))
+    found = F.regexp_extract_all(html, pattern, 0)
+    first = F.get(found, F.lit(0))
+    at = F.instr(html, first)
+    head, tail = (F.get(F.regexp_extract_all(html, pattern, k), F.lit(0)) for k in (1, 2))
+    new = F.concat(F.left(html, at - 1), head, X.escape_html(translated), tail, F.substr(html, at + F.char_length(first)))
+    stays = (F.size(found) == 0) | (original == translated)
+    if unmarked:
+        stays = stays | F.contains(X.lower_ascii(head), F.lit("data-block-id"))
+    return F.when(stays, html).otherwise(new)

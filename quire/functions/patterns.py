@@ -33,6 +33,14 @@ NOT_MAIN = (
     r"|<aside\b[^>]*>.*?</aside\s*>|<form\b[^>]*>.*?</form\s*>"
 )
 BLOCK_OPEN = r"(?is)<(p|li|blockquote|pre|h[1-6]|td|th)(\s[^>]*)?>"
+BLOCK_ELEMENT = r"""(?is)<([a-z][a-z0-9:-]*)\b[^>]*\bdata-block-id\s*=\s*["']([^"']+)["'][^>]*>"""
+MAIN_OPEN, MAIN_CLOSE = r"(?is)<main\b[^>]*>", r"(?is)</main\s*>"
+BODY_OPEN, BODY_CLOSE = r"(?is)<body\b[^>]*>", r"(?is)</body\s*>"
+SIDE_TAG = r"(?is)<(/?)(p|li|blockquote)\b([^>]*)>"
+SIDE_QUOTE = r"""(?is)\bclass=["'][^"']*\bepigraph\b[^"']*["']"""
+IMAGE_SOURCE = r"""(?is)(<img\b[^>]*\bsrc\s*=\s*["'])([^"']+)(["'][^>]*>)"""
+META_FORWARD = r"""(?is)<meta\b[^>]*{key}[^>]*content\s*=\s*["']([^"']+)["'][^>]*>"""
+META_REVERSE = r"""(?is)<meta\b[^>]*content\s*=\s*["']([^"']+)["'][^>]*{key}[^>]*>"""
 ANCHOR = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"'#]+)["'][^>]*>(.*?)</a\s*>"""
 IMAGE = r"(?is)<img\b"
 PROTECTED = r"(?is)<code\b[^>]*>.*?</code\s*>|<kbd\b[^>]*>.*?</kbd\s*>|<samp\b[^>]*>.*?</samp\s*>|<img\b[^>]*>"
@@ -75,3 +83,7 @@ CONTENT_TYPES = {
 SETTING_RANGES = {"reader-font-size": (80, 160), "sidebar-width": (280, 560), "ai-sidebar-width": (340, 720)}
 BATCH_BLOCKS, BATCH_CHARS = 80, 12_000
 FINISHED = 0.995
+IMAGE_TYPES = ["jpg", "jpeg", "png", "gif", "webp", "avif"]
+LOCAL_IMAGES, INVALID_ATTEMPTS, ATTEMPTS = 500, 3, 6
+MISSING_IMAGE = '<span class="missing-image">[图片资源不可用]</span>'
+BATCH_SCOPES = ["translation.batch.", "pdf.page."]

@@ -21,19 +21,33 @@ def blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Da
     )
 
 
-def block_texts(pages: DataFrame, tags: tuple[str, ...] = ("p", "li", "h1", "h2", "h3"), page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """``page_id, tag, ord, inner``: bodies of blocks, tag by tag; a body ends at the first closing tag of its kind."""
-    bodies = [F.regexp_extract_all(F.col(html), F.lit(rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>"), 1) for t in tags]
-    named = F.array(*[F.struct(F.lit(t).alias("tag"), b.alias("bodies")) for t, b in zip(tags, bodies, strict=True)])
-    each = pages.select(F.col(page_id).alias("page_id"), F.inline(named))
-    return each.select("page_id", "tag", F.posexplode("bodies").alias("ord", "inner"))
+def block_texts(chapters: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """``page_id, ord, block_id, tag, inner``: the marked blocks of chapters in document order.
+
+    A body ends where ``</tag`` stands first behind the opening, and is empty if it stands nowhere.
+    """
+    element = F.lit(P.BLOCK_ELEMENT)
+    rows = chapters.select(
+        F.col(page_id).alias("page_id"), F.split(F.col(html), P.BLOCK_ELEMENT, -1).alias("parts"),
+        *[F.regexp_extract_all(F.col(html), element, k).alias(n) for k, n in enumerate(("opening", "tag", "block_id"))],
+    )
+    each = F.transform("tag", lambda t, i: F.struct(i.alias("ord"), F.get("block_id", i).alias("block_id"), X.lower_ascii(t).alias("tag"), F.get("parts", i + 1).alias("part"), t.alias("_t")))
+    rows = rows.select("page_id", "parts", "opening", F.inline(each))
+    close = F.concat(F.lit("</"), "tag")
+    near = F.instr(X.lower_ascii(F.col("part")), close)
+    # The closing tag is nearly always in front of the next opening; only else the rest of the page is put together.
+    n = F.size("opening")
+    later = F.transform(F.when(F.col("ord") + 1 < n, F.sequence(F.col("ord") + 1, n - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.concat(F.get("opening", j), F.get("parts", j + 1)))
+    rest = F.concat("part", F.array_join(later, ""))
+    far = F.instr(X.lower_ascii(rest), close)
+    inner = F.when(near > 0, F.left("part", near - 1)).otherwise(F.when(far > 0, F.left(rest, far - 1)).otherwise(F.lit("")))
+    return rows.select("page_id", "ord", "block_id", "tag", inner.alias("inner"))
 
 
 def block_text_view(texts: DataFrame) -> DataFrame:
-    """One text a page: ``## id``, a blank line and the text of every block that has one."""
-    shown = texts.select("page_id", "tag", "ord", X.strip_tags(F.col("inner")).alias("text")).where("text <> ''")
-    entry = F.concat(F.lit("## "), "tag", F.lit("-"), F.col("ord").cast("string"), F.lit("\n\n"), "text")
-    parts = F.array_sort(F.collect_list(F.struct("tag", "ord", entry.alias("entry"))))
+    """One text a page: ``## id``, a blank line and the text of every block that has one, in document order."""
+    shown = texts.select("page_id", "ord", "block_id", X.strip_tags(F.col("inner")).alias("text")).where("text <> ''")
+    parts = F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("## "), "block_id", F.lit("\n\n"), "text").alias("entry"))))
     return shown.groupBy("page_id").agg(F.array_join(F.transform(parts, lambda x: x["entry"]), "\n\n").alias("view"), F.count("*").alias("n_blocks"))
 
 

@@ -24,8 +24,8 @@ def safe_path(path: Column) -> Column:
     return ~(path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)") | path.rlike(r"\\|^[A-Za-z]:|\x00") | _blank(path))
 
 
-def manifest_error(manifest: DataFrame) -> DataFrame:
-    """``id, error``: null for a manifest that keeps the contract."""
+def manifest_error(manifest: DataFrame, key: str = "id") -> DataFrame:
+    """``key, error``: null for a manifest that keeps the contract."""
     c = F.col
     ids = F.transform("chapters", lambda x: x["id"])
     error = F.coalesce(
@@ -35,7 +35,7 @@ def manifest_error(manifest: DataFrame) -> DataFrame:
         F.when(F.size(F.array_distinct(ids)) < F.size(ids), "chapter-twice"), F.when(F.exists("chapters", lambda x: ~safe_path(x["path"])), "chapter-path"),
         F.when(~safe_path(c("cover")) | ~safe_path(c("entry")), "path"),
     )
-    return manifest.select("id", error.alias("error"))
+    return manifest.select(key, error.alias("error"))
 
 
 def repeated_blocks(chapters: DataFrame) -> DataFrame:

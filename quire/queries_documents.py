@@ -112,11 +112,28 @@ def _sanitize_sql() -> str:
     return out
 
 
-@query(rf"""WITH c AS (SELECT page_id, html, {_sanitize_sql()} AS x FROM pages),
-s AS (SELECT page_id, html, regexp_replace(x, {sql_literal(P.STYLE_BLOCK)}, '<style>\1</style>', 'g') AS clean FROM c)
+#: Style rules that the cleaning has to touch; page by page one of them stands in front of the page's own first rule.
+_STYLES = [
+    "@import url(https://a.example/x.css); p{color:red}", '@IMPORT "b.css" screen; p{x:y}', "p{background:url( 'https://a.example/i.png' )}", "p{background:url(//a.example/i.png)}",
+    "p{width:expression(alert(1));}", "a{b:javascript:c}", "p{background:url(local.png)}", "@import 'c.css'; @import url('d.css'); p{w:Expression (1)} q{u:URL(http://x)}",
+]
+_STYLED = f"replace(html, '<style>', '<style>' || [{', '.join(map(sql_literal, _STYLES))}][(page_id % 8 + 1)::INT])"
+
+
+def _css_sql(x: str) -> str:
+    x = f"regexp_replace({x}, {sql_literal(P.CSS_IMPORT)}, '', 'g')"
+    x = f"""regexp_replace({x}, {sql_literal(P.CSS_EXTERNAL_URL)}, 'url("")', 'g')"""
+    return f"replace(regexp_replace({x}, {sql_literal(P.CSS_EXPRESSION)}, '', 'g'), 'javascript:', '')"
+
+
+@query(rf"""WITH q AS (SELECT page_id, {_STYLED} AS html FROM pages), c AS (SELECT page_id, html, {_sanitize_sql()} AS x FROM q),
+l AS (SELECT page_id, html, string_split_regex(x, {sql_literal(P.STYLE_BLOCK)}) AS parts, list_transform(regexp_extract_all(x, {sql_literal(P.STYLE_BLOCK)}, 1), lambda c: '<style>' || {_css_sql('c')} || '</style>') AS css FROM c),
+s AS (SELECT page_id, html, parts[1] || array_to_string(list_transform(range(1, len(css) + 1), lambda i: css[i] || parts[i + 1]), '') AS clean FROM l)
 SELECT page_id, length(clean) AS n_chars, md5(clean) AS digest, clean <> html AS changed FROM s""")
 def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = table(spark, sf_dir, "pages").select("page_id", "html", H.sanitize(F.col("html")).alias("clean"))
+    style = F.get(F.array(*[F.lit(x) for x in _STYLES]), (F.col("page_id") % 8).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.replace(F.col("html"), F.lit("<style>"), F.concat(F.lit("<style>"), style)).alias("html"))
+    clean = pages.select("page_id", "html", H.sanitize(F.col("html")).alias("clean"))
     return clean.select("page_id", F.char_length("clean").cast("long").alias("n_chars"), F.md5(F.col("clean").cast("binary")).alias("digest"), (F.col("clean") != F.col("html")).alias("changed"))
 
 
@@ -139,16 +156,30 @@ def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.link_candidates(table(spark, sf_dir, "pages"))
 
 
-@query(rf"""
-WITH r AS (SELECT page_id, tag, unnest(x) AS inner_html, generate_subscripts(x, 1) - 1 AS ord FROM (
-  SELECT page_id, 'p' AS tag, regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>', 1) AS x FROM pages
-  UNION ALL SELECT page_id, 'li', regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>', 1) FROM pages
-  UNION ALL SELECT page_id, 'h1', regexp_extract_all(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>', 1) FROM pages)),
-t AS (SELECT page_id, tag, ord, {sql_visible('inner_html', active=False)} AS text FROM r)
-SELECT page_id, string_agg('## ' || tag || '-' || ord || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY tag, ord) AS view, count(*) AS n_blocks FROM t WHERE text <> '' GROUP BY page_id
-""")
+def sql_marked(x: str, chapter: str) -> str:
+    """DuckDB's form of ``mark_blocks``."""
+    tags, attributes, parts = (f"regexp_extract_all({x}, {sql_literal(P.BLOCK_OPEN)}, 1)", f"regexp_extract_all({x}, {sql_literal(P.BLOCK_OPEN)}, 2)", f"string_split_regex({x}, {sql_literal(P.BLOCK_OPEN)})")
+    block = f"""' data-block-id="' || {chapter} || '-block-' || lpad(i::VARCHAR, 4, '0') || '">'"""
+    return f"""CASE WHEN len({tags}) = 0 THEN '<div data-block-id="' || {chapter} || '-block-0001">' || {x} || '</div>' ELSE {parts}[1] || array_to_string(list_transform(range(1, len({tags}) + 1), lambda i: '<' || {tags}[i] || coalesce({attributes}[i], '') || {block} || {parts}[i + 1]), '') END"""
+
+
+_CHAPTER_BLOCKS = f"""m AS (SELECT page_id, {sql_marked('html', "'c' || page_id")} AS h FROM pages),
+b AS (SELECT page_id, string_split_regex(h, {sql_literal(P.BLOCK_ELEMENT)}) AS parts, regexp_extract_all(h, {sql_literal(P.BLOCK_ELEMENT)}) AS openings,
+  regexp_extract_all(h, {sql_literal(P.BLOCK_ELEMENT)}, 1) AS tags, regexp_extract_all(h, {sql_literal(P.BLOCK_ELEMENT)}, 2) AS ids FROM m),
+e AS (SELECT page_id, i, ids[i] AS block_id, {_LOWER.format('tags[i]')} AS tag, parts[i + 1] || array_to_string(list_transform(range(i + 1, len(tags) + 1), lambda j: openings[j] || parts[j + 1]), '') AS rest
+  FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM b)),
+k AS (SELECT page_id, i, block_id, tag, substr(rest, 1, greatest(instr({_LOWER.format('rest')}, '</' || tag) - 1, 0)) AS inner_html FROM e)"""
+
+
+def _chapter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = table(spark, sf_dir, "pages").select("page_id", H.mark_blocks(F.col("html"), F.concat(F.lit("c"), F.col("page_id").cast("string"))).alias("html"))
+    return D.block_texts(chapters)
+
+
+@query(f"""WITH {_CHAPTER_BLOCKS}, t AS (SELECT page_id, i, block_id, {sql_visible('inner_html', active=False)} AS text FROM k)
+SELECT page_id, string_agg('## ' || block_id || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY i) AS view, count(*) AS n_blocks FROM t WHERE text <> '' GROUP BY page_id""")
 def block_text_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.block_text_view(D.block_texts(table(spark, sf_dir, "pages"), tags=("p", "li", "h1")))
+    return D.block_text_view(_chapter_blocks(spark, sf_dir))
 
 
 @query(rf"""WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^{_HAN2}]', '', 'g')) AS han, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin FROM documents)
@@ -276,11 +307,15 @@ _BOLD = r"(?is)<b\b[^>]*>.*?</b\s*>|<a\b[^>]*>.*?</a\s*>"
 
 
 @query(rf"""WITH t AS (SELECT page_id, string_split_regex(html, {sql_literal(_BOLD)}) AS parts, len(regexp_extract_all(html, {sql_literal(_BOLD)})) AS n FROM pages),
-j AS (SELECT page_id, n, list_aggregate(list_transform(parts, lambda x, i: x || CASE WHEN i < len(parts) THEN '{{{{GR' || (i - 1) || '}}}}' ELSE '' END), 'string_agg', '') AS x FROM t)
-SELECT page_id, n AS n_fragments, md5({sql_visible('x')}) AS digest FROM j""")
+j AS (SELECT page_id, n, list_aggregate(list_transform(parts, lambda x, i: x || CASE WHEN i < len(parts) THEN '{{{{GR' || (i - 1) || '}}}}' ELSE '' END), 'string_agg', '') AS x FROM t),
+v AS (SELECT page_id, n, {sql_visible('x')} AS t FROM j),
+w AS (SELECT *, CASE page_id % 4 WHEN 0 THEN reverse(reverse(t)) WHEN 1 THEN replace(t, '{{{{GR1}}}}', '') WHEN 2 THEN ' ' ELSE t || '{{{{GR0}}}}' END AS said FROM v)
+SELECT page_id, n AS n_fragments, md5(t) AS digest, trim(said) <> '' AND list_sort(regexp_extract_all(t, '\{{\{{GR[0-9]+\}}\}}')) = list_sort(regexp_extract_all(said, '\{{\{{GR[0-9]+\}}\}}')) AS valid FROM w""")
 def placeholder_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", H.protect(F.col("html"), _BOLD).alias("x"))
-    return found.select("page_id", F.size("x.fragments").cast("long").alias("n_fragments"), F.md5(F.col("x.text").cast("binary")).alias("digest"))
+    t, case = F.col("x.text"), F.col("page_id") % 4
+    said = F.when(case == 0, t).when(case == 1, F.replace(t, F.lit("{{GR1}}"), F.lit(""))).when(case == 2, " ").otherwise(F.concat(t, F.lit("{{GR0}}")))
+    return found.select("page_id", F.size("x.fragments").cast("long").alias("n_fragments"), F.md5(t.cast("binary")).alias("digest"), L.valid_translation(t, said).alias("valid"))
 
 
 @query(f"""SELECT {_HOST} AS book, count(*) AS n, string_agg(url, '；' ORDER BY url) AS detail FROM pages GROUP BY 1 HAVING count(*) > 1""")
@@ -293,22 +328,12 @@ _CLASSES_SQL = " OR ".join(f"contains(low, {sql_literal(x)})" for x in P.PERMANE
 _WORDS = ["network timeout", "login first", "status code: 503", "nothing", "usage limit", "stream-json broke", "Schema 译文", "broken pipe"]
 
 
-@query(f"""WITH d AS (SELECT doc_id, substr(text, 1, 40) || ' ' || [{', '.join(map(sql_literal, _WORDS))}][(doc_id % 8 + 1)::INT] AS t FROM documents), l AS (SELECT *, {_LOWER.format('t')} AS low FROM d)
-SELECT doc_id, CASE WHEN {_CLASSES_SQL[0]} THEN 'permanent' WHEN {_CLASSES_SQL[1]} THEN 'transient' ELSE 'unknown' END AS failure,
-CASE WHEN contains(lower(t), 'auth') OR contains(lower(t), 'login') OR contains(lower(t), '认证') THEN 'authentication' WHEN contains(t, '提前退出') OR contains(t, '意外退出') THEN 'process-exited'
-WHEN contains(lower(t), 'json-rpc') OR contains(lower(t), 'stream-json') THEN 'transport' ELSE 'provider' END AS provider, {' OR '.join(f"contains(t, {sql_literal(x)})" for x in P.SPLIT_TRIGGERS)} AS split FROM l""")
-def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array(*[F.lit(w) for w in _WORDS])
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" "), F.get(words, (F.col("doc_id") % 8).cast("int"))).alias("t"))
-    return rows.select("doc_id", X.failure_class(F.col("t")).alias("failure"), X.provider_error_class(F.col("t")).alias("provider"), X.should_split(F.col("t")).alias("split"))
-
-
 @query(f"""WITH d AS (SELECT doc_id, text || ' ' || [{', '.join(map(sql_literal, _WORDS))}][(doc_id % 8 + 1)::INT] AS phrased, text FROM documents),
 t AS (SELECT doc_id, unnest(['text', 'phrased']) AS of, unnest([text, phrased]) AS t FROM d), l AS (SELECT *, {_LOWER.format('t')} AS low FROM t)
 SELECT doc_id, of, CASE WHEN {_CLASSES_SQL[0]} THEN 'permanent' WHEN {_CLASSES_SQL[1]} THEN 'transient' ELSE 'unknown' END AS failure,
 CASE WHEN contains(lower(t), 'auth') OR contains(lower(t), 'login') OR contains(lower(t), '认证') THEN 'authentication' WHEN contains(t, '提前退出') OR contains(t, '意外退出') THEN 'process-exited'
 WHEN contains(lower(t), 'json-rpc') OR contains(lower(t), 'stream-json') THEN 'transport' ELSE 'provider' END AS provider, {' OR '.join(f"contains(t, {sql_literal(x)})" for x in P.SPLIT_TRIGGERS)} AS split FROM l""")
-def failure_classes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def failure_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The classes of every whole text, alone and with the phrase appended."""
     phrase = F.get(F.array(*[F.lit(w) for w in _WORDS]), (F.col("doc_id") % 8).cast("int"))
     both = F.array(F.struct(F.lit("text").alias("of"), F.col("text").alias("t")), F.struct(F.lit("phrased").alias("of"), F.concat("text", F.lit(" "), phrase).alias("t")))
@@ -329,36 +354,20 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""SELECT doc_id, length(regexp_replace(text, '[^\p{{L}}\p{{Nl}}\p{{N}}]', '', 'g')) AS meaningful, NOT regexp_matches(text, '[{_HAN2}]') AS needs_translation,
-replace(replace(replace(replace(replace(substr(text, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped,
+md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;')) AS escaped,
 CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS shown, right(text, 50) AS tail FROM documents""")
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id", X.meaningful_chars(t).cast("long").alias("meaningful"), X.needs_chinese_translation(t).alias("needs_translation"),
-        X.escape_html(F.substring(t, 1, 60), "&#039;").alias("escaped"), X.truncate(t, 200).alias("shown"), X.tail_chars(t, 50).alias("tail"),
+        F.md5(X.escape_html(t, "&#039;").cast("binary")).alias("escaped"), X.truncate(t, 200).alias("shown"), X.tail_chars(t, 50).alias("tail"),
     )
 
 
-@query("""SELECT doc_id, length(x) AS n_escaped, md5(x) AS digest
-FROM (SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS x FROM documents)""")
-def escaped_texts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and digest of every whole text with HTML escapes."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", X.escape_html(F.col("text"), "&#039;").alias("x"))
-    return rows.select("doc_id", F.char_length("x").cast("long").alias("n_escaped"), F.md5(F.col("x").cast("binary")).alias("digest"))
-
-
-@query("""WITH n AS (SELECT doc_id, (doc_id * 37) % 4000 AS v, string_split(text, chr(10)) AS x FROM documents) SELECT doc_id, unnest(range(1, 4)) AS page,
-unnest(list_transform(range(1, 4), lambda i: length(coalesce(x[i], '')))) AS n_chars FROM n""")
-def split_pages_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("text"))
-    out = D.split_pages(docs, F.lit(3))
-    return out.select("doc_id", F.col("page").cast("long").alias("page"), F.char_length("text").cast("long").alias("n_chars"))
-
-
 @query("""WITH n AS (SELECT doc_id, string_split(replace(text, chr(12), chr(10)), chr(10)) AS x FROM documents), v AS (SELECT doc_id, x, unnest([-1, 0, 1]) AS extra FROM n),
 p AS (SELECT doc_id, extra, x, unnest(range(1, len(x) + extra + 1)) AS page FROM v)
 SELECT doc_id, extra, page, length(coalesce(x[page], '')) AS n_chars, md5(coalesce(x[page], '')) AS digest FROM p""")
-def split_pages_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_pages_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of every text, a line being a page: as many as it has, and one fewer and one more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("text"))
     cases = docs.withColumn("extra", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select(F.struct("doc_id", "extra").alias("key"), "text")

@@ -209,16 +209,16 @@ def retention_top7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.retain(table(spark, sf_dir, "orders"), "o_custkey", [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@query("""SELECT o_orderkey, 1::BIGINT AS n_parents, count(l_orderkey) AS n_children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 3 GROUP BY o_orderkey""")
+@query("""SELECT o_orderkey, 1::BIGINT AS n_parents, count(l_orderkey) AS n_children FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY o_orderkey""")
 def cascade_delete_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    gone = orders.where("o_custkey % 10 = 3").select("o_orderkey")
+    gone = orders.where("o_orderstatus = 'P'").select("o_orderkey")
     return S.forget(orders, table(spark, sf_dir, "lineitem"), gone, "o_orderkey", "l_orderkey")
 
 
-@query("SELECT count(*) AS n, sum(l_quantity)::BIGINT AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)")
+@query("SELECT count(*) AS n, sum(l_quantity)::BIGINT AS quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def after_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = table(spark, sf_dir, "orders").where("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("l_orderkey"))
+    gone = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     kept = S.without(table(spark, sf_dir, "lineitem"), gone, "l_orderkey")
     return kept.agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
 
