@@ -2,12 +2,13 @@
 
 Every item is cut into windows of ``window`` consecutive words (a shorter item is one window). A
 window is a set of word shingles, and a document contains the window only if it contains all of
-them, so one shingle is a sufficient prefix: the rarest one by its count over all documents. The
-documents' shingles are joined with these prefix shingles only; a match is a candidate at a
+them, so one shingle is a sufficient prefix: the rarest one by its count over all documents. One pass
+over the documents writes the shingles that the benchmark has too, which gives the counts. Of these
+only the prefix shingles are joined with the windows; a match is a candidate at a
 known position, which must leave room for the whole window (positional and length bound), and
 is then verified word by word.
 
-The prefix side is broadcast in blocks of at most ``BLOCK`` windows; a larger benchmark takes more
+The benchmark side is broadcast in blocks of at most ``BLOCK`` windows; a larger benchmark takes more
 passes over the documents, never a larger broadcast.
 
 Cases: a null text has no words; an item without words has no windows; items may share windows; a
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.text import ALNUM_WORD, ascii_lower
-from quire.plans.scratch import materialise
+from quire.plans.scratch import Scratch
 
 #: Windows in one broadcast: about 300 bytes each, so 60 MB.
 BLOCK = 200_000
@@ -71,64 +72,55 @@ def decontaminate(
     ``n_hit`` counts the words of a document inside any occurrence of a window.
     """
     size = F.least(F.col("n"), F.lit(shingle))
-    windows = materialise(item_windows(items, item_id, item_text, window).withColumn("k", size).withColumn("window_id", F.xxhash64("words")))
-    sizes = sorted(r[0] for r in windows.select("k").distinct().collect())  # at most `shingle` values
-    n_windows = windows.count()
-    blocks = max(1, -(-n_windows // BLOCK))
-
+    windows = Scratch(item_windows(items, item_id, item_text, window).withColumn("k", size).withColumn("window_id", F.xxhash64("words")))
+    sizes = sorted(r[0] for r in windows.df.select("k").distinct().collect())  # at most `shingle` values
+    blocks = max(1, -(-windows.df.count() // BLOCK))
+    parts = windows.df.select("window_id", "n", "k", F.explode(_positions(F.col("n") - F.col("k") + 1)).alias("offset"), "words")
+    parts = reduce(DataFrame.unionByName, [
+        parts.where(F.col("k") == k).select("window_id", "n", "k", "offset", _shingle(F.col("words"), F.col("offset"), k).alias("h"), F.slice("words", F.col("offset") + 1, F.col("k")).alias("gram"))
+        for k in sizes
+    ]) if sizes else parts.select("window_id", "n", "k", "offset", F.lit(None).cast("long").alias("h"), "words").withColumnRenamed("words", "gram")
+    parts = Scratch(parts)
+
+    # One pass over the documents: a head row each, and every shingle that the benchmark has too, with its words.
     doc = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("w"))
-    shingles = F.concat(
-        F.array(F.lit(None).cast("long")),
-        *[_shingles(F.col("w"), k) for k in sizes],
-    )
+    shingles = F.concat(F.array(F.lit(None).cast("long")), *[_shingles(F.col("w"), k) for k in sizes])
     doc = doc.withColumn("n_words", F.size("w")).withColumn("shingles", shingles)
-
-    parts = windows.select("window_id", F.explode(_positions(F.col("n") - F.col("k") + 1)).alias("offset"), "words", "k")
-    parts = reduce(
-        DataFrame.unionByName,
-        [parts.where(F.col("k") == k).select("window_id", "offset", _shingle(F.col("words"), F.col("offset"), k).alias("h")) for k in sizes],
-    ) if sizes else parts.select("window_id", "offset", F.lit(None).cast("long").alias("h"))
-    parts = materialise(parts)
-
-    # The generators are outer ones: for inner ones Spark adds a filter that computes the array twice.
-    # Rarity: how often each shingle of the benchmark occurs in all documents.
-    listed = parts.select("h").distinct()
-    occurrences = doc.select(F.explode_outer("shingles").alias("h"))
-    counted = [
-        occurrences.join(F.broadcast(listed.where(F.pmod("h", F.lit(blocks)) == b)), "h").groupBy("h").agg(F.count("*").alias("rarity"))
-        for b in range(blocks)
-    ]
-    rarity = reduce(DataFrame.unionByName, counted)
-    prefix = (
-        parts.join(rarity, "h", "left")
-        .groupBy("window_id")
-        .agg(F.min(F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "offset", "h")).alias("p"))
-        .where(F.col("p.rarity") > 0)  # a shingle that no document has rules its window out
-    )
-    index = materialise(
-        windows.join(prefix, "window_id").select(F.col("p.h").alias("h"), F.col("p.offset").alias("offset"), "n", "words", "item_ids")
-    )
-
+    listed = parts.df.select("h", "k").distinct()
     found = []
     for b in range(blocks):
         base = doc if b == 0 else doc.where(F.col("n_words") > 0)
+        # An outer generator: for an inner one Spark adds a filter that computes the array twice.
         placed = base.select("doc_id", "text_hash", "n_words", "w", F.posexplode_outer("shingles").alias("at", "h"))
-        near = placed.join(F.broadcast(index.where(F.pmod("h", F.lit(blocks)) == b)), "h", "left")
-        start = F.pmod(F.col("at") - 1, F.greatest("n_words", F.lit(1))) - F.col("offset")
-        verified = (
-            F.col("n").isNotNull() & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
-            & (F.slice("w", start + 1, F.col("n")) == F.col("words"))
-        )
+        met = placed.join(F.broadcast(listed.where(F.pmod("h", F.lit(blocks)) == b)), "h", "left")
+        at = F.pmod(F.col("at") - 1, F.greatest("n_words", F.lit(1)))
         head = (F.col("at") == 0) & F.lit(b == 0)
         found.append(
-            near.where(head | verified).select(
-                "doc_id", "text_hash", "n_words",
-                F.when(F.col("at") == 0, 1).otherwise(0).alias("head"),
-                F.when(F.col("at") > 0, F.struct(start.alias("s"), (start + F.col("n")).alias("e"))).alias("span"),
-                F.when(F.col("at") > 0, F.col("item_ids")).alias("item_ids"),
+            met.where(head | F.col("k").isNotNull()).select(
+                "doc_id", "text_hash", "n_words", F.when(F.col("k").isNotNull(), at).alias("at"), F.when(F.col("k").isNotNull(), F.col("h")).alias("h"),
+                F.when(F.col("k").isNotNull(), F.slice("w", at + 1, F.col("k"))).alias("gram"),
             )
         )
-    grouped = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash").agg(
+    found = Scratch(reduce(DataFrame.unionByName, found))
+    matches = found.df.where("h IS NOT NULL")
+
+    # The prefix of a window: its shingle that is rarest by its count over all documents. One that no document has rules the window out.
+    rarity = matches.groupBy("h").agg(F.count("*").alias("rarity"))
+    rarest = parts.df.join(rarity, "h", "left").groupBy("window_id").agg(F.min(F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "offset", "h")).alias("p"), F.first("n").alias("n"))
+    prefix = Scratch(rarest.where("p.rarity > 0").select("window_id", "n", F.col("p.offset").alias("offset"), F.col("p.h").alias("h")))
+    small = F.broadcast if blocks == 1 else lambda df: df
+    start = F.col("at") - F.col("offset")
+    where = ["doc_id", "text_hash", "window_id", "s"]
+    candidates = matches.join(small(prefix.df), "h").where((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("doc_id", "text_hash", "window_id", start.alias("s")).distinct()
+    # Every shingle of a candidate must stand at its place, word by word.
+    wanted = candidates.join(small(parts.df), "window_id").withColumn("at", F.col("s") + F.col("offset"))
+    wanted = wanted.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).drop("h")
+    there = matches.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "text_hash", "at", "gram").distinct()
+    whole = wanted.join(there, ["key", "text_hash", "at", "gram"]).groupBy(*where, "n").agg(F.countDistinct("offset").alias("c"), F.max("k").alias("k"))
+    hits = whole.where("c = n - k + 1").join(small(windows.df.select("window_id", "item_ids")), "window_id")
+    spans = hits.select("doc_id", "text_hash", F.lit(None).cast("int").alias("n_words"), F.lit(0).alias("head"), F.struct("s", (F.col("s") + F.col("n")).alias("e")).alias("span"), "item_ids")
+    heads = found.df.where("h IS NULL").select("doc_id", "text_hash", "n_words", F.lit(1).alias("head"), F.lit(None).cast(spans.schema["span"].dataType).alias("span"), F.lit(None).cast("array<string>").alias("item_ids"))
+    grouped = heads.unionByName(spans).groupBy("doc_id", "text_hash").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.sum("head").cast("int").alias("copies"),
         F.array_sort(F.collect_set("span")).alias("spans"),

@@ -11,7 +11,7 @@ The running sums never sort a whole source in one task: keys are dealt into ``BU
 their probability, sums by range say which range holds the end, and only that range is sorted.
 
 Cases: a null text has size 0; a null source is a source, the last one; sources whose size is 0 have
-target 0; a null id has a key of its own; equal keys are ordered by id, then size; repeated rows
+target 0; the key of a null id comes from its text; equal keys are ordered by id, then size; repeated rows
 have equal keys and count one by one; an empty table gives no rows; other columns are ignored.
 One row a source is held in one task, so sources are to be millions at most.
 """
@@ -25,13 +25,23 @@ from quire.llm.text import SPACED_WORD
 from quire.plans.scratch import materialise
 
 BUCKETS = 4096
+#: Fixed values of the weight by statistics.
+SYMBOL, SENTENCE_END = r"[0-9#$%&*+/<=>@^_`{|}~]", r"[.!?]"
 #: Source tables up to this many rows are broadcast.
 BROADCAST_SOURCES = 100_000
 
 
+#: Quality weights are expected from here to 1; the ranges of keys stay even for them.
+LEAST_WEIGHT = 0.25
+
+
 def quality_weight(text: Column, size: Column) -> Column:
-    """1 where the mean length of a word (with its space) is that of prose, else 1/4."""
-    return F.when(F.char_length(text).between(size * 3, size * 12), 1.0).otherwise(0.25)
+    """From 1/4 to 1, a quarter each for words of the length of prose, few symbols and digits, and a sentence end every 40 words."""
+    chars = F.char_length(text)
+    prose = chars.between(size * 3, size * 12)
+    plain = F.regexp_count(text, F.lit(SYMBOL)) * 10 <= chars
+    ended = F.regexp_count(text, F.lit(SENTENCE_END)) * 40 >= size
+    return (sum((F.when(x, 1.0).otherwise(0.0) for x in (prose, plain, ended)), F.lit(1.0))) / 4
 
 
 def mix_sources(
@@ -49,16 +59,16 @@ def mix_sources(
     Sources by code point take ``weights`` in turn. ``weight`` is a quality weight in (0, 1].
     """
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    part = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")), 1, 12), 16, 10)
+    part = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))).cast("binary")), 1, 12), 16, 10)
     u = (part.cast("double") + 0.5) / float(1 << 48)
     sized = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), size.alias("size"), u.alias("u"),
         (F.lit(None).cast("double") if weight is None else weight).alias("w"),
     )
     sized = sized.withColumn("w", F.coalesce("w", quality_weight(F.col("text"), F.col("size"))))
-    # exp(-key) = u ** (1 / w): large for small keys. It is spread over (0, 1), so ranges of it are ranges of keys.
+    # exp(-key) = u ** (1 / w): large for small keys. Its root spreads over (0, 1) without crowding for any expected weight.
     keyed = sized.select("doc_id", "source", "size", F.pow("u", 1.0 / F.col("w")).alias("v"))
-    base = materialise(keyed.withColumn("bucket", F.floor((1.0 - F.col("v")) * BUCKETS).cast("int")))
+    base = materialise(keyed.withColumn("bucket", F.floor((1.0 - F.pow("v", F.lit(LEAST_WEIGHT))) * BUCKETS).cast("int")))
 
     sums = materialise(base.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     sources = sums.groupBy("source").agg(F.sum("n").alias("source_size"))

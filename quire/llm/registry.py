@@ -61,11 +61,6 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
-
-
-def op10_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, long_words=50).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -81,7 +76,6 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
-    "op10_line_dedup_long": op10_line_dedup_long,
 }
 
 _OP4_SQL = """
@@ -153,10 +147,12 @@ FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 _OP3_SQL = r"""
 WITH b AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(text) AS chars,
-         (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+         len(regexp_extract_all(text, '[0-9#$%&*+/<=>@^_`{|}~]')) AS symbols, len(regexp_extract_all(text, '[.!?]')) AS ends,
+         (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, text, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents
 ), k AS (
-  SELECT *, CASE WHEN chars BETWEEN size * 3 AND size * 12 THEN u ELSE pow(u, 4.0) END AS v FROM b
+  SELECT *, pow(u, 1.0::DOUBLE / ((1.0::DOUBLE + CASE WHEN chars BETWEEN size * 3 AND size * 12 THEN 1 ELSE 0 END + CASE WHEN symbols * 10 <= chars THEN 1 ELSE 0 END
+    + CASE WHEN ends * 40 >= size THEN 1 ELSE 0 END) / 4)) AS v FROM b
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
@@ -184,33 +180,6 @@ SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN 2 * seen +
 """
 
 _OP10_SQL = r"""
-WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, text, hash(text) AS th, string_split(text, chr(10)) AS lines FROM documents
-), l AS (
-  SELECT rid, doc_id, th, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d
-), c AS (
-  SELECT rid, doc_id, th, i, line, row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS k FROM l WHERE regexp_matches(line, '[^\t\n\x0B\f\r ]')
-), w AS (
-  SELECT rid, doc_id, th, k, [i, lead(i) OVER x, lead(i, 2) OVER x] AS pos3, line AS a, lead(line) OVER x AS b, lead(line, 2) OVER x AS c FROM c
-  WINDOW x AS (PARTITION BY rid ORDER BY k)
-), v AS (
-  SELECT * FROM w WHERE c IS NOT NULL
-), f AS (
-  SELECT a, b, c, min((doc_id IS NULL, doc_id, th, k)) AS first FROM v GROUP BY a, b, c
-), r AS (
-  SELECT DISTINCT rid, unnest(pos3) AS i FROM v JOIN f USING (a, b, c)
-  WHERE (doc_id IS NULL, doc_id, th, k) > first AND NOT (doc_id IS NOT DISTINCT FROM first[2] AND th = first[3] AND k < first[4] + 3)
-), n AS (
-  SELECT rid, count(*) AS n_removed FROM r GROUP BY rid
-), kept AS (
-  SELECT rid, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN r USING (rid, i) GROUP BY rid
-)
-SELECT doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       CASE WHEN n_removed > 0 THEN coalesce(kept.text, '') ELSE d.text END AS text
-FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
-"""
-
-_OP10_LONG_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, text, hash(text) AS th, string_split(text, chr(10)) AS lines FROM documents
 ), l AS (
@@ -269,5 +238,4 @@ ORACLES = {
     "op8_chat_format": _OP8_SQL,
     "op9_jaccard_join": _OP9_SQL,
     "op10_line_dedup": _OP10_SQL,
-    "op10_line_dedup_long": _OP10_LONG_SQL,
 }

@@ -5,23 +5,32 @@ import random
 from quire.llm.line_dedup import dedup_lines
 
 
-def brute(docs):
-    first, out = {}, []
+def windows_of(lines, long_words):
+    """(first line, lines) of every window; lines are counted without blank ones."""
+    full = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\f\r")]
+    out = [(k, full[k : k + 3]) for k in range(len(full) - 2)]
+    if long_words is not None:
+        out += [(k, [at]) for k, at in enumerate(full) if len(full) == 1 or len([w for w in lines[at].split(" ") if w]) > long_words]
+        out += [(0, full)] if len(full) == 2 else []
+    return out
+
+
+def brute(docs, long_words=None):
+    first, out, windows = {}, [], {}
     order = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
-    windows = {}
     for i, text in order:
         lines = [] if text is None else text.split("\n")
-        full = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\f\r")]
-        windows[i] = (lines, full)
-        for k in range(len(full) - 2):
-            first.setdefault(tuple(lines[x] for x in full[k : k + 3]), (i, k))
+        windows[i] = lines, windows_of(lines, long_words)
+        for k, at in windows[i][1]:
+            key = tuple(lines[x] for x in at)
+            first[key] = min(first.get(key, (i is None, i or 0, k)), (i is None, i or 0, k))
     for i, text in docs:
-        lines, full = windows[i]
+        lines, found = windows[i]
         gone = set()
-        for k in range(len(full) - 2):
-            f = first[tuple(lines[x] for x in full[k : k + 3])]
-            if f != (i, k) and not (f[0] == i and k < f[1] + 3):
-                gone |= set(full[k : k + 3])
+        for k, at in found:
+            f = first[tuple(lines[x] for x in at)]
+            if f != (i is None, i or 0, k) and not (f[:2] == (i is None, i or 0) and k < f[2] + len(at)):
+                gone |= set(at)
         out.append((i, len(lines), len(gone), text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return sorted(out, key=repr)
 
