@@ -214,7 +214,7 @@ def paired_original_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations WHERE role = 'assistant')
-SELECT u.conv_id AS book, u.place, u.turn AS asked, a.turn AS told FROM u JOIN a ON a.conv_id = u.conv_id AND a.place = u.place""")
+SELECT u.conv_id AS book, u.place::INT AS place, u.turn AS asked, a.turn AS told FROM u JOIN a ON a.conv_id = u.conv_id AND a.place = u.place""")
 def zipped_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("ord"), "role")
     return C.paired_by_place(rows.where("role = 'user'").withColumn("asked", F.col("ord")), rows.where("role = 'assistant'").withColumn("told", F.col("ord")), "book", "asked", "told")
