@@ -236,7 +236,7 @@ def _unsettled(alive: Scratch, tokens: DataFrame, percent: int) -> Scratch:
     alive.drop()
     alive, turn, n = first, 0, first.df.count()
     token = "OVER (PARTITION BY token)"
-    while n > FEW:
+    while n and (turn == 0 or n > FEW):
         each = tokens.select("rep", "tokens").join(alive.df.drop("fam"), "rep").select("rep", "n", "label", "most", F.explode("tokens").alias("token"))
         least = each.withColumn("least", F.expr(f"min(struct(n, label)) {token}")).withColumn("next", F.expr(f"min(CASE WHEN label <> least.label THEN n END) {token}"))
         other = F.when(F.col("label") == F.col("least.label"), F.col("next")).otherwise(F.col("least.n"))
@@ -324,8 +324,11 @@ def jaccard_components(
     alive = _unsettled(alive, tokens.df, percent)
     log["unsettled"] = alive.df.count()
     if log["unsettled"]:
-        # Groups ask groups that share a token of a prefix with them.
-        left = _grouped(alive.df.drop("n", "most").join(tokens.df, "rep")).withColumn("gid", F.xxhash64("fam", "part"))
+        # Sets with the same most frequent token are grouped anew; groups ask groups that share a token of a prefix with them.
+        each = tokens.df.join(alive.df.select("rep").distinct(), "rep").select("rep", F.explode("tokens").alias("token"))
+        each = each.withColumn("df", F.expr("count(*) OVER (PARTITION BY token)"))
+        home = each.groupBy("rep").agg(F.max_by("token", F.struct("df", "token")).alias("fam"))
+        left = _grouped(alive.df.select("rep", "label").distinct().join(home, "rep").join(tokens.df, "rep")).withColumn("gid", F.xxhash64("fam", "part"))
         groups = Scratch(left.select("gid", "rep", "n", "label", "tokens"))
         prefix = F.expr(f"slice(tokens, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + 1)")
         lines = groups.df.select("gid", "label", F.explode(prefix).alias("token")).groupBy("token", "gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
