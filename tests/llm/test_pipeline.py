@@ -76,8 +76,8 @@ def test_stages_on_odd_rows(spark, data):
         assert all((r.id, r.hash, r.removed, r._id, r["size"]) == (1, 2, "r", 3, 4) for r in got.collect())
     kept = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, data).collect()), key=repr)
     assert [k for k, t in kept("decontamination")].count(6) == 1 and len(kept("decontamination")) == len(texts) - 1
-    # Copies with one id stay together; a null id is judged alone; id 4 is a near copy of id 3.
-    assert kept("near_copies") == sorted([x for x in texts if x[0] not in (4,)], key=repr)
+    # Copies with one id stay together; a null id is judged alone; ids 4 and 5 (56 of 62 shingles) are near copies of id 3.
+    assert kept("near_copies") == sorted([x for x in texts if x[0] not in (4, 5)], key=repr)
     assert {k for k, _ in kept("line_dedup")} >= {1, 3, 4, 5, 6, 7}
     mixed = stages["mix"](spark, docs, data)
     assert mixed.count() == len(texts) and stages["mix"](spark, docs.limit(0), data).count() == 0
