@@ -13,7 +13,7 @@ HEADLINE = [
     "block_inventory", "quality_report", "visible_text_stats", "page_titles_two_rules", "sanitized_pages", "link_candidates", "block_text_view",
     "language_profile", "repeated_edge_lines", "page_number_lines", "page_chapter_range_join", "longest_ordinal_chain", "translation_batches",
     "ledger_key_equality", "ledger_exactly_once", "progress_latest", "shelf_sorted", "message_history_duration", "annotation_overlaps",
-    "highlight_admission", "natural_sort_rank", "task_transitions", "sustained_failures", "cascade_delete_counts", "event_merge", "provider_fold",
+    "highlight_admission", "natural_sort_rank", "chapter_html", "translation_texts", "localized_images", "rpc_answers", "layout_ledger", "task_transitions", "sustained_failures", "cascade_delete_counts", "event_merge", "provider_fold",
 ]
 
 
@@ -26,7 +26,11 @@ def main() -> None:
         from quire.llm.registry import QUERIES as extra
     except ImportError:
         extra = {}
-    names = [*HEADLINE, *[n for n in extra if n.startswith(("op3_", "op4_", "op5_", "op7_", "op8_", "op10_"))]]
+    if extra:
+        import corpus_pipeline
+
+        extra = extra | {"pipeline": corpus_pipeline.run}
+    names = [*HEADLINE, *extra]
     queries |= extra
     spark.range(1000).selectExpr("sum(id)").collect()  # start-up isn't a query's time
     times: dict[str, float] = {}
