@@ -150,6 +150,8 @@ def _spanning(sizes: np.ndarray, flat: np.ndarray, side: np.ndarray, percent: in
     """Edges that hold the linked sets of a group together: all with all, or side 0 with side 1 where there are two."""
     m = len(sizes)
     none = np.zeros(0, dtype=np.int64)
+    if side.all():
+        return none, none  # nobody asks: a part of the family without members
     who = np.repeat(np.arange(m), sizes)
     order = np.argsort(flat, kind="stable")
     v, who = flat[order], who[order]
