@@ -296,7 +296,8 @@ def jaccard_components(
     free_shuffles(spark)
 
     # Every set asks its own group and the first group of its family.
-    placed = _grouped(sets.df.select("rep", "fam").distinct().join(tokens.df, "rep"))
+    # (Dealt to groups by their sizes first, so that tokens move to their documents and to their groups only.)
+    placed = _grouped(sets.df.groupBy("rep", "fam").agg(F.max("n").alias("n"))).drop("n").join(tokens.df, "rep")
     of = lambda *x: F.xxhash64("fam", *x)
     columns = ["rep", F.col("rep").alias("label"), "tokens"]
     alone = placed.where("members > 1").select(of("part").alias("gid"), F.lit(0).alias("side"), *columns)
