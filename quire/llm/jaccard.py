@@ -246,6 +246,7 @@ def _unsettled(alive: Scratch, tokens: DataFrame, percent: int) -> Scratch:
         size = F.least(F.col("most"), F.floor(F.col("c") * (100 + percent) / percent).cast("int") - F.col("m"))
         after = Scratch(alive.df.join(counted, "rep").select("rep", "fam", "label", "n", F.greatest(size, F.lit(0)).alias("most")))
         alive.drop()
+        free_shuffles(alive.df.sparkSession)
         alive, before, n, turn = after, n, after.df.count(), turn + 1
         if turn > 1 and n > 0.9 * before:
             break
@@ -328,11 +329,13 @@ def jaccard_components(
     log["unsettled"] = alive.df.count()
     if log["unsettled"]:
         # Sets with the same most frequent token are grouped anew; groups ask groups that share a token of a prefix with them.
-        each = tokens.df.join(alive.df.select("rep").distinct(), "rep").select("rep", F.explode("tokens").alias("token"))
+        held = Scratch(tokens.df.join(alive.df.select("rep", "label"), "rep"))
+        each = held.df.select("rep", F.explode("tokens").alias("token"))
         each = each.withColumn("df", F.expr("count(*) OVER (PARTITION BY token)"))
         home = each.groupBy("rep").agg(F.max_by("token", F.struct("df", "token")).alias("fam"))
-        left = _grouped(alive.df.select("rep", "label").distinct().join(home, "rep").join(tokens.df, "rep")).withColumn("gid", F.xxhash64("fam", "part"))
+        left = _grouped(held.df.join(home, "rep")).withColumn("gid", F.xxhash64("fam", "part"))
         groups = Scratch(left.select("gid", "rep", "n", "label", "tokens"))
+        held.drop()
         prefix = F.expr(f"slice(tokens, 1, n - CAST(ceil(n * {percent} / 100) AS INT) + 1)")
         lines = groups.df.select("gid", "label", F.explode(prefix).alias("token")).groupBy("token", "gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         several = lines.groupBy("token").agg(F.min("gid").alias("x"), F.max("gid").alias("y")).where("x < y").select("token")
