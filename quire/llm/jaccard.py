@@ -47,6 +47,12 @@ from quire.plans.scratch import Scratch, free_shuffles
 GROUP, TOKENS, REMEMBERED = 256, 131_072, 200_000
 #: Columns of the matrix that a comparison holds at a time, and sets that are compared without asking once more whether they may link.
 COLUMNS, FEW = 16_384, 2_000
+#: Rows (of a few numbers) of a side that is broadcast; beyond it both sides of the join are dealt by their key.
+SENT = 500_000
+
+
+def _sent(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= SENT else side
 
 
 def least_common(n: int, percent: int) -> int:
@@ -126,7 +132,7 @@ def _index(rows: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _tokens(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``rep, n, tokens`` (least first) of the documents ``rep`` in ``wanted``: a Bloom filter spares the others, an exact join settles it."""
+    """``wanted`` (rep, ...) with ``n, tokens`` (least first) of these documents: a Bloom filter spares the others, an exact join settles it."""
     spark = rows.sparkSession
     words = spark.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("rep").alias("h")), wanted.count()))
 
@@ -143,7 +149,7 @@ def _tokens(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), flat).cast(kind)], ["rep", "tokens"])
 
     found = rows.where(F.col("id").isNotNull()).select(F.col("id").alias("rep"), F.xxhash64("id").alias("h"), "text").mapInArrow(run, "rep long, tokens array<long>")
-    return found.join(wanted, "rep", "left_semi").where("size(tokens) > 0").withColumn("n", F.size("tokens"))
+    return found.where("size(tokens) > 0").join(_sent(wanted), "rep").withColumn("n", F.size("tokens"))
 
 
 def _spanning(sizes: np.ndarray, flat: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,14 +228,8 @@ def _grouped(sets: DataFrame) -> DataFrame:
     return sets.join(sizes, "fam").withColumn("part", part.cast("long"))
 
 
-def _across(rows: DataFrame, key: str, by: str) -> DataFrame:
-    """The rows whose key is in more than one component, by ``by`` and with their number."""
-    ends = F.expr(f"min(label) OVER (PARTITION BY {key})"), F.expr(f"max(label) OVER (PARTITION BY {key})")
-    return rows.select("*", ends[0].alias("low"), ends[1].alias("high")).where("low < high").groupBy(by)
-
-
 def _unsettled(alive: Scratch, tokens: DataFrame, percent: int) -> Scratch:
-    """Those of ``alive`` (rep, n, fam, label) that have enough tokens in common with other components.
+    """Those of ``alive`` (rep, n, label) that have enough tokens in common with other components.
 
     Sets of ``n`` and ``m`` tokens that link have (n + m) * percent / (100 + percent) in common at least, so the
     ``c`` tokens that a set shares with others also say how large (``most``) a set can be that it links with.
@@ -239,12 +239,12 @@ def _unsettled(alive: Scratch, tokens: DataFrame, percent: int) -> Scratch:
     alive, turn, n = first, 0, first.df.count()
     token = "OVER (PARTITION BY token)"
     while n and (turn == 0 or n > FEW):
-        each = tokens.select("rep", "tokens").join(alive.df.drop("fam"), "rep").select("rep", "n", "label", "most", F.explode("tokens").alias("token"))
+        each = tokens.select("rep", "tokens").join(_sent(alive.df), "rep").select("rep", "n", "label", "most", F.explode("tokens").alias("token"))
         least = each.withColumn("least", F.expr(f"min(struct(n, label)) {token}")).withColumn("next", F.expr(f"min(CASE WHEN label <> least.label THEN n END) {token}"))
         other = F.when(F.col("label") == F.col("least.label"), F.col("next")).otherwise(F.col("least.n"))
         counted = least.where(other <= F.col("most")).groupBy("rep").agg(F.count("*").alias("c"), F.min("n").alias("m")).where(f"c * 100 >= m * {percent}")
         size = F.least(F.col("most"), F.floor(F.col("c") * (100 + percent) / percent).cast("int") - F.col("m"))
-        after = Scratch(alive.df.join(counted, "rep").select("rep", "fam", "label", "n", F.greatest(size, F.lit(0)).alias("most")))
+        after = Scratch(alive.df.join(counted, "rep").select("rep", "label", "n", F.greatest(size, F.lit(0)).alias("most")))
         alive.drop()
         free_shuffles(alive.df.sparkSession)
         alive, before, n, turn = after, n, after.df.count(), turn + 1
@@ -293,12 +293,14 @@ def jaccard_components(
         .select("h", "rep", "n", F.coalesce("fam", "rep").alias("fam"))
     )
     nodes.drop()
-    tokens = Scratch(_tokens(rows, sets.df.select("rep").distinct(), k))
+    shared.drop()
+    # Dealt to groups by their sizes first, so that tokens move to their groups only.
+    groups = Scratch(_grouped(sets.df.groupBy("rep", "fam").agg(F.max("n").alias("n"))))
+    tokens = Scratch(_tokens(rows, groups.df.drop("n"), k))
     free_shuffles(spark)
 
     # Every set asks its own group and the first group of its family.
-    # (Dealt to groups by their sizes first, so that tokens move to their documents and to their groups only.)
-    placed = _grouped(sets.df.groupBy("rep", "fam").agg(F.max("n").alias("n"))).drop("n").join(tokens.df, "rep")
+    placed = tokens.df
     of = lambda *x: F.xxhash64("fam", *x)
     columns = ["rep", F.col("rep").alias("label"), "tokens"]
     alone = placed.where("members > 1").select(of("part").alias("gid"), F.lit(0).alias("side"), *columns)
@@ -317,19 +319,16 @@ def jaccard_components(
 
     # What may still link with another component.
     labels = final.select(F.col("node").alias("rep"), "label")
-    now = sets.df.join(labels, "rep", "left").select("h", "rep", "n", "fam", F.coalesce("label", "rep").alias("label"))
-    crossing = shared.df.select("key", "h", "need").join(now.select("h", "label"), "h")
-    may = _across(crossing, "key", "h").agg(F.countDistinct("key").alias("c"), F.max("need").alias("need")).where("c >= need").select("h")
-    alive = Scratch(now.join(may, "h", "left_semi").groupBy("rep", "fam", "label").agg(F.min("n").alias("n")))
-    log |= {"classes_indexed": sets.df.count(), "edges_first": first.df.count(), "may_link": alive.df.count()}
-    shared.drop()
+    alive = Scratch(sets.df.groupBy("rep").agg(F.min("n").alias("n")).join(labels, "rep", "left").select("rep", "n", F.coalesce("label", "rep").alias("label")))
+    log |= {"classes_indexed": sets.df.count(), "edges_first": first.df.count()}
     sets.drop()
+    groups.drop()
     free_shuffles(spark)
     alive = _unsettled(alive, tokens.df, percent)
     log["unsettled"] = alive.df.count()
     if log["unsettled"]:
         # Sets with the same most frequent token are grouped anew; groups ask groups that share a token of a prefix with them.
-        held = Scratch(tokens.df.join(alive.df.select("rep", "label"), "rep"))
+        held = Scratch(tokens.df.select("rep", "n", "tokens").join(_sent(alive.df.select("rep", "label")), "rep"))
         each = held.df.select("rep", F.explode("tokens").alias("token"))
         each = each.withColumn("df", F.expr("count(*) OVER (PARTITION BY token)"))
         home = each.groupBy("rep").agg(F.max_by("token", F.struct("df", "token")).alias("fam"))
