@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import ann, chat_format, decontam, jaccard, langid, line_dedup, mixing, quality, token_count, url_filter
+from quire.llm import ann, centroids, chat_format, decontam, exact_dedup, jaccard, langid, line_dedup, mixing, quality, repair, token_count, url_filter
 from quire.sources.tables import table
 
 #: The rules of the URL query, a fixed value: host, path, verdict.
@@ -65,6 +65,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, long_words=50).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_nn_descent": op2_nn_descent,
@@ -76,6 +88,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_centroids": op12_centroids,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 _OP4_SQL = """
@@ -231,6 +246,117 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = d.doc_id
 """
 
+
+def _op11_sql() -> str:
+    """A way is its cost in twelve digits, then its audit, so that the least string is the least way. The fold is a recursive CTE."""
+    plus = lambda way, cost, letter: f"printf('%012d', left({way}, 12)::BIGINT + {cost}) || substr({way}, 13) || '{letter}'"
+    never = f"'{1 << 39:012d}'"
+    inserted = lambda of: f"""
+  SELECT rid, i, nothing, system, user_, least(assistant, {plus("user_", 3, "I")}) AS assistant FROM (
+    SELECT rid, i, nothing, system, least(user_, {plus("least(nothing, system, assistant)", 3, "I")}) AS user_, assistant FROM {of})"""
+    return rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_reduce(
+      list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda ch: ascii(ch)::BIGINT),
+      lambda crc, b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, b)), 4294967295::BIGINT) AS crc
+  FROM conversations
+), dealt AS (
+  SELECT *, xor(crc, 4294967295) % 20 AS kind FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM dealt WHERE kind <> 0
+), convs AS (
+  SELECT conv_id, row_number() OVER () AS rid FROM (SELECT DISTINCT conv_id FROM conversations)
+), placed AS (
+  SELECT rid, turn, role, text, left(role, 1) AS initial,
+         row_number() OVER (PARTITION BY rid ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY rid, role, text ORDER BY turn NULLS FIRST, copy) AS again
+  FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id
+), marked AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY rid ORDER BY i) AS before
+  FROM placed
+), m AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM marked
+), counts AS (
+  SELECT rid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) AS n, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM m GROUP BY rid
+), w AS (
+  SELECT rid, 0 AS i, '{0:012d}' AS nothing, {never} AS system, {never} AS user_, {never} AS assistant FROM convs
+  UNION ALL
+  SELECT rid, i + 1, {plus("nothing", 4, "D")},
+         least({plus("system", 4, "D")}, CASE WHEN NOT must_go AND initial = 's' THEN {plus("nothing", "extra", "K")} ELSE {never} END),
+         least({plus("user_", 4, "D")}, CASE WHEN NOT must_go AND initial = 'u' THEN {plus("least(nothing, system, assistant)", "extra", "K")} ELSE {never} END,
+               CASE WHEN NOT must_go THEN {plus("least(nothing, system, assistant)", "extra + 3", "R")} ELSE {never} END),
+         least({plus("assistant", 4, "D")}, CASE WHEN NOT must_go AND initial = 'a' THEN {plus("user_", "extra", "K")} ELSE {never} END,
+               CASE WHEN NOT must_go THEN {plus("user_", "extra + 3", "R")} ELSE {never} END)
+  FROM (SELECT o.*, m.must_go, m.extra, m.initial FROM ({inserted("w")}) o JOIN m ON m.rid = o.rid AND m.i = o.i + 1)
+), solved AS (
+  SELECT o.rid, least(nothing, assistant) AS way FROM ({inserted("w")}) o LEFT JOIN counts USING (rid) WHERE o.i = coalesce(n, 0)
+), letters AS (
+  SELECT rid, p, substr(way, 12 + p, 1) AS letter FROM (SELECT rid, way, unnest(range(1, length(way) - 11)) AS p FROM solved)
+), numbered AS (
+  SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY p) AS i FROM letters
+), put AS (
+  SELECT x.rid, p, letter, role, text, initial, row_number() OVER (PARTITION BY x.rid ORDER BY p) - 1 AS e
+  FROM numbered x LEFT JOIN m ON m.rid = x.rid AND m.i = x.i AND letter <> 'I' WHERE letter <> 'D'
+), lead_ AS (
+  SELECT rid, max(CASE WHEN e = 0 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) AS s FROM put GROUP BY rid
+), texts AS (
+  SELECT rid, string_agg(CASE WHEN letter = 'K' THEN role WHEN (e - s) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS repaired
+  FROM put JOIN lead_ USING (rid) GROUP BY rid
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, left(way, 12)::BIGINT AS cost, substr(way, 13) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM convs JOIN solved USING (rid) LEFT JOIN counts USING (rid) LEFT JOIN texts USING (rid)
+"""
+
+
+def _op12_sql(k: int = 8, dim: int = 64, rounds: int = 10) -> str:
+    """One pair of CTEs a round: nearest centroids, then the floors of the means (the sums are exact, so is the division)."""
+    near = lambda r: f"""
+), a{r} AS MATERIALIZED (
+  SELECT rid, min((d, j)) AS best FROM (
+    SELECT rid, j, sum((q - c) * (q - c))::BIGINT AS d FROM comp JOIN c{r} USING (p) GROUP BY rid, j) GROUP BY rid"""
+    move = lambda r: f"""
+), c{r + 1} AS MATERIALIZED (
+  SELECT j, p, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN (
+    SELECT j, p, ((s - ((s % n) + n) % n) // n)::BIGINT AS c
+    FROM (SELECT best[2] AS j, p, sum(q)::BIGINT AS s, count(*) AS n FROM comp JOIN a{r} USING (rid) GROUP BY ALL)
+  ) m USING (j, p)"""
+    steps = "".join(near(r) + move(r) for r in range(rounds)) + near(rounds)
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comp AS MATERIALIZED (
+  SELECT rid, floor(1024::DOUBLE * unnest(embedding)::DOUBLE)::BIGINT AS q, unnest(range({dim})) AS p FROM v
+), seeds AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR) NULLS LAST, embedding) - 1 AS j FROM v QUALIFY j < {k}
+), c0 AS MATERIALIZED (
+  SELECT j, p, q AS c FROM seeds JOIN comp USING (rid){steps}
+), digests AS (
+  SELECT j, sha256(string_agg(c::VARCHAR, ',' ORDER BY p)) AS centroid_sha256 FROM c{rounds} GROUP BY j
+)
+SELECT vec_id, best[2]::INT AS cluster, best[1]::BIGINT AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia,
+       (sum(best[1]) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN v USING (rid) JOIN digests ON j = best[2]
+"""
+
+
+_OP13_SQL = r"""
+WITH n AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
+"""
+
 ORACLES = {
     "op3_mix_sources": _OP3_SQL,
     "op4_url_filter": _OP4_SQL,
@@ -238,4 +364,7 @@ ORACLES = {
     "op8_chat_format": _OP8_SQL,
     "op9_jaccard_join": _OP9_SQL,
     "op10_line_dedup": _OP10_SQL,
+    "op11_conversation_repair": _op11_sql(),
+    "op12_centroids": _op12_sql(),
+    "op13_exact_dedup": _OP13_SQL,
 }

@@ -33,3 +33,13 @@ def unused(columns: list[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def running_sums(numbers: Column) -> Column:
+    """What stands before each number, summed. A sum that appends to an array copies it, so it runs in runs of about the root of the length."""
+    fold = lambda xs, first: F.slice(F.aggregate(xs, F.array(first), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)), 1, F.size(xs))
+    run = F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(0), (F.greatest(F.size(numbers) - 1, F.lit(0)) / run).cast("int")), lambda c: F.slice(numbers, c * run + 1, run))
+    total = lambda r: F.aggregate(r, F.lit(0), lambda acc, x: acc + x)
+    each = lambda rs: F.flatten(F.zip_with(rs, fold(F.transform(rs, total), F.lit(0)), fold))
+    return F.get(F.transform(F.array(runs), each), F.lit(0))
