@@ -13,9 +13,10 @@ A query starts at its own node and keeps a beam of the best nodes met; in each r
 aren't yet expanded are joined with the graph and the vectors, until every node of the beam is
 expanded. The beam is ranked anew with exact cosines in double precision on the original vectors.
 
-Vectors in the graph are single-precision unit vectors; nothing is broadcast. Cases: vectors that
-are null, empty, zero, or hold null or non-finite components take no part, nor do rows of a null
-id; where dimensions differ, the most frequent one (the least of equals) counts; of different
+Vectors in the graph are single-precision unit vectors; nothing is broadcast. Ids are integers. Cases:
+components of any finite size are admitted, as vectors are scaled before their products; vectors
+that are null, empty, zero, or hold null or non-finite components take no part, nor do rows of a
+null id; where dimensions differ, the most frequent one (the least of equals) counts; of different
 vectors under one id the least counts; ties go to smaller ids; with too few candidates all are
 returned; an empty table gives no rows; other columns are ignored.
 """
@@ -36,6 +37,8 @@ from quire.plans.scratch import Scratch, free_shuffles, materialise
 DEGREE, REVERSE, TREES, BUCKET = 32, 32, 2, 80
 #: New edges that one comparison may offer a node.
 OFFERS = 6
+#: Vectors whose largest component is outside of these are multiplied by ``FAR`` or its inverse (all powers of two) before their products.
+TINY, HUGE, FAR = 2.0**-300, 2.0**300, 2.0**600
 #: Values that one block of comparisons holds at a time.
 BLOCK = 4_000_000
 
@@ -120,7 +123,10 @@ def _keep_best(edges: DataFrame, degree: int) -> DataFrame:
 
 def _partitioned(halves: DataFrame, n: int, tree: int) -> DataFrame:
     """``v, u, h, bar, new``: buckets of about ``BUCKET`` nodes by random projections; for a negative ``tree`` by a hash only."""
-    bits = max(0, int(np.ceil(np.log2(max(n, 1) / BUCKET)))) if tree >= 0 else 0
+    row = lambda v: [v.alias("v"), "u", "h", F.lit(-2.0).cast("float").alias("bar"), F.lit(True).alias("new")]
+    if tree < 0:
+        return halves.select(F.col("cid").alias("u"), "h").select(*row(F.pmod(F.xxhash64("u", F.lit(tree)), F.lit(-(-max(n, 1) // BUCKET)))))
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -129,14 +135,14 @@ def _partitioned(halves: DataFrame, n: int, tree: int) -> DataFrame:
                 continue
             h = _unpack(b.column(1))
             if planes is None:
-                planes = np.random.default_rng(abs(tree)).normal(size=(h.shape[1], bits)).astype(np.float32)
+                planes = np.random.default_rng(tree).normal(size=(h.shape[1], bits)).astype(np.float32)
             code = ((h @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64))) if bits else np.zeros(len(h), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(code.astype(np.int64))], ["u", "h", "code"])
 
     coded = halves.mapInArrow(run, "u long, h array<float>, code long")
     size = coded.groupBy("code").agg(F.count("*").alias("size"))
     part = F.pmod(F.xxhash64("u", F.lit(tree)), F.ceil(F.col("size") / BUCKET))
-    return coded.join(size, "code").select(F.xxhash64("code", part).alias("v"), "u", "h", F.lit(-2.0).cast("float").alias("bar"), F.lit(True).alias("new"))
+    return coded.join(size, "code").select(*row(F.xxhash64("code", part)))
 
 
 def build_graph(halves: DataFrame, n: int, rounds: int = 8, degree: int = DEGREE, settled: float = 0.05) -> DataFrame:
@@ -165,7 +171,15 @@ def build_graph(halves: DataFrame, n: int, rounds: int = 8, degree: int = DEGREE
     return graph.df.select("cid", "nbr", "sim")
 
 
+def in_range(vec: Column) -> Column:
+    """``vec``, multiplied by a power of two if squares of its components could leave the range of a double; the cosine is the same bit for bit."""
+    most = F.array_max(F.transform(vec, F.abs))
+    factor = F.when(most < TINY, F.lit(FAR)).when(most > HUGE, F.lit(1 / FAR))
+    return F.when(factor.isNull(), vec).otherwise(F.transform(vec, lambda x: x * factor))
+
+
 def _cosine(a: Column, b: Column) -> Column:
+    """Of vectors that ``in_range`` has been over."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
@@ -205,8 +219,8 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, vec_id: str = "vec_id
     rows = vectors.where(query).select(F.col(vec_id).cast("long").alias("query_id"), F.col(embedding).cast("array<double>").alias("vec")).where("query_id IS NOT NULL")
     asked = materialise(rows.groupBy("query_id").agg(F.min("vec").alias("vec")).join(nodes.select("cid", "vec"), "vec").select("query_id", F.col("cid").alias("q")))
     found = search(graph, halves, asked.select("q").distinct())
-    of = nodes.select(F.col("cid").alias("q"), F.col("vec").alias("vq"))
-    scored = found.join(nodes, "cid").join(of, "q").select("q", "ids", _cosine(F.col("vq"), F.col("vec")).alias("score"))
+    of = nodes.select(F.col("cid").alias("q"), in_range(F.col("vec")).alias("vq"))
+    scored = found.join(nodes.select("cid", "ids", in_range(F.col("vec")).alias("vec")), "cid").join(of, "q").select("q", "ids", _cosine(F.col("vq"), F.col("vec")).alias("score"))
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
     each = scored.select("q", F.explode("ids").alias("vec_id"), "score").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

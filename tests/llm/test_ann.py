@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.ann import nearest, search
+from quire.llm.ann import in_range, nearest, search
 
 SCHEMA = "vec_id long, embedding array<float>, cid int"
 
@@ -48,6 +50,35 @@ def test_odd_rows_and_ties(spark):
     assert got == want and got[0][0] == (1, 1.0) and [v for v, _ in got[5]] == [0, 1, 2, 3, 4]
 
 
+def test_any_finite_magnitude(spark):
+    """Each vector at its own scale, from the least number above zero to nearly the greatest; exact cosines from fractions."""
+    rng = np.random.default_rng(3)
+    scales = [1e-322, 1e-300, 1e-200, 1e-160, 1.0, 1e160, 1e200, 1e300]
+    rows = [(i, [float(x) for x in rng.integers(-9, 10, size=4) * scales[i % 8]]) for i in range(48)]
+    rows += [(100, [1e-200, 1e200, 0.0, 0.0]), (105, [5e-324, 0.0, 0.0, 0.0]), (110, [1.7e308, -1.7e308, 1e-308, 0.0])]
+    rows = [(i, v) for i, v in rows if any(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(nearest(df, F.col("vec_id") % 5 == 0).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    exact = {i: [Fraction(x) for x in v] for i, v in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+
+    def cosine(a, b):
+        square = dot(a, b) ** 2 / (dot(a, a) * dot(b, b))
+        return float(square) ** 0.5 * (1 if dot(a, b) >= 0 else -1)
+
+    for q in (i for i in exact if i % 5 == 0):
+        want = sorted((-round(cosine(exact[q], v), 9), i) for i, v in exact.items() if i != q)[:5]
+        assert [(-round(s, 9), i) for i, s in sorted(got[q], key=lambda x: (-round(x[1], 9), x[0]))] == want
+
+
+def test_scaling_leaves_ordinary_vectors_as_they_are(spark):
+    v = [0.1, -3.7e80, 2.5e-90]
+    (got,) = spark.range(1).select(in_range(F.array(*map(F.lit, v)))).first()
+    assert got == v
+
+
 def test_few_rows(spark):
     assert run(spark, []) == {}
     assert run(spark, [(0, [1.0])]) == {}
