@@ -137,10 +137,21 @@ def next_queued(tasks: DataFrame, group: str, ident: str, order: str, status: st
 
 
 def nearest(targets: DataFrame, blocks: DataFrame, group: str, at: str, place: str, ident: str) -> DataFrame:
-    """The block of least distance to each target in its group, the earlier one of equals; a target has one of few blocks of its page."""
-    joined = targets.join(blocks.select(group, F.col(place).alias("_p"), F.col(ident).alias("_b")), group)
-    keys = targets.columns
-    return joined.groupBy(*keys).agg(F.min_by("_b", F.struct(F.abs(F.col(at) - F.col("_p")), "_p", "_b")).alias(ident))
+    """``targets`` with the block of least distance in its group, the earlier one of equals; targets of groups without blocks are left out.
+
+    Both sides are merged in order of place: the last block before a target and the first one behind it are the only ones in question. Rows
+    are the sum of both sides. Of blocks at one place the least id counts; a null place is nowhere, for targets too.
+    """
+    there = blocks.where(F.col(place).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(place).cast("double").alias("_p")).agg(F.min(ident).alias("_b"))
+    asks = targets.where(F.col(at).isNotNull()).select(F.col(group).alias("_g"), F.col(at).cast("double").alias("_p"), F.struct(*targets.columns).alias("_t"))
+    both = asks.withColumn("_b", F.lit(None).cast(there.schema["_b"].dataType)).unionByName(there.withColumn("_t", F.lit(None).cast(asks.schema["_t"].dataType)))
+    found = F.when(F.col("_t").isNull(), F.struct(F.col("_p").alias("p"), F.col("_b").alias("b")))
+    rise = Window.partitionBy("_g").orderBy("_p", F.col("_t").isNotNull())  # a block at the target's own place comes before it
+    fall = Window.partitionBy("_g").orderBy(F.desc("_p"), F.col("_t").isNotNull())
+    upto = lambda w: F.last(found, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumn("_before", upto(rise)).withColumn("_behind", upto(fall)).where(F.col("_t").isNotNull() & (F.col("_before").isNotNull() | F.col("_behind").isNotNull()))
+    closer = F.col("_behind").isNull() | (F.col("_p") - F.col("_before.p") <= F.col("_behind.p") - F.col("_p"))
+    return near.select("_t.*", F.when(closer, F.col("_before.b")).otherwise(F.col("_behind.b")).alias(ident))
 
 
 def merged_place(events: DataFrame, group: str, seq: str = "seq", at: str = "created_at", ident: str = "id") -> DataFrame:

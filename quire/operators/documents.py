@@ -10,6 +10,7 @@ from quire.functions import numbers as N
 from quire.functions import patterns as P
 from quire.functions import text as X
 from quire.functions import url as U
+from quire.plans.scratch import Scratch
 
 
 def blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -138,32 +139,61 @@ def pages_in_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     return pages.withColumn("page", F.col("page").cast("long")).join(unrolled, ["book", "page"])
 
 
+def chain_lengths(rows: DataFrame, book: str, at: str, ordinal: str) -> DataFrame:
+    """``book, at, ordinal, next_at, length``: for each row the longest chain of ordinals that rise by one from there on.
+
+    Of the rows with the next ordinal the nearest one behind is as good as any: whatever goes on from a later one goes on from it.
+    So each row has one successor, found by a window over the rows of both ordinals, and lengths follow by doubling: a row
+    takes the length of where it has got to, and where that has got to, in as many turns as the length has binary digits.
+    Equal rows count once; rows of null ordinals or places are left out.
+    """
+    named = rows.select(F.col(book).alias("book"), F.col(at).alias("at"), F.col(ordinal).cast("long").alias("ordinal")).dropna(subset=["at", "ordinal"]).distinct()
+    asks = named.select("book", "at", "ordinal", (F.col("ordinal") + 1).alias("wanted"), F.lit(0).alias("is"))
+    both = asks.unionByName(named.select("book", "at", "ordinal", F.col("ordinal").alias("wanted"), F.lit(1).alias("is")))
+    # In descending order the last answer so far is the nearest one behind; at an equal place the ask comes first, as only later ones count.
+    behind = Window.partitionBy("book", "wanted").orderBy(F.desc("at"), "is").rowsBetween(Window.unboundedPreceding, -1)
+    linked = both.withColumn("next_at", F.last(F.when(F.col("is") == 1, F.col("at")), ignorenulls=True).over(behind)).where("is = 0")
+    state = Scratch(linked.select("book", "at", "ordinal", "next_at", F.lit(1).cast("long").alias("length"), F.col("next_at").alias("to_at"), (F.col("ordinal") + 1).alias("to")))
+    while not state.df.where("to_at IS NOT NULL").isEmpty():
+        s = state.df
+        on = s.select(F.col("book").alias("b"), F.col("at").alias("a"), F.col("ordinal").alias("o"), F.col("length").alias("more"), F.col("to_at").alias("far_at"), F.col("to").alias("far"))
+        joined = s.join(on, F.col("book").eqNullSafe(F.col("b")) & (F.col("to_at") == F.col("a")) & (F.col("to") == F.col("o")), "left")
+        step = joined.select("book", "at", "ordinal", "next_at", (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.col("far_at").alias("to_at"), F.col("far").alias("to"))
+        after = Scratch(step)
+        state.drop()
+        state = after
+    return state.df.select("book", "at", "ordinal", "next_at", "length")
+
+
 def longest_chain(rows: DataFrame, book: str, at: str, ordinal: str) -> DataFrame:
-    """``book, length, start, chain``: the longest run of ordinals that rise by one, later starts winning ties.
+    """``book, length, start``: the longest run of ordinals that rise by one at rising places; later starts win ties."""
+    best = F.max(F.struct("length", "at"))
+    return chain_lengths(rows, book, at, ordinal).groupBy("book").agg(best.alias("r")).select("book", F.col("r.length").alias("length"), F.col("r.at").alias("start"))
+
+
+def longest_chain_rows(rows: DataFrame, book: str, at: str, ordinal: str) -> DataFrame:
+    """``book, at, ordinal``: the rows of the longest chain of each book.
 
-    Each book is one group; the state is one entry an ordinal, so a group is read once from its end.
+    On the way from its first row lengths fall by one as ordinals rise by one, so only rows for which the two add up are looked at. Rows
+    behind a marked one are marked by jumps of 1, 2, 4 ... rows, again in as many turns as the length has binary digits.
     """
-    import pandas as pd
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at", kind="stable")
-        best: dict[int, tuple[int, int, tuple]] = {}
-        top: tuple[int, int, tuple] = (0, 0, ())
-        for a, o in zip(part["at"].tolist()[::-1], part["o"].tolist()[::-1], strict=True):
-            after = best.get(o + 1)
-            mine = (after[0] + 1 if after else 1, a, (a, after))
-            if o not in best or mine[0] >= best[o][0]:
-                best[o] = mine
-            if mine[0] > top[0]:
-                top = mine
-        chain, link = [], top[2]
-        while link:
-            chain.append(str(link[0]))
-            link = link[1][2] if link[1] else ()
-        return pd.DataFrame({"book": [key[0]], "length": [top[0]], "start": [top[1]], "chain": [",".join(chain)]})
-
-    data = rows.select(F.col(book).cast("long").alias("book"), F.col(at).cast("long").alias("at"), F.col(ordinal).cast("long").alias("o"))
-    return data.groupBy("book").applyInPandas(run, "book long, length long, start long, chain string")
+    lengths = Scratch(chain_lengths(rows, book, at, ordinal)).df
+    best = lengths.groupBy("book").agg(F.max(F.struct("length", "at", "ordinal")).alias("r")).select(F.col("book").alias("b"), "r.*")
+    top = best.select("b", F.col("length").alias("whole"), F.col("at").alias("from_at"), F.col("ordinal").alias("from"))
+    fits = (F.col("ordinal") - F.col("from") + F.col("length") == F.col("whole")) & (F.col("at") >= F.col("from_at"))
+    first = (F.col("at") == F.col("from_at")) & (F.col("ordinal") == F.col("from"))
+    near = lengths.join(top, F.col("book").eqNullSafe(F.col("b"))).where(fits)
+    state = Scratch(near.select("book", "at", "ordinal", first.alias("on"), F.col("next_at").alias("to_at"), (F.col("ordinal") + 1).alias("to")))
+    while not state.df.where("on AND to_at IS NOT NULL").isEmpty():
+        s = state.df
+        hits = s.where("on").select(F.col("book").alias("b"), F.col("to_at").alias("a"), F.col("to").alias("o"), F.lit(True).alias("hit"))
+        far = s.select(F.col("book").alias("fb"), F.col("at").alias("fa"), F.col("ordinal").alias("fo"), F.col("to_at").alias("far_at"), F.col("to").alias("far"))
+        marked = s.join(hits, F.col("book").eqNullSafe(F.col("b")) & (F.col("at") == F.col("a")) & (F.col("ordinal") == F.col("o")), "left")
+        moved = marked.join(far, F.col("book").eqNullSafe(F.col("fb")) & (F.col("to_at") == F.col("fa")) & (F.col("to") == F.col("fo")), "left")
+        after = Scratch(moved.select("book", "at", "ordinal", (F.col("on") | F.coalesce("hit", F.lit(False))).alias("on"), F.col("far_at").alias("to_at"), F.col("far").alias("to")))
+        state.drop()
+        state = after
+    return state.df.where("on").select("book", "at", "ordinal")
 
 
 def page_profile(pages: DataFrame) -> DataFrame:

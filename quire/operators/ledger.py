@@ -2,40 +2,94 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
+from quire.plans.groups import each_group
+from quire.plans.ordering import group_places
+from quire.plans.scratch import materialise
 
 
-def batches(entries: DataFrame, book: str, ident: str, chars: Column, most: int = P.BATCH_BLOCKS, most_chars: int = P.BATCH_CHARS) -> DataFrame:
-    """``book, ident, batch``: entries in byte order of ids, packed greedily; an entry over the limit has its own batch.
+#: Entries of a book that one step packs at a time.
+SEGMENT = 4096
 
-    The fold over a book keeps two counters and one small number an entry; its result is read out in one explode.
-    """
-    items = F.array_sort(F.collect_list(F.struct(F.col(ident).alias("i"), chars.cast("long").alias("n"))))
-    grouped = entries.groupBy(F.col(book).alias("book")).agg(items.alias("items"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["size"] > 0) & ((acc["size"] >= most) | (acc["chars"] + x["n"] > most_chars))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(acc["size"] + 1).alias("size"),
-            F.when(full, x["n"]).otherwise(acc["chars"] + x["n"]).alias("chars"), F.array_append(acc["out"], batch).alias("out"),
-        )
+def _next_starts(chars: np.ndarray, most: int, most_chars: int) -> np.ndarray:
+    """Where the next batch starts if one starts at each entry: as many entries as fit, one at least."""
+    upto = np.concatenate(([0], np.cumsum(chars)))
+    at = np.arange(len(chars))
+    return np.clip(np.searchsorted(upto, upto[:-1] + most_chars, side="right") - 1, at + 1, at + most)
 
-    numbers = F.aggregate("items", start, step, lambda acc: acc["out"])
-    zipped = grouped.select("book", F.posexplode(F.arrays_zip(F.col("items"), numbers.alias("b"))).alias("pos", "x"))
-    return zipped.select("book", F.col("x.items.i").alias(ident), F.col("x.items.n").alias("chars"), (F.col("x.b") + 1).alias("batch"))
 
+def batches(entries: DataFrame, book: str, ident: str, chars: Column, most: int = P.BATCH_BLOCKS, most_chars: int = P.BATCH_CHARS) -> DataFrame:
+    """``book, ident, chars, batch``: entries in byte order of ids, packed greedily; an entry over the limit has its own batch.
 
-def halves(entries: DataFrame, group: str, ident: str, chars: str) -> DataFrame:
-    """The left half takes entries in order until it holds half of all characters, one at least."""
+    Where a batch starts depends on all before it, but only by the place of the last start. So a book is cut into segments, and each
+    segment says for each of its first ``most`` entries where the first batch of the next segment starts, and after how many
+    batches, if a batch starts there. A pass over these small rows in order finds the real starts, and the segments are packed
+    from there, each by its own task. Ids are to be unique in a book.
+    """
+    segment = max(SEGMENT, most)
+    named = entries.select(F.col(book).alias("book"), F.col(ident).alias("_id"), chars.cast("long").alias("chars"))
+    rows = materialise(group_places(named, "book", [F.col("_id")], "n").withColumn("segment", F.floor((F.col("n") - 1) / segment)))
+    kind = rows.schema["book"].dataType.simpleString()
+    ahead = rows.where((F.col("segment") > 0) & ((F.col("n") - 1) % segment < most)).withColumn("segment", F.col("segment") - 1)
+
+    def leads(part: pd.DataFrame) -> pd.DataFrame:
+        own = int(((part["n"] - 1) // segment == part["segment"]).sum())
+        after = _next_starts(part["chars"].to_numpy(), most, most_chars)
+        at = np.arange(min(most, own))
+        count = np.zeros(len(at), dtype=np.int64)
+        while (inside := at < own).any():
+            count[inside] += 1
+            at[inside] = after[at[inside]]
+        return pd.DataFrame({"book": part["book"][:1], "segment": part["segment"][:1], "leads": [(at - own).tolist()], "counts": [count.tolist()]})
+
+    maps = each_group(rows.drop("_id").unionByName(ahead.drop("_id")), ["book", "segment"], ["n"], leads, f"book {kind}, segment long, leads array<long>, counts array<long>")
+
+    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, at, base = None, 0, 0
+        for part in parts:
+            starts = []
+            for k, lead, count in zip(part["_key"], part["leads"], part["counts"], strict=True):
+                if k != key:
+                    key, at, base = k, 0, 0
+                starts.append((at, base))
+                base, at = (base + int(count[at]), int(lead[at])) if at < len(lead) else (base, at)
+            yield part[["book", "segment"]].assign(at=[s[0] for s in starts], base=[s[1] for s in starts])
+
+    keyed = maps.withColumn("_key", F.to_json(F.struct("book"), {"ignoreNullFields": "false"})).repartition("book").sortWithinPartitions("_key", "segment")
+    starts = keyed.mapInPandas(walk, f"book {kind}, segment long, at long, base long").withColumnsRenamed({"book": "_book", "segment": "_segment"})
+
+    def number(part: pd.DataFrame) -> pd.DataFrame:
+        after = _next_starts(part["chars"].to_numpy(), most, most_chars)
+        begins = np.zeros(len(part), dtype=np.int64)
+        at = int(part["at"].iloc[0])
+        while at < len(part):
+            begins[at] = 1
+            at = int(after[at])
+        return part[["book", "_id", "chars"]].assign(batch=begins.cumsum() + int(part["base"].iloc[0]))
+
+    joined = rows.join(starts, F.col("book").eqNullSafe(F.col("_book")) & (F.col("segment") == F.col("_segment"))).drop("_book", "_segment")
+    ids = rows.schema["_id"].dataType.simpleString()
+    packed = each_group(joined, ["book", "segment"], ["n"], number, f"book {kind}, _id {ids}, chars long, batch int")
+    return packed.withColumnRenamed("_id", ident)
+
+
+def halves(entries: DataFrame, group: str, ident: str, chars: str, both: bool = False) -> DataFrame:
+    """The left half takes entries in order until it holds half of all characters, one at least; with ``both`` the right half of two or more gets the last one at least."""
     w = Window.partitionBy(group).orderBy(ident)
     before = F.sum(chars).over(w.rowsBetween(Window.unboundedPreceding, -1))
     target = F.floor(F.sum(chars).over(Window.partitionBy(group)) / 2)
-    return entries.withColumn("side", F.when(before.isNull() | (before < target), "left").otherwise("right"))
+    left = before < target
+    if both:
+        left = left & F.lead(ident).over(w).isNotNull()
+    return entries.withColumn("side", F.when(before.isNull() | left, "left").otherwise("right"))
 
 
 def missing(blocks: DataFrame, done: DataFrame, key: str) -> DataFrame:

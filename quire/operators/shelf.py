@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import numbers as N
 from quire.functions import patterns as P
+from quire.plans.ordering import global_places
 
 
 def with_progress(books: DataFrame, progress: DataFrame, key: str = "book_id") -> DataFrame:
@@ -32,9 +33,9 @@ def matches(title: Column, original: Column, author: Column, query: str) -> Colu
     return F.contains(whole, F.lower(F.trim(F.lit(query))))
 
 
-def shelf_rank(updated: str, title: str, ident: str) -> Column:
-    """1 for the first book: those with progress by last change, then the others by title."""
-    return F.row_number().over(Window.orderBy(F.col(updated).isNull(), F.col(updated).desc(), title, ident))
+def shelf_places(shelf: DataFrame, updated: str, title: str, ident: str) -> DataFrame:
+    """``shelf`` with ``place``, 1 for the first book: those with progress by last change, then the others by title. No task sees the whole shelf."""
+    return global_places(shelf, [F.col(updated).isNull(), F.col(updated).desc(), F.col(title), F.col(ident)])
 
 
 def progress_label(progress: Column, chapter: Column) -> Column:

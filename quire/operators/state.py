@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left, insort
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,14 +103,36 @@ def overlapping(highlights: DataFrame, keys: Sequence[str], ident: str, start: s
 
 
 def admit(highlights: DataFrame, keys: Sequence[str], ident: str, start: str, end: str) -> DataFrame:
-    """Highlights accepted in order of ``ident``: one is accepted iff it overlaps none accepted before."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(ident).alias("i"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e"))))
-    kept = F.aggregate(
-        "items", F.slice("items", 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])), acc).otherwise(F.array_append(acc, x)),
-    )
-    rows = highlights.groupBy(*keys).agg(items.alias("items")).select(*keys, F.inline(kept))
-    return rows.select(*keys, F.col("i").alias(ident), F.col("s").alias(start), F.col("e").alias(end))
+    """``keys, ident, start, end``: highlights accepted in order of ``ident``; one is accepted iff it overlaps none accepted before.
+
+    Ranges that chains of overlaps don't connect decide apart, so each key is cut into islands by the greatest end so
+    far. In an island accepted ranges are disjoint and kept in order, where a new one has one neighbour to be compared with.
+    Ranges that end before they start are never accepted.
+    """
+    w = Window.partitionBy(*keys).orderBy("s", "e", "i")
+    rows = highlights.select(*keys, F.col(ident).alias("i"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("s <= e")
+    reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = rows.withColumn("_new", F.when(F.col("s") < reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    marked = islands.withColumn("_group", F.to_json(F.struct(*keys, "_island"), {"ignoreNullFields": "false"}))
+    columns = [*keys, "i", "s", "e"]
+    schema = ", ".join(f"`{c}` {marked.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, taken = None, []
+        for part in parts:
+            keep = []
+            for g, s, e in zip(part["_group"], part["s"].tolist(), part["e"].tolist(), strict=True):
+                if g != group:
+                    group, taken = g, []
+                at = bisect_left(taken, (e,))  # those that start before the new one ends; the last of them ends last
+                ok = at == 0 or taken[at - 1][1] <= s
+                if ok:
+                    insort(taken, (s, e))
+                keep.append(ok)
+            yield part.loc[keep, columns]
+
+    kept = marked.repartition(*keys, "_island").sortWithinPartitions("_group", "i").mapInPandas(run, schema)
+    return kept.withColumnsRenamed({"i": ident, "s": start, "e": end})
 
 
 def absolute_ranges(blocks: DataFrame, ranges: DataFrame, book: str, block: str, order: str, length: str, start: str, end: str) -> DataFrame:

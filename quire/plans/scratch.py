@@ -4,17 +4,33 @@ Multi-step operators cut their lineage by writing a Parquet table below ``spark.
 and reading it back: the files outlive any executor, and Parquet is smaller than a row
 checkpoint. The folder is read from the session, or from the context's own checkpoint folder; where neither is
 set, a local session (tests) uses a folder of this process, and on a cluster it is an error.
-Tables that nobody drops are deleted when the application ends.
+Tables that nobody drops are deleted at the end of the ``scratch_scope`` that they were made in, or else when the application ends.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Within it operators may be called and their results written; at its end the tables they made are deleted."""
+    made: list[Scratch] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for t in made:
+            t.drop()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,6 +57,8 @@ class Scratch:
         self._at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._at)
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def drop(self) -> None:
         self._fs.delete(self._at, True)

@@ -249,7 +249,7 @@ m AS (SELECT book, s, max(n) AS n FROM c GROUP BY book, s)
 SELECT book, max(n)::BIGINT AS length, arg_max(s, (n, s)) AS start FROM m GROUP BY book""")
 def longest_ordinal_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return D.longest_chain(rows, "user_id", "event_id", "k").select("book", "length", "start")
+    return D.longest_chain(rows, "user_id", "event_id", "k")
 
 
 _BATCHES = """RECURSIVE e AS (SELECT source AS book, doc_id::VARCHAR AS block_id, length(doc_id::VARCHAR) + length(text) AS chars,

@@ -58,7 +58,7 @@ def shelf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SHELF} SELECT book_id, row_number() OVER (ORDER BY seq IS NULL, seq DESC, title, book_id)::INT AS place FROM sh")
 def shelf_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shelf(spark, sf_dir).select("book_id", H.shelf_rank("seq", "title", "book_id").alias("place"))
+    return H.shelf_places(_shelf(spark, sf_dir), "seq", "title", "book_id").select("book_id", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH {_SHELF} SELECT book_id, title FROM sh WHERE p > 0 AND p < 0.995 ORDER BY seq DESC LIMIT 1")
