@@ -137,7 +137,7 @@ def test_mapper(spark):
         r = got[b, i]
         assert r.problem == kinds.get(t), (t, r)
         assert r.text == (t if t in kinds else t.upper())
-        assert (r.turn == 1) == (i >= "032") and len(r.grp) == 5 + r.turn
+        assert (r.turn == 1) == (i >= "016") and len(r.grp) == 5 + r.turn
     once = M.map_in_batches(spark.createDataFrame(rows, "book string, block_id string, text string"), worker, most=16, turns=1)
     assert once.where("problem IS NOT NULL").count() == 32 and once.count() == len(rows)
     assert M.map_in_batches(spark.createDataFrame([], "book string, block_id string, text string"), worker).collect() == []
