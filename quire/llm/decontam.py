@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from quire.llm.text import ALNUM_WORD, ascii_lower
 from quire.plans.scratch import Scratch
 
-#: Windows in one broadcast: about 300 bytes each, so 60 MB.
-BLOCK = 200_000
+#: Shingles of windows, or ids of items, in one broadcast: about 120 bytes each, so 60 MB.
+BLOCK = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -74,13 +74,14 @@ def decontaminate(
     size = F.least(F.col("n"), F.lit(shingle))
     windows = Scratch(item_windows(items, item_id, item_text, window).withColumn("k", size).withColumn("window_id", F.xxhash64("words")))
     sizes = sorted(r[0] for r in windows.df.select("k").distinct().collect())  # at most `shingle` values
-    blocks = max(1, -(-windows.df.count() // BLOCK))
     parts = windows.df.select("window_id", "n", "k", F.explode(_positions(F.col("n") - F.col("k") + 1)).alias("offset"), "words")
     parts = reduce(DataFrame.unionByName, [
         parts.where(F.col("k") == k).select("window_id", "n", "k", "offset", _shingle(F.col("words"), F.col("offset"), k).alias("h"), F.slice("words", F.col("offset") + 1, F.col("k")).alias("gram"))
         for k in sizes
     ]) if sizes else parts.select("window_id", "n", "k", "offset", F.lit(None).cast("long").alias("h"), "words").withColumnRenamed("words", "gram")
     parts = Scratch(parts)
+    blocks = max(1, -(-parts.df.count() // BLOCK))
+    few_ids = (windows.df.agg(F.sum(F.size("item_ids"))).first()[0] or 0) <= BLOCK
 
     # One pass over the documents: a head row each, and every shingle that the benchmark has too, with its words.
     doc = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("w"))
@@ -117,7 +118,8 @@ def decontaminate(
     wanted = wanted.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).drop("h")
     there = matches.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), "text_hash", "at", "gram").distinct()
     whole = wanted.join(there, ["key", "text_hash", "at", "gram"]).groupBy(*where, "n").agg(F.countDistinct("offset").alias("c"), F.max("k").alias("k"))
-    hits = whole.where("c = n - k + 1").join(small(windows.df.select("window_id", "item_ids")), "window_id")
+    ids = windows.df.select("window_id", "item_ids")
+    hits = whole.where("c = n - k + 1").join(F.broadcast(ids) if few_ids and blocks == 1 else ids, "window_id")
     spans = hits.select("doc_id", "text_hash", F.lit(None).cast("int").alias("n_words"), F.lit(0).alias("head"), F.struct("s", (F.col("s") + F.col("n")).alias("e")).alias("span"), "item_ids")
     heads = found.df.where("h IS NULL").select("doc_id", "text_hash", "n_words", F.lit(1).alias("head"), F.lit(None).cast(spans.schema["span"].dataType).alias("span"), F.lit(None).cast("array<string>").alias("item_ids"))
     grouped = heads.unionByName(spans).groupBy("doc_id", "text_hash").agg(

@@ -75,7 +75,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lon
     """``docs`` with the repeated lines taken out of ``text``, plus ``n_lines`` and ``n_removed``."""
     id_, hash_, key, gone, split = unused([*docs.columns, "n_lines", "n_removed"], "id", "hash", "key", "removed", "lines")
     covered = repeated_windows(docs, doc_id, text, long_words).toDF(id_, hash_, gone)
-    joined = docs.withColumn(key, F.xxhash64(F.col(text))).join(covered.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_)), "left")
+    joined = docs.withColumn(key, F.xxhash64(F.col(text))).join(covered, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_)), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
     rest = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
     return (

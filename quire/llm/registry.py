@@ -27,7 +27,7 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels")).drop("source")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,13 +161,19 @@ FROM dw LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
 
 _OP3_SQL = r"""
 WITH b AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(text) AS chars,
-         len(regexp_extract_all(text, '[0-9#$%&*+/<=>@^_`{|}~]')) AS symbols, len(regexp_extract_all(text, '[.!?]')) AS ends,
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, text, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents
+), c AS (
+  SELECT doc_id, source, size, u, coalesce(
+           (least(floor(length(text)::DOUBLE / greatest(size, 1)), 9) * 10
+            + least(floor(len(regexp_extract_all(text, '[0-9#$%&*+/<=>@^_`{|}~]')) * 50::DOUBLE / greatest(length(text), 1)), 9)) * 10
+           + least(floor(len(regexp_extract_all(text, '[.!?]')) * 50::DOUBLE / greatest(size, 1)), 9), 0)::INT AS cell
+  FROM b
+), m AS (
+  SELECT cell, greatest((sum(quality) + 1)::DOUBLE / (count(quality) + 2)::DOUBLE, 0.05::DOUBLE) AS w FROM c JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY cell
 ), k AS (
-  SELECT *, pow(u, 1.0::DOUBLE / ((1.0::DOUBLE + CASE WHEN chars BETWEEN size * 3 AND size * 12 THEN 1 ELSE 0 END + CASE WHEN symbols * 10 <= chars THEN 1 ELSE 0 END
-    + CASE WHEN ends * 40 >= size THEN 1 ELSE 0 END) / 4)) AS v FROM b
+  SELECT c.*, pow(u, 1.0::DOUBLE / coalesce(w, 0.5::DOUBLE)) AS v FROM c LEFT JOIN m USING (cell)
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight

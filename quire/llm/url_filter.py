@@ -69,18 +69,14 @@ def filter_urls(
         F.filter(F.array(*[F.lit(n).cast("int") for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= n_path),
         lambda n: F.substr("path", F.lit(1), n),
     )
-    # The first key of a row is always kept, so that every row survives the filter once.
-    keys = F.concat(
-        F.array(F.lit(None).cast("string")), F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    )
-    probed = parts.select("page_id", "host", "path", F.posexplode(keys).alias("at", "key"))
-    hits = probed.where((F.col("at") == 0) | possible(F.xxhash64(F.col("key"))))
+    # Rows with a key that may be listed go to the join; the head of every page goes past it, so that no row is joined on a null.
+    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+    probed = parts.select("page_id", "host", "path", F.explode(keys).alias("key")).where(possible(F.xxhash64(F.col("key"))))
     side = listed.select("key", "verdict")
-    joined = hits.join(F.broadcast(side) if n_rules <= BROADCAST_RULES else side, "key", "left")
-    best = joined.groupBy("page_id", "host", "path").agg(
-        F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.char_length("key").alias("n"), "key", "verdict"))).alias("r"),
-        F.count_if(F.col("at") == 0).cast("int").alias("copies"),
-    )
+    fits = F.struct(F.char_length("key").alias("n"), "key", "verdict")
+    found = probed.join(F.broadcast(side) if n_rules <= BROADCAST_RULES else side, "key").select("page_id", "host", "path", F.lit(0).alias("head"), fits.alias("r"))
+    heads = parts.select("page_id", "host", "path", F.lit(1).alias("head"), F.lit(None).cast(found.schema["r"].dataType).alias("r"))
+    best = heads.unionByName(found).groupBy("page_id", "host", "path").agg(F.max("r").alias("r"), F.sum("head").cast("int").alias("copies"))
     return best.select(
         "page_id",
         "host",

@@ -61,6 +61,34 @@ def test_heavier_documents_come_first(spark):
     assert even > 1.5 * sum(r["taken"] for r in part if r["doc_id"] % 2)
 
 
+def test_measured_weights(spark):
+    """Cells weigh the share of good documents among their labelled ones; documents of good cells come first."""
+    good, bad = "This is prose of some length. " * 4, "x9 #1 %% $$ 7 " * 9
+    rows = [(i, s, good if i % 2 else bad) for i in range(1200) for s in ("a", "b")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400)] + [(None, 1), (99999, 0), (7, None)], "doc_id long, quality int")
+    cells = spark.createDataFrame(rows, "doc_id long, source string, text string").select("doc_id", mixing.quality_cell(F.col("text"), F.size(F.split("text", " ")).cast("long")).alias("cell"))
+    w = sorted(r.w for r in mixing.measured_weights(cells, labels).collect())
+    assert w == [0.05, 401 / 402]
+    part = [r for r in mixed(spark, rows, labels=labels) if r["source"] == "b"]
+    taken = [sum(r["taken"] for r in part if r["doc_id"] % 2 == k) for k in (0, 1)]
+    assert taken[1] == 600 * 24 and taken[0] < 0.5 * 600 * 45  # all good ones, then some of the others
+    assert mixed(spark, rows, labels=labels.limit(0))
+
+
+def test_shuffled_sources_and_long_texts(spark, monkeypatch):
+    rows = [(i, f"s{i % 5}", "word " * (i % 7)) for i in range(200)] + [(900, "s1", "long " * 200_000)]
+    want = sorted(map(str, mixed(spark, rows)))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixed(spark, rows))) == want
+    extra = spark.createDataFrame([(*r, 1, 2.0, 3, 4) for r in rows], "doc_id long, source string, text string, bucket int, v double, cell int, label_id int")
+    assert mix_sources(extra).count() == len(rows)
+
+
+def test_weights_of_nothing_and_more(spark):
+    got = mixed(spark, [(i, "a", "one two") for i in range(50)] + [(i, "b", "x") for i in range(50, 60)], weight=F.lit(0.0))
+    assert len(got) == 60 and len(mixed(spark, [(1, "a", "b")], weight=F.lit(7.0))) == 1
+
+
 def test_empty(spark):
     assert mixed(spark, []) == []
     assert [r["taken"] for r in mixed(spark, [(1, "a", None)])] == [0]

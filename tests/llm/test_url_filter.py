@@ -37,6 +37,15 @@ def test_repeated_rows_and_no_rules(spark):
     assert filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_shuffled_rules_and_long_urls(spark, monkeypatch):
+    from quire.llm import url_filter
+
+    urls = [f"http://h{i}.{'example.com' if i % 3 else 'org'}/en/{i}" for i in range(300)] + ["http://a.com/" + "x" * 200_000, "http://" + "a." * 300 + "com/en/", None]
+    want = judge(spark, urls)
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
+    assert judge(spark, urls) == want and want[301][3] == "block" and want[300][3] == "allow"
+
+
 def test_bloom_has_no_false_negative(spark):
     keys = spark.range(20_000).select(F.xxhash64("id").alias("h"))
     words = bloom.build(keys, 20_000)
