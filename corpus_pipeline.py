@@ -49,7 +49,7 @@ def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     found = jaccard.jaccard_components(docs, k=SHINGLE, percent=PERCENT)
     others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +58,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ident, digest = unused(docs.columns, "id", "hash")
     bad = found.where("contaminated").select(F.col("doc_id").alias(ident), F.col("text_hash").alias(digest)).distinct()
     same = F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64("text") == F.col(digest))
-    return docs.join(bad.hint("shuffle_hash"), same, "left_anti").select(docs.columns)
+    return docs.join(bad, same, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mixture of sources takes, one row for every row; a null source is a source."""
-    return mixing.mix_sources(docs)
+    """How many words of each document the mixture of sources takes, one row for every row.
+
+    Documents weigh by the share of good ones among labelled documents like them. A null source is a source; rows of a null id are keyed by their
+    text; equal keys are ordered by id, then size; repeated rows count one by one.
+    """
+    return mixing.mix_sources(docs, labels=table(spark, sf_dir, "labels"))
 
 
 STAGES = [
