@@ -9,6 +9,7 @@ from quire.functions import html as H
 from quire.functions import patterns as P
 from quire.functions import text as X
 from quire.functions import url as U
+from quire.functions.arrays import bind, sums_before
 from quire.operators import documents as D
 
 TITLE_ID = "metadata-title"
@@ -69,27 +70,32 @@ def image_issues(chapters: DataFrame, files: DataFrame) -> DataFrame:
 def side_blocks(html: Column, chapter_id: Column, first: Column, list_items: bool = False) -> Column:
     """Struct (html, n): blocks of an older chapter, numbered from ``first`` + 1; what stands inside a block is none.
 
-    With ``list_items`` only these are blocks. A quotation counts if it is an epigraph.
+    With ``list_items`` only these are blocks. A quotation counts if it is an epigraph. Every tag is told by a letter, a
+    small one where it opens; in the string of these letters a block is a small letter and all up to its capital.
     """
     tags = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(P.SIDE_TAG), k).alias(n) for k, n in enumerate(("all", "close", "tag", "attributes"))])
-    start = F.struct(F.lit("").alias("inside"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    letters = F.create_map(*[F.lit(x) for x in ("p", "p", "li", "l", "blockquote", "q")])
 
-    def step(acc: Column, t: Column) -> Column:
+    def letter(t: Column) -> Column:
         name = X.lower_ascii(t["tag"])
         counts = (F.lit(not list_items) | (name == "li")) & ((name != "blockquote") | t["attributes"].rlike(P.SIDE_QUOTE))
-        opens = (t["close"] == "") & (acc["inside"] == "") & counts
-        ends = (t["close"] == "/") & (acc["inside"] == name)
-        number = F.lpad((first + acc["n"] + 1).cast("string"), 4, "0")
-        marked = F.concat(F.lit("<"), t["tag"], t["attributes"], F.lit(' data-block-id="'), chapter_id, F.lit("-b"), number, F.lit('">'))
-        return F.struct(
-            F.when(opens, name).when(ends, "").otherwise(acc["inside"]).alias("inside"), F.when(opens, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            F.array_append(acc["out"], F.when(opens, marked).otherwise(t["all"])).alias("out"),
-        )
-
-    folded = F.aggregate(tags, start, step)
+        return F.when(t["close"] == "/", F.upper(F.element_at(letters, name))).when(counts, F.element_at(letters, name)).otherwise(".")
+
+    def marked(ts: Column) -> Column:
+        blocks = F.regexp_extract_all(F.array_join(F.transform(ts, letter), ""), F.lit("p[^P]*P?|l[^L]*L?|q[^Q]*Q?|."), 0)
+        return bind(blocks, lambda bs: F.struct(numbered(ts, bs).alias("out"), F.size(F.filter(bs, lambda b: b.rlike("^[plq]"))).alias("n")))
+
+    def numbered(ts: Column, blocks: Column) -> Column:
+        opens = F.transform(blocks, lambda b: b.rlike("^[plq]").cast("int"))
+        none = F.lit(None).cast("int")
+        places = F.flatten(F.zip_with(blocks, bind(opens, sums_before), lambda b, k: F.concat(F.array(F.when(b.rlike("^[plq]"), k + 1)), F.array_repeat(none, F.char_length(b) - 1))))
+        return F.zip_with(ts, places, lambda t, k: F.when(k.isNull(), t["all"]).otherwise(
+            F.concat(F.lit("<"), t["tag"], t["attributes"], F.lit(' data-block-id="'), chapter_id, F.lit("-b"), F.format_string("%04d", first + k), F.lit('">'))
+        ))
+
     parts = F.split(html, P.SIDE_TAG, -1)
-    text = F.array_join(F.zip_with(parts, folded["out"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.struct(text.alias("html"), folded["n"].alias("n"))
+    whole = lambda m: F.struct(F.array_join(F.zip_with(parts, m["out"], lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "").alias("html"), m["n"].alias("n"))
+    return bind(bind(tags, marked), whole)
 
 
 def side_sources(files: DataFrame, marker: str = "window.EN_TEXT") -> DataFrame:

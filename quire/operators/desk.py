@@ -166,8 +166,9 @@ def merged_place(events: DataFrame, group: str, seq: str = "seq", at: str = "cre
     return anchored.withColumn("place", F.row_number().over(order)).drop("_a")
 
 
-def issues_by_path(issues: DataFrame, group: str, path: str = "path") -> DataFrame:
-    return issues.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(path, "problem")))
+def issues_by_path(issues: DataFrame, group: str, path: str = "path", ident: str = "id") -> DataFrame:
+    """``issues`` with their ``place`` in each group: by path, then problem, then id."""
+    return issues.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(path, "problem", ident)))
 
 
 def event_clock(ms: Column) -> Column:

@@ -193,10 +193,12 @@ def package_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.entry_of(files).join(B.cover_of(files), "book_id", "left")
 
 
-@query(f"""WITH {_FILES}, d AS (SELECT DISTINCT book_id, path, regexp_extract(path, '[0-9]+') AS n FROM f WHERE path LIKE 'chapters/%'), r AS (SELECT book_id, path, row_number() OVER (PARTITION BY book_id ORDER BY n::INT)::INT AS ord FROM d)
+@query(f"""WITH {_FILES}, d AS (SELECT DISTINCT book_id, path, path LIKE 'chapters/%' AS inside, TRY_CAST(regexp_extract(path, '[0-9]+') AS INT) AS n FROM f WHERE path LIKE '%.htm%'),
+e AS (SELECT *, bool_or(inside) OVER w AS some_in, count(*) OVER w AS k, first_value(path) OVER (PARTITION BY book_id ORDER BY path <> 'sub/index.html', NOT inside, n) AS entry FROM d WINDOW w AS (PARTITION BY book_id)),
+r AS (SELECT book_id, path, row_number() OVER (PARTITION BY book_id ORDER BY n NULLS FIRST)::INT AS ord FROM e WHERE CASE WHEN some_in THEN inside ELSE path <> entry OR k = 1 END)
 SELECT book_id, path, ord, printf('chapter-%04d', ord) AS chapter_id FROM r""")
 def package_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.chapters_of(_files(spark, sf_dir)).where("path LIKE 'chapters/%'")
+    return B.chapters_of(_files(spark, sf_dir))
 
 
 @query("""SELECT p_partkey, ['jpeg', 'png', 'gif', 'webp', NULL][(p_partkey % 5 + 1)::INT] AS format, CASE WHEN p_partkey % 5 = 1 THEN 256 + p_size END AS width, CASE WHEN p_partkey % 5 = 1 THEN 7 END AS height,
@@ -250,10 +252,9 @@ def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return lines, lines.groupBy("doc", "page").agg(ids.alias("ids"))
 
 
-@query(f"{_LAYOUT} SELECT doc, CASE doc % 6 WHEN 0 THEN 'unknown-line' WHEN 1 THEN 'line-twice' WHEN 2 THEN CASE WHEN lines[len(lines)] > 1 THEN 'missing-line' END WHEN 3 THEN 'crop' WHEN 4 THEN CASE WHEN lines[1] > 1 THEN 'omitted-line' END END AS error FROM p WHERE len(lines) > 1")
+@query(f"{_LAYOUT} SELECT doc, CASE doc % 6 WHEN 0 THEN 'unknown-line' WHEN 1 THEN 'line-twice' WHEN 2 THEN CASE WHEN lines[len(lines)] > 1 THEN 'missing-line' END WHEN 3 THEN 'crop' WHEN 4 THEN CASE WHEN lines[1] > 1 THEN 'omitted-line' END END AS error FROM p")
 def layout_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, pages = _layout(spark, sf_dir)
-    pages = pages.where("size(ids) > 1")
     k = F.col("doc") % 6
     used = (
         F.when(k == 0, F.array_append("ids", F.lit("l99"))).when(k == 1, F.array_append("ids", F.get("ids", F.lit(0)))).when(k == 2, F.slice("ids", 1, F.size("ids") - 1))

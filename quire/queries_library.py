@@ -174,7 +174,7 @@ def _side_sql(name: str, source: str, first: str, items: bool) -> str:
   regexp_extract_all(x, {sql_literal(P.SIDE_TAG)}, 2) AS tags, regexp_extract_all(x, {sql_literal(P.SIDE_TAG)}, 3) AS attrs FROM {source}),
 {name}_r AS (SELECT page_id, 1 AS i, '' AS inside, 0 AS n, parts[1] AS out FROM {name}_t UNION ALL
   SELECT page_id, i + 1, CASE WHEN {opens} THEN lower(tags[i]) WHEN closes[i] = '/' AND inside = lower(tags[i]) THEN '' ELSE inside END, n + {opens}::INT,
-  out || CASE WHEN {opens} THEN '<' || tags[i] || attrs[i] || ' data-block-id="c' || page_id || '-b' || lpad((base + n + 1)::VARCHAR, 4, '0') || '">' ELSE alls[i] END || parts[i + 1] FROM {name}_r JOIN {name}_t USING (page_id) WHERE i <= len(tags)),
+  out || CASE WHEN {opens} THEN '<' || tags[i] || attrs[i] || ' data-block-id="c' || page_id || '-b' || printf('%04d', base + n + 1) || '">' ELSE alls[i] END || parts[i + 1] FROM {name}_r JOIN {name}_t USING (page_id) WHERE i <= len(tags)),
 {name} AS (SELECT page_id, arg_max(n, i) AS n, arg_max(out, i) AS out FROM {name}_r GROUP BY page_id)"""
 
 
@@ -398,14 +398,10 @@ def merged_event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.merged_place(rows, "user_id").select("id", "place")
 
 
-@query(f"SELECT page_id, row_number() OVER (PARTITION BY {_HOST} ORDER BY url, page_id % 3, page_id)::INT AS place FROM pages WHERE url IS NOT NULL QUALIFY count(*) OVER (PARTITION BY url, page_id % 3) = 1")
+@query(f"SELECT page_id, row_number() OVER (PARTITION BY {_HOST} ORDER BY url, page_id % 3, page_id)::INT AS place FROM pages WHERE url IS NOT NULL")
 def issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "pages").select("page_id", book_of(F.col("url")).alias("book"), F.col("url").alias("path"), (F.col("page_id") % 3).alias("problem"))
-    once = rows.where("path IS NOT NULL").withColumn("n", F.count("*").over(Window.partitionBy("path", "problem")))
-    out = K.issues_by_path(once, "book")
-    return out.where("n = 1").select("page_id", F.row_number().over(Window.partitionBy("book").orderBy("place")).alias("place"))
+    rows = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", book_of(F.col("url")).alias("book"), F.col("url").alias("path"), (F.col("page_id") % 3).alias("problem"))
+    return K.issues_by_path(rows, "book", ident="page_id").select("page_id", "place")
 
 
 @query("SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, epoch(date_trunc('second', ts))::BIGINT AS started, NULL::BIGINT AS other FROM events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Limits of a source directory and of one file.
 MOST_FILES, MOST_BYTES, MOST_FILE = 20_000, 2 << 30, 64 << 20
@@ -44,6 +44,23 @@ def task_events(spark: SparkSession, schema: StructType, lines: str, legacy: str
     return number_events(rows.withColumn("_at", F.monotonically_increasing_id()), "_part", "_at").drop("_part", "_at")
 
 
+def event_logs(spark: SparkSession, schema: StructType, lines: str, legacy: str | None = None) -> DataFrame:
+    """The logs of many tasks, a folder ``task=<id>`` each below ``lines`` (JSON lines) and ``legacy`` (an older JSON array): arrays first, numbered on by task.
+
+    ``schema`` is that of an event, with ``seq``; rows count in order of their file's name and their place in it.
+    """
+    whole = StructType([*schema.fields, StructField("task", StringType())])
+
+    def read(part: int, path: str, **options: str) -> DataFrame:
+        rows = spark.read.schema(whole).options(mode="FAILFAST", **options).json(path)
+        return rows.withColumn("_part", F.lit(part)).withColumn("_where", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")))
+
+    rows = read(1, lines)
+    if legacy:
+        rows = read(0, legacy, multiLine="true").unionByName(rows)
+    return number_events(rows, "_part", "_where", task="task").drop("_part", "_where")
+
+
 def number_events(rows: DataFrame, part: str, at: str, seq: str = "seq", task: str | None = None) -> DataFrame:
     """Sequence 0 becomes the last known sequence plus the events since."""
     keys = [task] if task else [F.lit(0)]
