@@ -216,17 +216,18 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(errors, "p_partkey").select("p_partkey", "format", "s.width", "s.height", "content_type", "safe", "error", "css")
 
 
-@query("SELECT o_orderkey AS id, ['title', 'no-chapters', 'unknown-chapter', 'preserve-needs-translate', 'pdf-translate', NULL][(o_orderkey % 6 + 1)::INT] AS error FROM orders")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_custkey % 300 = 0 OR o_custkey % 300 > 240 THEN 'title' WHEN o_orderstatus = 'P' THEN 'no-chapters' WHEN o_orderstatus = 'F' AND left(o_orderpriority, 1) NOT IN ('1', '2') THEN 'unknown-chapter'
+WHEN o_totalprice > 300000 AND NOT contains(o_orderpriority, 'H') THEN 'preserve-needs-translate' WHEN o_custkey % 4 = 0 AND contains(o_orderpriority, 'H') THEN 'pdf-translate' END AS error FROM orders""")
 def build_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey") % 6
-    token = _say("t", F.col("o_custkey"))
-    sources = F.when(k == 1, F.array().cast("array<string>")).when(k == 2, F.array(F.lit("a"), F.lit("z"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    custom, status, priority = F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    token = _say("t", custom)
+    sources = F.when(status == "P", F.array().cast("array<string>")).when(status == "F", F.array(F.lit("a"), F.left(priority, F.lit(1)))).otherwise(F.array(F.lit("a"), F.lit("b")))
     orders = table(spark, sf_dir, "orders")
     requests = orders.select(
-        F.col("o_orderkey").alias("id"), token.alias("token"), F.when(k == 0, F.repeat(F.lit("x"), F.lit(241))).otherwise("T").alias("title"), sources.alias("sources"),
-        (k == 3).alias("preserve"), (k == 4).alias("translate"), F.when(k == 4, "pdf").otherwise("web").alias("kind"),
+        F.col("o_orderkey").alias("id"), token.alias("token"), F.repeat(F.lit("x"), (custom % 300).cast("int")).alias("title"), sources.alias("sources"),
+        (F.col("o_totalprice") > 300000).alias("preserve"), F.contains(priority, F.lit("H")).alias("translate"), F.when(custom % 4 == 0, "pdf").otherwise("web").alias("kind"),
     )
-    return B.request_error(requests, orders.select(token.alias("token"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("source")).distinct())
+    return B.request_error(requests, orders.select(token.alias("token"), F.explode(F.array(*map(F.lit, "ab12"))).alias("source")).distinct())
 
 
 @query("""WITH s AS (SELECT o_custkey AS book, sum((o_orderstatus = 'F')::INT)::BIGINT AS a, sum((o_orderstatus = 'P')::INT)::BIGINT AS b FROM orders GROUP BY 1)
@@ -281,11 +282,13 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.page_html(lines, blocks).select("doc", "html")
 
 
-@query("""SELECT o_orderkey AS block_id, CASE WHEN o_orderstatus = 'F' THEN 'neu &lt;<code>x</code>&gt; <b>1</b>' ELSE 'old <code>x</code> &amp; <b>1</b>' END AS html FROM orders""")
+@query("""WITH t AS (SELECT *, '<code>' || o_orderpriority || '</code>' AS f0, '<b>' || o_custkey || '</b>' AS f1 FROM orders)
+SELECT o_orderkey AS block_id, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || ' &lt;' || f1 || '&gt; &quot;' || f0 || '&quot;' ELSE 'old ' || f0 || ' &amp; ' || o_orderdate::DATE || ' ' || f1 END AS html FROM t""")
 def translated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    blocks = orders.select(F.col("o_orderkey").alias("block_id"), F.lit("old {{GR0}} & {{GR1}}").alias("text"), F.array(F.lit("<code>x</code>"), F.lit("<b>1</b>")).alias("fragments"))
-    return Y.apply_translations(blocks, orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("block_id"), F.lit("neu <{{GR0}}> {{GR1}}").alias("translated")))
+    fragments = F.array(_say("<code>", F.col("o_orderpriority"), "</code>"), _say("<b>", F.col("o_custkey"), "</b>"))
+    blocks = orders.select(F.col("o_orderkey").alias("block_id"), _say("old {{GR0}} & ", F.col("o_orderdate").cast("date"), " {{GR1}}").alias("text"), fragments.alias("fragments"))
+    return Y.apply_translations(blocks, orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("block_id"), _say(F.col("o_orderpriority"), ' <{{GR1}}> "{{GR0}}"').alias("translated")))
 
 
 @query("""WITH k AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE role = 'assistant'), m AS (SELECT row_number() OVER () AS i, conv_id * 1000 + turn AS id, conv_id, turn FROM conversations)
@@ -298,22 +301,26 @@ def message_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.citations(messages, blocks).select("id", "pos", "chapter_id", "block_id")
 
 
-@query("""SELECT page_id, CASE page_id % 3 WHEN 2 THEN NULL ELSE 'A & ' || page_id END AS author, page_id % 4 < 2 AS link_ok, 'a &lt;b&gt; &#39;c&#39;' AS escaped, 'dir ' || page_id || '.tar' AS stem FROM pages""")
+_ESCAPED = "replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query(f"""SELECT page_id, CASE page_id % 3 WHEN 2 THEN NULL ELSE 'A & ' || length(html) END AS author, regexp_extract(lower(substr(url, page_id % 2 + 1)), '^([a-z][a-z0-9+.-]*):', 1) IN ('http', 'https', 'mailto') AS link_ok,
+{_ESCAPED} AS escaped, 'dir ' || length(html) || '.tar' AS stem FROM pages""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("page_id")
-    meta = F.when(k % 3 == 0, _say('<meta name="author" x=1 content=" A &amp; ', k, ' ">')).when(k % 3 == 1, _say("<META content='A &amp; ", k, "' property='author'>")).otherwise('<meta name="authors" content="x">')
-    link = _pick(k, "https://a.example/x", "mailto:a@b.example", "javascript:alert(1)", "ftp://a.example")
-    rows = table(spark, sf_dir, "pages").select("page_id", F.concat("html", meta).alias("html"), link.alias("link"))
+    k, n = F.col("page_id"), F.char_length("html")
+    meta = F.when(k % 3 == 0, _say('<meta name="author" x=1 content=" A &amp; ', n, ' ">')).when(k % 3 == 1, _say("<META content='A &amp; ", n, "' property='author'>")).otherwise('<meta name="authors" content="x">')
+    rows = table(spark, sf_dir, "pages").select("page_id", n.alias("n"), F.left("html", F.lit(300)).alias("start"), F.concat("html", meta).alias("html"), F.substr("url", (k % 2 + 1).cast("int")).alias("link"))
     return rows.select(
-        "page_id", H.meta_content(F.col("html"), "author").alias("author"), U.opens_externally(F.col("link")).alias("link_ok"), X.escape_html(F.lit("a <b> 'c'")).alias("escaped"),
-        X.file_stem_title(_say("x/dir_", k, ".tar.html"), k).alias("stem"),
+        "page_id", H.meta_content(F.col("html"), "author").alias("author"), U.opens_externally(F.col("link")).alias("link_ok"), X.escape_html(F.col("start")).alias("escaped"),
+        X.file_stem_title(_say("x/dir_", F.col("n"), ".tar.html"), k).alias("stem"),
     )
 
 
-@query("""SELECT p_partkey, [12, 14, 23, NULL, NULL][(p_partkey % 5 + 1)::INT] AS number, p_partkey % 5 <> 4 AS complete, CASE WHEN p_partkey % 5 < 2 THEN 2 END AS first, CASE WHEN p_partkey % 5 < 2 THEN 2 + p_size % 9 END AS last FROM part""")
+@query(r"""SELECT p_partkey, p_size AS number, (contains(p_brand, '1') = (p_size % 3 = 0)) AS complete, CASE WHEN p_partkey % 7 BETWEEN 1 AND p_size AND p_size <= 40 THEN p_partkey % 7 END AS first,
+CASE WHEN p_partkey % 7 BETWEEN 1 AND p_size AND p_size <= 40 THEN p_size END AS last FROM part""")
 def heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    heading = _pick(k, "Chapter 12: (a) [b]", "CHAPTER xiv", "第 二十三 章 （x）", "Chapters 3", "【chapter (5")
-    source = _pick(k, _say("pages:2-", 2 + F.col("p_size") % 9), _say("pages:2-", 2 + F.col("p_size") % 9), "pages:3-2", "pages:0-4", "pages:1-99")
-    rows = table(spark, sf_dir, "part").select("p_partkey", heading.alias("h"), N.page_range(source, F.lit(40)).alias("r"))
-    return rows.select("p_partkey", N.chapter_ordinal(F.col("h")).alias("number"), N.complete_heading(F.col("h")).alias("complete"), "r.first", "r.last")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    tail = F.concat(F.col("p_name"), F.when(F.contains("p_brand", F.lit("1")), " (").otherwise(""), F.when(size % 3 == 0, ")").otherwise(""))
+    heading = F.when((F.col("p_type") == "SMALL") & (size < 10), _say("第", F.get(F.split(F.lit("零一二三四五六七八九"), ""), size.cast("int")), "章 ", tail)).otherwise(_say("Chapter ", size, ": ", tail))
+    rows = table(spark, sf_dir, "part").select("p_partkey", heading.alias("h"), N.page_range(_say("pages:", k % 7, "-", size), F.lit(40)).alias("r"))
+    return rows.select("p_partkey", N.chapter_ordinal(F.col("h")).alias("number"), N.complete_heading(F.col("h")).alias("complete"), "r.first", "r.last")
\ No newline at end of file

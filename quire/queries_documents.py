@@ -375,14 +375,24 @@ def split_pages_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "extra", F.col("page").cast("long").alias("page"), F.char_length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_ROMANS = ["I", "iv", "IX", "XL", "MCMXC", "IIX", "ABC", "xii"]
-_CJK = ["一", "十", "十二", "二十", "一百", "一百零五", "三百二十一", "42"]
+_TENS, _ONES = ["", "X", "XX", "XXX", "XL", "L"], ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
+_DIGITS = ["", *"一二三四五六七八九"]
 
 
-@query(f"""SELECT part.p_partkey, r.roman, c.chinese FROM part
-JOIN (VALUES {', '.join(f"({i}, {v})" for i, v in enumerate([1, 4, 9, 40, 1990, 8, 'NULL', 12]))}) r(i, roman) ON p_partkey % 8 = r.i
-JOIN (VALUES {', '.join(f"({i}, {v})" for i, v in enumerate([1, 10, 12, 20, 100, 'NULL', 321, 42]))}) c(i, chinese) ON p_partkey % 8 = c.i""")
+@query(f"""WITH t AS (SELECT p_partkey, p_size, p_partkey % 999 + 1 AS n, CASE WHEN p_partkey % 7 = 0 THEN upper(string_split(p_name, ' ')[1]) ELSE {_TENS}[p_size // 10 + 1] || {_ONES}[p_size % 10 + 1] END AS w FROM part),
+r AS (SELECT *, CASE WHEN p_partkey % 4 = 1 THEN reverse(w) ELSE w END AS r FROM t),
+v AS (SELECT *, CASE WHEN regexp_matches(r, '^[IVXLCDM]+$') THEN list_reduce(list_transform(list_reverse(string_split(r, '')), lambda c: {{'t': map(['I', 'V', 'X', 'L', 'C', 'D', 'M'], [1, 5, 10, 50, 100, 500, 1000])[c], 'l': map(['I', 'V', 'X', 'L', 'C', 'D', 'M'], [1, 5, 10, 50, 100, 500, 1000])[c]}}),
+  lambda a, x: {{'t': CASE WHEN a.t < 0 THEN -1000000 WHEN x.t < a.l THEN a.t - x.t ELSE a.t + x.t END, 'l': greatest(a.l, x.t)}}).t END AS value FROM r)
+SELECT p_partkey, CASE WHEN value > 0 THEN value END AS roman, CASE WHEN n >= 100 AND n // 10 % 10 = 0 AND n % 10 > 0 AND p_size % 2 = 0 AND p_size % 9 > 0 THEN NULL ELSE n END AS chinese FROM v""")
 def roman_and_cjk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % 8).cast("int"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", pick(_ROMANS).alias("r"), pick(_CJK).alias("c"))
-    return rows.select("p_partkey", N.roman(F.col("r")).alias("roman"), N.chinese(F.col("c")).alias("chinese"))
+    pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), F.floor(i).cast("int"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    word = F.when(k % 7 == 0, F.upper(F.get(F.split("p_name", " "), F.lit(0)))).otherwise(F.concat(pick(_TENS, size / 10), pick(_ONES, size % 10)))
+    n = k % 999 + 1
+    hundreds, tens, ones = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
+    said = F.concat(
+        F.when(hundreds > 0, F.concat(pick(_DIGITS, hundreds), F.lit("百"))).otherwise(""), F.when((hundreds > 0) & (tens == 0) & (ones > 0) & (size % 2 == 0), "零").otherwise(""),
+        F.when(tens > 0, F.concat(F.when((hundreds == 0) & (tens == 1), "").otherwise(pick(_DIGITS, tens)), F.lit("十"))).otherwise(""), pick(_DIGITS, ones),
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 4 == 1, F.reverse(word)).otherwise(word).alias("r"), F.when(size % 9 == 0, n.cast("string")).otherwise(said).alias("c"))
+    return rows.select("p_partkey", N.roman(F.col("r")).alias("roman"), N.chinese(F.col("c")).cast("long").alias("chinese"))

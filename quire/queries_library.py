@@ -404,20 +404,23 @@ def issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.issues_by_path(rows, "book", ident="page_id").select("page_id", "place")
 
 
-@query("SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, epoch(date_trunc('second', ts))::BIGINT AS started, NULL::BIGINT AS other FROM events")
+@query("SELECT event_id, strftime(ts, '%H:%M:%S') AS clock, epoch(date_trunc('second', ts))::BIGINT AS started, CASE WHEN event_type <> 'error' THEN epoch(date_trunc('second', ts))::BIGINT END AS other FROM events")
 def clock_and_process_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
-    rows = table(spark, sf_dir, "events").select("event_id", ts.alias("ts"), F.date_format(ts, "EEE MMM d HH:mm:ss yyyy").alias("said"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", ts.alias("ts"), F.date_format(ts, "EEE MMM d HH:mm:ss yyyy").alias("said"))
     padded = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("  "), F.regexp_replace("said", r" ([0-9]) ", "  $1 "))).otherwise(F.col("said"))
-    return rows.select("event_id", K.event_clock(F.unix_millis("ts")).alias("clock"), F.unix_seconds(K.process_start(padded)).alias("started"), F.unix_seconds(K.process_start(F.lit("not a time"))).alias("other"))
+    dayless = F.when(F.col("event_type") == "error", F.regexp_replace("said", "^[A-Za-z]+ ", "")).otherwise(F.col("said"))
+    return rows.select("event_id", K.event_clock(F.unix_millis("ts")).alias("clock"), F.unix_seconds(K.process_start(padded)).alias("started"), F.unix_seconds(K.process_start(dayless)).alias("other"))
 
 
-@query("""WITH n AS (SELECT p_partkey, p_partkey * 1002 + 1 AS n FROM part) SELECT p_partkey, CASE WHEN n >= 10000 THEN printf('%.1f', n / 10000) || '万' ELSE format('{:,}', n) END AS shown,
-CASE p_partkey % 3 WHEN 0 THEN 'a b ' || p_partkey WHEN 1 THEN '第 ' || p_partkey || ' 章' ELSE 'x.y' END AS title FROM n""")
+@query("""WITH n AS (SELECT p_partkey, p_size, p_partkey * p_size * 2 + 1 AS n, CASE WHEN p_size % 10 = 0 THEN '-_-' ELSE replace(p_name, ' ', CASE WHEN p_size % 2 = 0 THEN '_' ELSE '--' END) || '.' || p_type END AS stem FROM part)
+SELECT p_partkey, CASE WHEN n >= 10000 THEN printf('%.1f', n / 10000) || '万' ELSE format('{:,}', n) END AS shown,
+CASE WHEN trim(translate(stem, '-_', '  ')) = '' THEN '第 ' || p_partkey || ' 章' ELSE trim(regexp_replace(translate(stem, '-_', '  '), ' +', ' ', 'g')) END AS title FROM n""")
 def counts_and_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey")
-    name = F.when(k % 3 == 0, F.concat(F.lit("text/a-_b_"), k.cast("string"), F.lit(".html"))).when(k % 3 == 1, "text/-_-.html").otherwise("x.y.htm")
-    return table(spark, sf_dir, "part").select("p_partkey", K.compact_count(k * 1002 + 1).alias("shown"), X.file_stem_title(name, k).alias("title"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.when(size % 2 == 0, "_").otherwise("--")), F.lit("."), "p_type")
+    path = F.concat(F.lit("text/"), F.when(size % 10 == 0, "-_-").otherwise(name), F.lit(".html"))
+    return table(spark, sf_dir, "part").select("p_partkey", K.compact_count(k * size * 2 + 1).alias("shown"), X.file_stem_title(path, k).alias("title"))
 
 
 @query("""WITH s AS (SELECT user_id, event_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'translation.batch.' || event_id WHEN 'click' THEN 'pdf.page.' || event_id WHEN 'error' THEN NULL ELSE event_type END AS scope FROM events),
@@ -462,11 +465,14 @@ def message_history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("book_id", _md5("lines").alias("digest"), F.size(F.split("lines", "\n")).cast("long").alias("n"))
 
 
-@query("SELECT p_partkey, p_partkey % 5 IN (0, 3) AS ok FROM part")
+@query(r"""WITH p AS (SELECT p_partkey, CASE WHEN p_type = 'SMALL' THEN '/other/' WHEN p_size % 7 = 0 THEN '/shelf/../' ELSE '/shelf/' END || CASE WHEN p_size % 5 = 0 THEN '..' ELSE replace(p_name, ' ', CASE WHEN p_size % 2 = 0 THEN '/' ELSE '_' END) END
+  || CASE WHEN contains(p_brand, '1') THEN '/' ELSE '' END AS path FROM part), c AS (SELECT p_partkey, regexp_replace(path, '/+$', '') AS path FROM p)
+SELECT p_partkey, regexp_extract(path, '^(.*)/[^/]+$', 1) = '/shelf' AND regexp_extract(path, '([^/]*)$', 1) NOT IN ('', '.', '..') AS ok FROM c""")
 def deletable_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey").cast("string")
-    shapes = [F.concat(F.lit("/shelf/b"), k), F.concat(F.lit("/shelf/a/b"), k), F.concat(F.lit("/other/b"), k), F.concat(F.lit("/shelf/b"), k, F.lit("/")), F.lit("/shelf/..")]
-    return table(spark, sf_dir, "part").select("p_partkey", K.deletable(F.lit("/shelf/"), F.get(F.array(*shapes), (F.col("p_partkey") % 5).cast("int"))).alias("ok"))
+    size = F.col("p_size")
+    name = F.when(size % 5 == 0, "..").otherwise(F.replace(F.col("p_name"), F.lit(" "), F.when(size % 2 == 0, "/").otherwise("_")))
+    path = F.concat(F.when(F.col("p_type") == "SMALL", "/other/").when(size % 7 == 0, "/shelf/../").otherwise("/shelf/"), name, F.when(F.contains("p_brand", F.lit("1")), "/").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", K.deletable(F.lit("/shelf/"), path).alias("ok"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'T' || doc_id ELSE md5(text) END AS text FROM documents")
