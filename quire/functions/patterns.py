@@ -87,3 +87,13 @@ IMAGE_TYPES = ["jpg", "jpeg", "png", "gif", "webp", "avif"]
 LOCAL_IMAGES, INVALID_ATTEMPTS, ATTEMPTS = 500, 3, 6
 MISSING_IMAGE = '<span class="missing-image">[图片资源不可用]</span>'
 BATCH_SCOPES = ["translation.batch.", "pdf.page."]
+# What the lines of a worker's log are told as, and what is said where none can be told.
+LOG_SAID = {"thread.started": "Codex 会话已建立", "turn.started": "Agent 正在生成结构化译文", "result": "Agent 已返回结果，正在校验", "turn.completed": "Agent 已返回结果，正在校验"}
+LOG_INIT, LOG_NOTHING = "Agent 会话已建立", "Agent 正在处理当前批次，尚未产生可展示文本"
+# Signs of a failing network in a log.
+NETWORK = ["network", "connection", "stream disconnected", "tls handshake", "网络"]
+# Fixed values of packages: ids, languages, file types that may be in one, names of covers by rank.
+UUID = r"(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
+LANGUAGE = r"^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$"
+ALLOWED = ["html", "htm", "css", "json", "jpg", "jpeg", "png", "gif", "webp", "avif", "ico", "woff", "woff2", "ttf", "txt"]
+COVERS = ["cover.jpg", "cover.jpeg", "cover.png", "cover.webp"]

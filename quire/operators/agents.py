@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quire.functions import patterns as P
 from quire.functions import text as X
 
-NETWORK = ["network", "connection", "stream disconnected", "tls handshake", "网络"]
-
 
 def _get(c: str, path: str) -> Column:
     return F.get_json_object(c, path)
@@ -101,16 +101,53 @@ def failure_detail(logs: DataFrame, stderr: str = "stderr", stdout: str = "stdou
     return logs.withColumn("detail", F.right(detail, F.lit(longest)))
 
 
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def summary(c: Column, most: int = 80) -> Column:
-    """The last lines of a log: the text of JSON messages, other lines as they are."""
-    rows = F.filter(F.split(c, "\n"), lambda x: F.trim(x) != "")
-    tail = F.slice(rows, F.greatest(F.size(rows) - most + 1, F.lit(1)), F.lit(most))
-    said = lambda x: F.coalesce(F.get_json_object(x, "$.item.text"), F.get_json_object(x, "$.part.text"), F.get_json_object(x, "$.event.delta.text"), F.get_json_object(x, "$.result"), F.when(F.try_parse_json(x).isNull(), x))
-    return F.array_join(F.filter(F.transform(tail, said), lambda x: x.isNotNull()), "\n")
+    """What the last ``most`` lines of a log say: by the type of each JSON line, other lines as they are; a fixed text if that is nothing."""
+    lines = F.split(F.regexp_replace(c, r"\n\z", ""), r"\r?\n", -1)
+    tail = F.slice(lines, F.greatest(F.size(lines) - most + 1, F.lit(1)), F.lit(most))
+
+    def said(x: Column) -> Column:
+        kind = F.get_json_object(x, "$.type")
+        blocks = F.transform(F.from_json(F.get_json_object(x, "$.message.content"), "array<struct<text string>>"), lambda b: _trimmed(b["text"]))
+        one = (
+            F.when(F.try_parse_json(x).isNull(), _trimmed(x)).when((kind == "system") & (F.get_json_object(x, "$.subtype") == "init"), P.LOG_INIT)
+            .when(kind == "stream_event", _trimmed(F.get_json_object(x, "$.event.delta.text"))).when(kind == "item.completed", _trimmed(F.get_json_object(x, "$.item.text")))
+        )
+        for name, text in P.LOG_SAID.items():
+            one = one.when(kind == name, text)
+        return F.when(F.coalesce(kind == "assistant", F.lit(False)), F.coalesce(blocks, F.array().cast("array<string>"))).otherwise(F.array(one))
+
+    told = F.filter(F.flatten(F.transform(tail, said)), lambda x: x != "")
+    return F.when(F.size(told) > 0, F.array_join(told, "\n")).otherwise(P.LOG_NOTHING)
+
+
+def structured_results(lines: DataFrame, task: str, order: str, schema: str, line: str = "line") -> DataFrame:
+    """``task, session, model, answer, structured``: the first session and model of a log, its last answer, and its result of ``schema``.
+
+    A result line's ``structured_output`` replaces what was known, even if it isn't of the schema; where nothing is known, the last answer so far
+    is read as JSON. So the result is that of the last line with an output, or else the first answer from there on that can be read.
+    """
+    known = first_known(lines, task, order, {"session": "$.session_id", "model": "$.model"}, line)
+    read = lambda c: F.when(F.from_json(c, schema).isNotNull() & (F.size(F.array_compact(F.array(*[F.from_json(c, schema)[n] for n in _names(schema)]))) > 0), F.from_json(c, schema))
+    upto = Window.partitionBy(task).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.where(_get(line, "$.type") == "result").select(task, order, _get(line, "$.result").alias("said"), _get(line, "$.structured_output").alias("given"))
+    rows = rows.withColumn("answer", F.last("said", ignorenulls=True).over(upto)).withColumn("from", F.max(F.when(F.col("given").isNotNull(), F.col(order))).over(Window.partitionBy(task)))
+    value = F.coalesce(F.when(F.col("given").isNotNull(), read(F.col("given"))), read(F.col("answer")))
+    after = F.col("from").isNull() | (F.col(order) >= F.col("from"))
+    found = rows.groupBy(task).agg(F.max_by("answer", order).alias("answer"), F.min_by(value, F.when(after & value.isNotNull(), F.col(order))).alias("structured"))
+    return known.join(found, task, "left").select(task, "session", "model", F.coalesce("answer", F.lit("")).alias("answer"), "structured")
+
+
+def _names(schema: str) -> list[str]:
+    return StructType.fromDDL(schema).names
 
 
 def reports_network_failure(c: Column) -> Column:
-    return X.contains_any(X.lower_ascii(c), NETWORK)
+    return X.contains_any(X.lower_ascii(c), P.NETWORK)
 
 
 def runtimes(builtin: DataFrame, custom: DataFrame) -> DataFrame:

@@ -187,6 +187,11 @@ def compact_count(n: Column) -> Column:
     return F.when(n >= 10_000, F.concat(F.format_string("%.1f", n / 10_000), F.lit("万"))).otherwise(F.format_number(n, 0))
 
 
+def byte_count(n: Column) -> Column:
+    """B, KB or MB, the latter two with one decimal."""
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", n / 1024 / 1024), F.lit(" MB")))
+
+
 def with_live_event(events: DataFrame, logs: DataFrame, group: str = "task_id") -> DataFrame:
     """``task_id, id, seq, detail, scope, created_at``: the event log plus, for every task whose worker runs, one event of sequence 0.
 

@@ -9,11 +9,6 @@ from quire.functions import html as H
 from quire.functions import patterns as P
 from quire.functions import text as X
 
-UUID = r"(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
-LANGUAGE = r"^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$"
-ALLOWED = ["html", "htm", "css", "json", "jpg", "jpeg", "png", "gif", "webp", "avif", "ico", "woff", "woff2", "ttf", "txt"]
-COVERS = ["cover.jpg", "cover.jpeg", "cover.png", "cover.webp"]
-
 
 def _blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
@@ -29,8 +24,8 @@ def manifest_error(manifest: DataFrame, key: str = "id") -> DataFrame:
     c = F.col
     ids = F.transform("chapters", lambda x: x["id"])
     error = F.coalesce(
-        F.when(~F.coalesce(c("schema_version") == 1, F.lit(False)), "schema-version"), F.when(~F.coalesce(c("id").rlike(UUID), F.lit(False)), "id"),
-        F.when(_blank(c("title")), "title"), F.when(_blank(c("author")), "author"), F.when(~F.coalesce(c("language").rlike(LANGUAGE), F.lit(False)), "language"),
+        F.when(~F.coalesce(c("schema_version") == 1, F.lit(False)), "schema-version"), F.when(~F.coalesce(c("id").rlike(P.UUID), F.lit(False)), "id"),
+        F.when(_blank(c("title")), "title"), F.when(_blank(c("author")), "author"), F.when(~F.coalesce(c("language").rlike(P.LANGUAGE), F.lit(False)), "language"),
         F.when(F.coalesce(F.size("chapters"), F.lit(0)) < 1, "no-chapters"), F.when(F.exists(ids, lambda i: ~F.coalesce(i.rlike(P.SAFE_ID), F.lit(False))), "chapter-id"),
         F.when(F.size(F.array_distinct(ids)) < F.size(ids), "chapter-twice"), F.when(F.exists("chapters", lambda x: ~safe_path(x["path"])), "chapter-path"),
         F.when(~safe_path(c("cover")) | ~safe_path(c("entry")), "path"),
@@ -58,7 +53,7 @@ def orphan_parallel(parallel: DataFrame, chapters: DataFrame) -> DataFrame:
 
 def file_errors(files: DataFrame, most: int = 64 << 20) -> DataFrame:
     """``path, error`` of the files of a package."""
-    return files.select("path", F.when(F.col("size") > most, "size").when(~X.extension(F.col("path")).isin(*ALLOWED), "type").alias("error"))
+    return files.select("path", F.when(F.col("size") > most, "size").when(~X.extension(F.col("path")).isin(*P.ALLOWED), "type").alias("error"))
 
 
 def entry_of(files: DataFrame) -> DataFrame:
@@ -84,7 +79,7 @@ def chapters_of(files: DataFrame) -> DataFrame:
 
 def cover_of(files: DataFrame, names: list[str] | None = None) -> DataFrame:
     """The cover of each book: the file whose name comes first in the list."""
-    listed = F.array(*[F.lit(n) for n in names or COVERS])
+    listed = F.array(*[F.lit(n) for n in names or P.COVERS])
     place = F.array_position(listed, F.lower(F.regexp_extract("path", r"([^/]*)$", 1)))
     return files.withColumn("_p", place).where("_p > 0").groupBy("book_id").agg(F.min_by("path", F.struct("_p", "path")).alias("cover"))
 

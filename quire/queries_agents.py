@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import html as H
 from quire.functions import numbers as N
+from quire.functions import patterns as P
 from quire.functions import text as X
 from quire.functions import url as U
 from quire.operators import agents as A
@@ -117,7 +118,7 @@ def shown_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'broken pipe ' || event_id WHEN 1 THEN 'e' || event_id WHEN 2 THEN 'r' || event_id WHEN 3 THEN 'last words' ELSE '' END AS detail,
-CASE event_id % 5 WHEN 1 THEN '' WHEN 2 THEN 'r' || event_id WHEN 3 THEN 'first' || chr(10) || 'last words' ELSE '' END AS summary, event_id % 5 = 0 AND event_id % 2 = 0 AS network FROM events""")
+CASE event_id % 5 WHEN 3 THEN 'first' || chr(10) || 'last words' ELSE '""" + P.LOG_NOTHING + """' END AS summary, event_id % 5 = 0 AND event_id % 2 = 0 AS network FROM events""")
 def failure_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _pick(_e(), "", _say('{"error":"x"}\n{"error":"e', _e(), '"}\n\n'), _say('{"result":"r', _e(), '"}\n  '), "first\n\nlast words\n", " ")
     err = F.when(_e() % 5 == 0, _say(" broken pipe ", _e(), "\n")).otherwise("")
@@ -323,4 +324,37 @@ def heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.concat(F.col("p_name"), F.when(F.contains("p_brand", F.lit("1")), " (").otherwise(""), F.when(size % 3 == 0, ")").otherwise(""))
     heading = F.when((F.col("p_type") == "SMALL") & (size < 10), _say("第", F.get(F.split(F.lit("零一二三四五六七八九"), ""), size.cast("int")), "章 ", tail)).otherwise(_say("Chapter ", size, ": ", tail))
     rows = table(spark, sf_dir, "part").select("p_partkey", heading.alias("h"), N.page_range(_say("pages:", k % 7, "-", size), F.lit(40)).alias("r"))
-    return rows.select("p_partkey", N.chapter_ordinal(F.col("h")).alias("number"), N.complete_heading(F.col("h")).alias("complete"), "r.first", "r.last")
\ No newline at end of file
+    return rows.select("p_partkey", N.chapter_ordinal(F.col("h")).alias("number"), N.complete_heading(F.col("h")).alias("complete"), "r.first", "r.last")
+
+
+_KIND = "(event_id * 7 + user_id) % 9"
+
+
+@query(f"""WITH e AS (SELECT user_id AS task, event_id, {_KIND} AS k, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
+s AS (SELECT task, event_id, CASE k WHEN 0 THEN '{P.LOG_INIT}' WHEN 1 THEN event_type || event_id WHEN 2 THEN 'd' || event_id WHEN 3 THEN '{P.LOG_SAID["thread.started"]}' WHEN 4 THEN '{P.LOG_SAID["turn.started"]}'
+  WHEN 5 THEN 'i' || event_type WHEN 6 THEN '{P.LOG_SAID["result"]}' WHEN 7 THEN 'plain ' || event_type END AS said FROM e WHERE back <= 80)
+SELECT task, coalesce(string_agg(said, chr(10) ORDER BY event_id), '{P.LOG_NOTHING}') AS summary FROM s GROUP BY task""")
+def log_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, kind = F.col("event_id"), F.col("event_type")
+    line = _pick(
+        e * 7 + F.col("user_id"), '{"type":"system","subtype":"init"}', _say('{"type":"assistant","message":{"content":[{"type":"text","text":" ', kind, e, ' "},{"type":"tool"},{"text":"  "}]}}'),
+        _say('{"type":"stream_event","event":{"delta":{"text":"d', e, '"}}}'), '{"type":"thread.started"}', '{"type":"turn.started"}', _say('{"type":"item.completed","item":{"text":"i', kind, '"}}'),
+        '{"type":"result","result":"r"}', _say("  plain ", kind, " "), '{"type":"other"}',
+    )
+    logs = table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), "event_id", line.alias("line")).groupBy("task").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("x"))
+    return logs.select("task", A.summary(F.concat(F.array_join(F.transform("x", lambda r: r["line"]), "\n"), F.lit("\n"))).alias("summary"))
+
+
+@query("""WITH e AS (SELECT user_id AS task, event_id AS i, event_type, event_id % 6 AS r FROM events),
+k AS (SELECT task, arg_min('m' || event_type, i) FILTER (event_type = 'view') AS model, arg_min('s' || i, i) FILTER (event_type = 'view') AS session FROM e GROUP BY task),
+a AS (SELECT *, last_value(CASE WHEN r < 5 THEN i END IGNORE NULLS) OVER (PARTITION BY task ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ai, max(i) FILTER (r IN (2, 3, 4)) OVER (PARTITION BY task) AS since FROM e WHERE event_type = 'purchase'),
+v AS (SELECT *, CASE WHEN r = 2 THEN 's' || i WHEN ai % 6 IN (1, 3) THEN 'v' || ai END AS value FROM a),
+f AS (SELECT task, arg_max(CASE WHEN ai IS NULL THEN '' WHEN ai % 6 IN (1, 3) THEN '{"translations":{"a":"v' || ai || '"}}' ELSE 'text ' || ai END, i) AS answer, arg_min(value, i) FILTER (value IS NOT NULL AND (since IS NULL OR i >= since)) AS structured FROM v GROUP BY task)
+SELECT task, session, model, coalesce(answer, '') AS answer, structured FROM k LEFT JOIN f USING (task)""")
+def structured_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    text, read = _say('"result":"text ', e, '"'), _say('"result":"{\\"translations\\":{\\"a\\":\\"v', e, '\\"}}"')
+    output = _pick(e, text, read, _say(text, ',"structured_output":{"translations":{"a":"s', e, '"}}'), _say(read, ',"structured_output":{"other":1}'), _say(text, ',"structured_output":{"other":1}'), '"x":1')
+    line = F.when(F.col("event_type") == "purchase", _say('{"type":"result",', output, "}")).when(F.col("event_type") == "view", _say('{"model":"m', F.col("event_type"), '","session_id":"s', e, '"}')).otherwise("{broken")
+    found = A.structured_results(_lines(spark, sf_dir, line), "task", "event_id", "translations map<string, string>")
+    return found.select("task", "session", "model", "answer", F.col("structured.translations")["a"].alias("structured"))

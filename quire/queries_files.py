@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quire.functions import numbers as N
 from quire.operators import chapters as C
+from quire.operators import desk as K
 from quire.operators import documents as D
 from quire.operators import state as S
 from quire.plans.scratch import scratch_root
@@ -108,3 +110,32 @@ def recovered_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks after a crash: what was running or queued is paused."""
     status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
     return S.recover(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id"), status.alias("status")))
+
+
+@query("""WITH w AS (SELECT user_id, event_id, ['reader-font-size', 'sidebar-width', 'ai-sidebar-width', 'theme'][(event_id % 4 + 1)::INT] AS key, value * 10 AS v FROM events),
+l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY event_id DESC) = 1)
+SELECT user_id, key, CASE WHEN key = 'theme' THEN 'v' || event_id ELSE floor(least(CASE key WHEN 'reader-font-size' THEN 160 WHEN 'sidebar-width' THEN 560 ELSE 720 END, greatest(CASE key WHEN 'reader-font-size' THEN 80 WHEN 'sidebar-width' THEN 280 ELSE 340 END, v)) + 0.5)::BIGINT::VARCHAR END AS value FROM l""")
+def saved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings by key, numbers clamped and rounded, the last write of each reader and key."""
+    e = F.col("event_id")
+    key = F.get(F.array(*map(F.lit, ("reader-font-size", "sidebar-width", "ai-sidebar-width", "theme"))), (e % 4).cast("int"))
+    value = F.when(e % 4 == 3, F.concat(F.lit("v"), e.cast("string"))).otherwise((F.col("value") * 10).cast("string"))
+    writes = table(spark, sf_dir, "events").select("user_id", key.alias("key"), "event_id", value.alias("value"))
+    return S.latest(writes.withColumn("value", N.setting_value(F.col("key"), F.col("value"))), ["user_id", "key"], ["event_id"]).select("user_id", "key", "value")
+
+
+@query("""SELECT user_id AS book_id, event_type AS runtime, 's' || event_id AS session, event_id AS updated_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1""")
+def saved_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worker sessions by book and runtime, the last write of each."""
+    e = F.col("event_id")
+    writes = table(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), F.col("event_type").alias("runtime"), e.alias("updated_at"), F.concat(F.lit("s"), e.cast("string")).alias("session"))
+    return S.latest(writes, ["book_id", "runtime"], ["updated_at"])
+
+
+@query("""WITH d AS (SELECT doc_id, (octet_length(encode(coalesce(text, ''))) * CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 16 ELSE 2048 END)::BIGINT AS n FROM documents)
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024 + 0.000001) || ' KB' ELSE printf('%.1f', n / 1048576 + 0.000001) || ' MB' END AS size FROM d""")
+def size_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of texts as shown in lists."""
+    k = F.col("doc_id") % 3
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * F.when(k == 0, 1).when(k == 1, 16).otherwise(2048)
+    return table(spark, sf_dir, "documents").select("doc_id", K.byte_count(n).alias("size"))
