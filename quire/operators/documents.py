@@ -10,6 +10,7 @@ from quire.functions import numbers as N
 from quire.functions import patterns as P
 from quire.functions import text as X
 from quire.functions import url as U
+from quire.functions.arrays import bind
 from quire.plans.scratch import Scratch
 
 
@@ -27,22 +28,24 @@ def block_texts(chapters: DataFrame, page_id: str = "page_id", html: str = "html
 
     A body ends where ``</tag`` stands first behind the opening, and is empty if it stands nowhere.
     """
-    element = F.lit(P.BLOCK_ELEMENT)
     rows = chapters.select(
-        F.col(page_id).alias("page_id"), F.split(F.col(html), P.BLOCK_ELEMENT, -1).alias("parts"),
-        *[F.regexp_extract_all(F.col(html), element, k).alias(n) for k, n in enumerate(("opening", "tag", "block_id"))],
-    )
-    each = F.transform("tag", lambda t, i: F.struct(i.alias("ord"), F.get("block_id", i).alias("block_id"), X.lower_ascii(t).alias("tag"), F.get("parts", i + 1).alias("part"), t.alias("_t")))
-    rows = rows.select("page_id", "parts", "opening", F.inline(each))
-    close = F.concat(F.lit("</"), "tag")
-    near = F.instr(X.lower_ascii(F.col("part")), close)
-    # The closing tag is nearly always in front of the next opening; only else the rest of the page is put together.
+        F.col(page_id).alias("page_id"), F.split(F.col(html), P.BLOCK_ELEMENT, -1).alias("parts"), F.regexp_extract_all(F.col(html), F.lit(P.BLOCK_ELEMENT), 0).alias("opening")
+    )
     n = F.size("opening")
-    later = F.transform(F.when(F.col("ord") + 1 < n, F.sequence(F.col("ord") + 1, n - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.concat(F.get("opening", j), F.get("parts", j + 1)))
-    rest = F.concat("part", F.array_join(later, ""))
-    far = F.instr(X.lower_ascii(rest), close)
-    inner = F.when(near > 0, F.left("part", near - 1)).otherwise(F.when(far > 0, F.left(rest, far - 1)).otherwise(F.lit("")))
-    return rows.select("page_id", "ord", "block_id", "tag", inner.alias("inner"))
+
+    def inner(i: Column, tag: Column) -> Column:
+        close, part = F.concat(F.lit("</"), tag), F.get("parts", i + 1)
+        cut = lambda text, other: bind(F.instr(X.lower_ascii(text), close), lambda at: F.when(at > 0, F.left(text, at - 1)).otherwise(other))
+        # The closing tag is nearly always in front of the next opening; only else the rest of the page is put together.
+        later = F.transform(F.when(i + 1 < n, F.sequence(i + 1, n - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.concat(F.get("opening", j), F.get("parts", j + 1)))
+        return cut(part, cut(F.concat(part, F.array_join(later, "")), F.lit("")))
+
+    def block(opening: Column, i: Column) -> Column:
+        tag = X.lower_ascii(F.regexp_extract(opening, P.BLOCK_ELEMENT, 1))
+        return bind(tag, lambda t: F.struct(i.alias("ord"), F.regexp_extract(opening, P.BLOCK_ELEMENT, 2).alias("block_id"), t.alias("tag"), inner(i, t).alias("inner")))
+
+    # Bodies are cut inside the array, so that no block carries its whole page along.
+    return rows.select("page_id", F.inline(F.transform("opening", block)))
 
 
 def block_text_view(texts: DataFrame) -> DataFrame:

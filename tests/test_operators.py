@@ -124,7 +124,7 @@ def test_agents(spark):
     assert {(r.name, r.stopped) for r in A.tool_spans(spans, "task", "n").collect()} == {("a", 2), ("b", None)}
     logs = spark.createDataFrame([("", 'x\n{"error":"bad"}\nlast'), (" boom ", "y"), ("", "p\nq\n")], "stderr string, stdout string")
     assert [r.detail for r in A.failure_detail(logs).collect()] == ["bad", "boom", "q"]
-    assert spark.createDataFrame([('a\n{"item":{"text":"b"}}\n{"k":1}',)], "x string").select(A.summary(F.col("x"))).first()[0] == "a\nb"
+    assert spark.createDataFrame([('a\n{"type":"item.completed","item":{"text":"b"}}\n{"k":1}',)], "x string").select(A.summary(F.col("x"))).first()[0] == "a\nb"
 
 
 def test_sources(spark, tmp_path):
