@@ -135,6 +135,29 @@ def admit(highlights: DataFrame, keys: Sequence[str], ident: str, start: str, en
     return kept.withColumnsRenamed({"i": ident, "s": start, "e": end})
 
 
+def create_annotations(requests: DataFrame, keys: Sequence[str], block: Sequence[str], ident: str = "id") -> DataFrame:
+    """``ident, result, existing`` of requests in order of ``ident``: refused (the error), created, existing, or overlap.
+
+    ``requests`` has kind, color, note, start, end and the columns named: a request that agrees with a stored one in ``keys`` gives that one back
+    (``existing``); a highlight that overlaps a stored one of its ``block`` is refused. Of equal requests only the first can be stored, and what refuses
+    it refuses the others too.
+    """
+    judged = requests.withColumn("_error", annotation_error(F.col("kind"), F.col("color"), F.col("note")))
+    valid = judged.where("_error IS NULL")
+    firsts = valid.groupBy(*keys).agg(F.min(ident).alias("_first"))
+    matched = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    both = matched[0]
+    for m in matched[1:]:
+        both = both & m
+    asked = valid.alias("r").join(firsts.alias("f"), both).select("r.*", "f._first")
+    stored = admit(asked.where((F.col("kind") == "highlight") & (F.col(ident) == F.col("_first"))), block, ident, "start", "end").select(F.col(ident).alias("_stored"))
+    known = asked.join(stored, F.col("_first") == F.col("_stored"), "left")
+    refused = (F.col("kind") == "highlight") & F.col("_stored").isNull()
+    result = F.when(refused, "overlap").when(F.col(ident) == F.col("_first"), "created").otherwise("existing")
+    done = known.select(ident, result.alias("result"), F.when(result == "existing", F.col("_first")).alias("existing"))
+    return done.unionByName(judged.where("_error IS NOT NULL").select(ident, F.col("_error").alias("result"), F.lit(None).cast(requests.schema[ident].dataType).alias("existing")))
+
+
 def absolute_ranges(blocks: DataFrame, ranges: DataFrame, book: str, block: str, order: str, length: str, start: str, end: str) -> DataFrame:
     """Block-relative ranges as offsets in the whole book, by the lengths of the blocks before."""
     before = F.coalesce(F.sum(length).over(Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -17,13 +17,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_SCOPES: list[list[Scratch]] = []
+_SCOPES: list[list[Scratch | _Folder]] = []
 
 
 @contextmanager
 def scratch_scope() -> Iterator[None]:
     """Within it operators may be called and their results written; at its end the tables they made are deleted."""
-    made: list[Scratch] = []
+    made: list[Scratch | _Folder] = []
     _SCOPES.append(made)
     try:
         yield
@@ -65,6 +65,27 @@ class Scratch:
         self._fs.cancelDeleteOnExit(self._at)
 
 
+class _Folder:
+    def __init__(self, spark: SparkSession, path: str):
+        self._at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = self._at.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._at)
+        self._fs.deleteOnExit(self._at)
+
+    def drop(self) -> None:
+        self._fs.delete(self._at, True)
+        self._fs.cancelDeleteOnExit(self._at)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new empty folder for files and checkpoints, deleted like scratch tables."""
+    path = f"{scratch_root(spark)}/quire-{uuid.uuid4().hex}"
+    folder = _Folder(spark, path)
+    if _SCOPES:
+        _SCOPES[-1].append(folder)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the scratch folder and read it back; for tables that the result still reads."""
     return Scratch(df).df

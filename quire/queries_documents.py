@@ -12,6 +12,7 @@ from quire.functions import text as X
 from quire.functions import url as U
 from quire.operators import documents as D
 from quire.operators import ledger as L
+from quire.plans.ordering import group_places
 from quire.register import filer
 from quire.sources.tables import table
 
@@ -225,9 +226,8 @@ rg AS (SELECT book, row_number() OVER w AS ord, title, page AS first, coalesce(l
 
 
 def _paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window
-
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("page"), "doc_id")
+    # Few and large books: places are counted over ranges, not by one task a book.
+    pages = group_places(table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id"), "book", [F.col("doc_id")], "page").withColumn("page", F.col("page").cast("int"))
     starts = pages.where("page % 7 = 3").select("book", "page", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("title"))
     return pages, D.chapter_ranges(starts, pages.groupBy("book").agg(F.count("*").alias("pages")))
 

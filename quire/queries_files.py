@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,7 +11,7 @@ from quire.operators import chapters as C
 from quire.operators import desk as K
 from quire.operators import documents as D
 from quire.operators import state as S
-from quire.plans.scratch import scratch_root
+from quire.plans.scratch import scratch_folder
 from quire.queries_documents import book_of
 from quire.queries_library import _HOST, _QUALITY, _quality
 from quire.register import filer
@@ -25,10 +23,6 @@ ORACLES: dict = {}
 query = filer(QUERIES, ORACLES)
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/quire-files-{uuid.uuid4().hex}"
-
-
 @query(r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
 g AS (SELECT conv_id, string_agg(text, '|' ORDER BY turn) AS whole, count(*) AS n, max(length(text)) AS longest, sum(length(text)) AS total FROM t GROUP BY conv_id)
 SELECT conv_id, CASE WHEN longest % 7 <> 0 AND total % 11 <> 0 AND total % 13 <> 0 THEN n END AS n_texts, CASE WHEN longest % 7 <> 0 AND total % 11 <> 0 AND total % 13 <> 0 THEN md5(whole) END AS digest FROM g""")
@@ -52,7 +46,7 @@ def published_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     book = book_of(F.col("url"))
     passed = C.publishable(_quality(spark, sf_dir, "present OR page_id % 2 = 0"), pages.select(book.alias("book")).where("char_length(book) % 3 = 0"))
-    root = _folder(spark)
+    root = scratch_folder(spark)
     chapters = pages.select(book.alias("book_id"), F.col("page_id").alias("ord"), F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("chapter_id"), F.col("html").alias("text"))
     publish.publish(chapters, passed.select(F.col("book").alias("book_id")), root, "v1")
     lines = publish.published(spark, root, "v1")
@@ -66,7 +60,7 @@ a AS (SELECT *, count(nullif(given, 0)) OVER (PARTITION BY user_id ORDER BY n) A
 SELECT user_id::VARCHAR AS task, event_id, event_type AS kind, known + row_number() OVER (PARTITION BY user_id, anchor ORDER BY n) - CASE WHEN anchor = 0 THEN 0 ELSE 1 END AS seq FROM a""")
 def event_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event logs as files: an older array of the first four events of each task, then lines; events without a number are numbered on."""
-    root = _folder(spark)
+    root = scratch_folder(spark)
     events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task"), "event_id", F.col("event_type").alias("kind"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("n"))
     seq = F.when((F.col("n") <= 4) | (F.col("event_id") % 3 == 0), 0).otherwise(F.col("n") * 2).cast("long")
     events = events.withColumn("json", F.to_json(F.struct("event_id", "kind", seq.alias("seq"))))
@@ -81,7 +75,7 @@ def event_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_type, max(event_id) AS seq FROM s, half WHERE event_id <= h GROUP BY user_id, event_type""")
 def snapshot_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of a state table, then the older one restored by its place in the list."""
-    root = _folder(spark)
+    root = scratch_folder(spark)
     events = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("seq"))
     half = (events.agg(F.max("seq")).first()[0] or 0) // 2
     for name, rows in (("auto-20260101-000000", events.where(F.col("seq") <= half)), ("manual-20260102-000000", events)):

@@ -125,6 +125,30 @@ def highlight_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.admit(_annotations(spark, sf_dir).where("kind = 'highlight'"), ["book_id"], "id", "s", "e").select("book_id", "id")
 
 
+_REQUESTS = """rq AS (SELECT event_id AS id, user_id AS book_id, floor(value)::INT % 4 AS block, regexp_extract(props, '"k":\\s*([0-9]+)', 1)::INT % 12 AS s, CASE event_type WHEN 'click' THEN 'note' WHEN 'error' THEN 'bookmark' ELSE 'highlight' END AS kind,
+CASE WHEN event_type IN ('click', 'error') THEN NULL WHEN event_id % 5 = 0 THEN 'red' ELSE 'pink' END AS color, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'n' END END AS note FROM events),
+er AS (SELECT *, s + 1 + id % 2 AS e, CASE kind WHEN 'highlight' THEN CASE WHEN color = 'red' THEN 'color' END WHEN 'note' THEN CASE WHEN trim(note) = '' THEN 'note' END END AS error FROM rq),
+fi AS (SELECT *, min(id) OVER (PARTITION BY book_id, block, s, e, kind, color, note) AS first FROM er WHERE error IS NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_REQUESTS}, h AS (SELECT *, row_number() OVER (PARTITION BY book_id, block ORDER BY id) AS n FROM fi WHERE kind = 'highlight' AND id = first),
+f AS (SELECT book_id, block, n, [{{'i': id, 's': s, 'e': e}}] AS acc FROM h WHERE n = 1
+  UNION ALL SELECT h.book_id, h.block, h.n, CASE WHEN len(list_filter(f.acc, lambda y: y.s < h.e AND h.s < y.e)) > 0 THEN f.acc ELSE list_append(f.acc, {{'i': h.id, 's': h.s, 'e': h.e}}) END FROM f JOIN h ON h.book_id = f.book_id AND h.block = f.block AND h.n = f.n + 1),
+z AS (SELECT unnest(arg_max(acc, n)) AS x FROM f GROUP BY book_id, block), st AS (SELECT x.i AS id FROM z)
+SELECT id, CASE WHEN kind = 'highlight' AND first NOT IN (SELECT id FROM st) THEN 'overlap' WHEN id = first THEN 'created' ELSE 'existing' END AS result,
+  CASE WHEN NOT (kind = 'highlight' AND first NOT IN (SELECT id FROM st)) AND id <> first THEN first END AS existing FROM fi
+UNION ALL SELECT id, error, NULL FROM er WHERE error IS NOT NULL""")
+def annotation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, e, t = F.col("event_type"), F.col("event_id"), F.col("event_type").isin("click", "error")
+    start = F.get_json_object("props", "$.k").cast("int") % 12
+    requests = table(spark, sf_dir, "events").select(
+        e.alias("id"), F.col("user_id").alias("book_id"), (F.floor("value").cast("int") % 4).alias("block"), start.alias("start"), (start + 1 + e % 2).alias("end"),
+        F.when(kind == "click", "note").when(kind == "error", "bookmark").otherwise("highlight").alias("kind"),
+        F.when(t, F.lit(None).cast("string")).when(e % 5 == 0, "red").otherwise("pink").alias("color"), F.when(kind == "click", F.when(e % 7 == 0, " ").otherwise("n")).alias("note"),
+    )
+    return S.create_annotations(requests, ["book_id", "block", "start", "end", "kind", "color", "note"], ["book_id", "block"])
+
+
 @query(f"""WITH {_NOTES}, b AS (SELECT DISTINCT book_id, s AS block, 1 + s % 5 AS len FROM an), o AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY book_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
 SELECT an.id, (before + least(0, len))::BIGINT AS abs_start, (before + least(an.e - an.s, len))::BIGINT AS abs_end FROM an JOIN o ON o.book_id = an.book_id AND o.block = an.s""")
 def absolute_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

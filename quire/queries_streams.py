@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quire.operators import documents as D
 from quire.operators import mapper as M
-from quire.plans.scratch import scratch_root
+from quire.plans.scratch import scratch_folder
 from quire.register import filer
 from quire.sources.tables import table
 from quire.streaming import events as E
@@ -24,10 +22,6 @@ query = filer(QUERIES, ORACLES)
 TURNS = 3
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/quire-stream-{uuid.uuid4().hex}"
-
-
 _TASK_EVENTS = f"""te AS (SELECT user_id::VARCHAR AS task_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_type, value FROM events),
 tf AS (SELECT task_id, CASE WHEN event_id % 10 = 3 THEN greatest(1, n - 2) ELSE n END AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'text_delta' ELSE event_type END AS type,
   CASE WHEN event_type IN ('view', 'click') THEN event_type || ':' || event_id || ';' ELSE '' END AS text, ((event_id * {TURNS}) // (SELECT max(event_id) + 1 FROM events))::INT AS turn FROM te)"""
@@ -52,7 +46,7 @@ once AS (SELECT * FROM seen WHERE seq > before QUALIFY row_number() OVER (PARTIT
 SELECT task_id, coalesce(string_agg(text, '' ORDER BY seq) FILTER (type = 'text_delta'), '') AS partial, arg_max(type, seq) FILTER (type <> 'text_delta') AS phase, max(seq)::BIGINT AS last_seq FROM once GROUP BY task_id""")
 def live_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of task events as a stateful stream into a keyed table, over three runs from one checkpoint."""
-    folder = _folder(spark)
+    folder = scratch_folder(spark)
     schema = StructType.fromDDL(E.LIVE)
     live = KeyedTable(spark, f"{folder}/live", schema, ["task_id"], "last_seq", compact_after=2)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
@@ -68,7 +62,7 @@ def live_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT book_id, chapter_id, seq, value FROM s QUALIFY row_number() OVER (PARTITION BY book_id, chapter_id ORDER BY seq DESC) = 1 AND NOT gone""")
 def progress_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Progress saves streamed into a keyed table that is merged when read: last write wins, some saves delete."""
-    folder = _folder(spark)
+    folder = scratch_folder(spark)
     e = F.col("event_id")
     saves = table(spark, sf_dir, "events").select(F.col("user_id").alias("book_id"), F.col("event_type").alias("chapter_id"), e.alias("seq"), "value", (e % 9 == 0).alias("gone"), F.pmod(F.xxhash64("event_id"), F.lit(TURNS)).alias("turn"))
     kept = KeyedTable(spark, f"{folder}/progress", saves.drop("turn").schema, ["book_id", "chapter_id"], "seq", "gone", compact_after=2)
@@ -89,7 +83,7 @@ def subscriber_catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polls as a stream against a snapshot and a log that keeps the last events: whoever lags gets the snapshot again."""
     from pyspark.sql import Window
 
-    folder = _folder(spark)
+    folder = scratch_folder(spark)
     numbered = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("task"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("seq"), F.col("event_type").alias("body"), "value")
     log = numbered.select("task", "seq", "body")
     heads = log.groupBy("task").agg(F.max("seq").alias("head")).select("task", (F.col("head") - F.col("head") % 5).alias("version"))
