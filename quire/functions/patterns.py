@@ -97,3 +97,5 @@ UUID = r"(?i)^[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}$"
 LANGUAGE = r"^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$"
 ALLOWED = ["html", "htm", "css", "json", "jpg", "jpeg", "png", "gif", "webp", "avif", "ico", "woff", "woff2", "ttf", "txt"]
 COVERS = ["cover.jpg", "cover.jpeg", "cover.png", "cover.webp"]
+# What a live task is shown to do after each kind of event.
+PHASE_TOOL, PHASES = "Agent 正在使用", {"tool_completed": "Agent 正在组织回答", "turn_completed": "回答完成", "cancelled": "请求已停止"}

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import numbers as N
 from quire.functions import patterns as P
 from quire.plans.groups import each_group
 from quire.plans.ordering import group_places
@@ -81,6 +82,17 @@ def batches(entries: DataFrame, book: str, ident: str, chars: Column, most: int
     return packed.withColumnRenamed("_id", ident)
 
 
+def progress(done: DataFrame, totals: DataFrame, book: str, order: str) -> DataFrame:
+    """``book, order, blocks, chars, eta_ms`` after each finished batch: what is done so far, and the time that the rest takes at the speed of this session.
+
+    ``done`` has book, n_blocks, n_chars, elapsed_ms (since the session began); ``totals`` has book, all_chars, reused_chars, which no session has to do again.
+    """
+    upto = Window.partitionBy(book).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = done.withColumn("blocks", F.sum("n_blocks").over(upto)).withColumn("fresh", F.sum("n_chars").over(upto)).join(totals, book)
+    eta = N.eta_ms(F.col("fresh"), F.greatest(F.col("all_chars") - F.col("reused_chars"), F.lit(0)), F.col("elapsed_ms"))
+    return rows.select(book, order, "blocks", (F.col("fresh") + F.col("reused_chars")).alias("chars"), eta.alias("eta_ms"))
+
+
 def halves(entries: DataFrame, group: str, ident: str, chars: str, both: bool = False) -> DataFrame:
     """The left half takes entries in order until it holds half of all characters, one at least; with ``both`` the right half of two or more gets the last one at least."""
     w = Window.partitionBy(group).orderBy(ident)

@@ -174,13 +174,21 @@ def sustained_failures(log: DataFrame, key: str, ts: str, failed: Column, second
     return runs.select("key", "first_s", "last_s", "n", (F.col("last_s") - F.col("first_s") >= seconds).alias("aborted"))
 
 
+def phase_of(kind: Column, text: Column) -> Column:
+    """What a task is shown to do after an event: text deltas stay ``text_delta``, others become their label, or blank where nothing new is shown."""
+    out = F.when(kind == "text_delta", kind).when(kind.isin("phase", "execution_error"), F.coalesce(text, F.lit(""))).when(kind == "tool_started", F.concat(F.lit(P.PHASE_TOOL), F.coalesce(text, F.lit(""))))
+    for name, label in P.PHASES.items():
+        out = out.when(kind == name, label)
+    return out.otherwise("")
+
+
 def fold_stream(log: DataFrame, task: str, seq: str, kind: str, text: str) -> DataFrame:
-    """The live state of each task: text deltas in order, the last phase, the last sequence; a sequence counts once."""
+    """The live state of each task: text deltas in order, the last phase that isn't blank, the last sequence; a sequence counts once."""
     once = log.groupBy(task, seq).agg(F.min(F.struct(kind, text)).alias("r")).select(task, seq, F.col("r")[kind].alias("k"), F.col("r")[text].alias("t"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("k") == "text_delta", F.struct(F.col(seq), F.col("t")))))
     return once.groupBy(task).agg(
         F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias("partial"),
-        F.max(F.when(F.col("k") != "text_delta", F.struct(F.col(seq), F.col("k"))))["k"].alias("phase"),
+        F.max(F.when(~F.col("k").isin("text_delta", ""), F.struct(F.col(seq), F.col("k"))))["k"].alias("phase"),
         F.max(seq).alias("last_seq"),
     )
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import numbers as N
 from quire.functions import patterns as P
 from quire.functions import text as X
+from quire.operators import ledger as L
 from quire.operators import shelf as H
 from quire.operators import state as S
 from quire.register import filer
@@ -312,3 +313,27 @@ def annotation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     color = F.when((kind == "highlight") & (i % 5 == 2), "yellow")
     note = F.when((kind == "note") & (i % 3 != 0), "text").when(kind == "note", "  ")
     return _annotations(spark, sf_dir).select("id", S.annotation_error(kind, color, note).alias("error"))
+
+
+@query(f"""WITH e AS (SELECT user_id AS task, event_id AS seq, ['phase', 'text_delta', 'tool_started', 'tool_completed', 'turn_completed', 'cancelled', 'execution_error', 'turn_started'][((event_id * 5 + user_id) % 8 + 1)::INT] AS kind, event_type AS text FROM events),
+p AS (SELECT *, CASE kind WHEN 'phase' THEN text WHEN 'execution_error' THEN text WHEN 'tool_started' THEN '{P.PHASE_TOOL}' || text WHEN 'tool_completed' THEN '{P.PHASES["tool_completed"]}'
+  WHEN 'turn_completed' THEN '{P.PHASES["turn_completed"]}' WHEN 'cancelled' THEN '{P.PHASES["cancelled"]}' END AS phase FROM e)
+SELECT task, coalesce(string_agg(text, '' ORDER BY seq) FILTER (kind = 'text_delta'), '') AS partial, arg_max(phase, seq) FILTER (phase IS NOT NULL) AS phase, max(seq) AS last_seq FROM p GROUP BY task""")
+def live_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ("phase", "text_delta", "tool_started", "tool_completed", "turn_completed", "cancelled", "execution_error", "turn_started")
+    kind = F.get(F.array(*map(F.lit, kinds)), ((F.col("event_id") * 5 + F.col("user_id")) % 8).cast("int"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("task"), F.col("event_id").alias("seq"), S.phase_of(kind, F.col("event_type")).alias("kind"), F.col("event_type").alias("text"))
+    return S.fold_stream(log, "task", "seq", "kind", "text")
+
+
+@query("""WITH d AS (SELECT o_custkey AS book, o_orderkey AS n, count(*) AS n_blocks, sum(l_quantity)::BIGINT AS n_chars FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+s AS (SELECT *, sum(n_blocks) OVER w AS blocks, sum(n_chars) OVER w AS fresh, sum(n_chars) OVER (PARTITION BY book) + 500 AS whole, row_number() OVER (PARTITION BY book ORDER BY n) * 1000 AS ms FROM d WINDOW w AS (PARTITION BY book ORDER BY n))
+SELECT book, n, blocks::BIGINT AS blocks, (fresh + 100)::BIGINT AS chars, CASE WHEN fresh > 0 AND fresh < whole - 100 THEN (ms * (whole - 100 - fresh) // fresh)::BIGINT END AS eta_ms FROM s""")
+def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book"), F.col("o_orderkey").alias("n"))
+    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("n")).agg(F.count("*").alias("n_blocks"), F.sum("l_quantity").cast("long").alias("n_chars"))
+    done = orders.join(sizes, "n").withColumn("elapsed_ms", (F.row_number().over(Window.partitionBy("book").orderBy("n")) * 1000).cast("long"))
+    totals = done.groupBy("book").agg((F.sum("n_chars") + 500).alias("all_chars"), F.lit(100).cast("long").alias("reused_chars"))
+    return L.progress(done, totals, "book", "n")

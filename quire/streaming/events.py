@@ -23,7 +23,7 @@ def tail(spark: SparkSession, path: str, schema: StructType, files_a_batch: int
 
 
 class LiveState(StatefulProcessor):
-    """Text so far, last phase and last sequence of a task; events at or before the last sequence are ignored, repeats within a batch too."""
+    """Text so far, last phase that isn't blank and last sequence of a task; events at or before the last sequence are ignored, repeats within a batch too."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("live", "partial string, phase string, last_seq long")
@@ -39,7 +39,7 @@ class LiveState(StatefulProcessor):
             last = int(seq)
             if kind == "text_delta":
                 added.append(text)
-            else:
+            elif kind:
                 phase = kind
         partial += "".join(added)
         self.state.update((partial, phase, last))
