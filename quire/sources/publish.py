@@ -59,6 +59,9 @@ def publish(chapters: DataFrame, passed: DataFrame, root: str, version: str) ->
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
+    at, fs = _fs(spark, path)
+    if not any(s.getPath().getName().startswith("book_id=") for s in fs.listStatus(at(path))):
+        return spark.createDataFrame([], "value string, book_id string")  # a version without books has no folder to take book_id from
     return spark.read.schema("value string, book_id string").option("lineSep", "\n").text(path)
 
 

@@ -112,3 +112,11 @@ def test_publish(spark, tmp_path):
     (tmp_path / "shelf/v1/_PUBLISHED").unlink()
     with pytest.raises(ValueError):
         publish.published(spark, root, "v1")
+
+
+def test_publish_no_book(spark, tmp_path):
+    root = str(tmp_path / "shelf")
+    chapters = spark.createDataFrame([("a", 1, "c1", "text")], "book_id string, ord int, chapter_id string, text string")
+    assert publish.publish(chapters, spark.createDataFrame([], "book_id string"), root, "v1").collect() == []
+    lines = publish.published(spark, root, "v1")
+    assert lines.collect() == [] and lines.columns == ["book_id", "n", "line"]
