@@ -198,10 +198,10 @@ def events_since(log: DataFrame, seq: str, after: int) -> DataFrame:
     return log.where((F.col(seq) == 0) | (F.col(seq) > after))
 
 
-def merge_events(old: DataFrame, new: DataFrame, ident: str) -> DataFrame:
-    """Union by id; the newer batch wins."""
+def merge_events(old: DataFrame, new: DataFrame, *ident: str) -> DataFrame:
+    """Union by id; the newer batch wins. An id that holds within one log only is named with the log's column."""
     both = old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-    return latest(both, [ident], ["_v"]).drop("_v")
+    return latest(both, ident, ["_v"]).drop("_v")
 
 
 def stage_progress(stage: Column) -> Column:
