@@ -142,9 +142,19 @@ def valid_translation(original: Column, translated: Column) -> Column:
     return F.coalesce((F.trim(translated) != "") & (placeholders(original) == placeholders(translated)), F.lit(False))
 
 
+def _paths(found: DataFrame, ident: str, path: str) -> DataFrame:
+    return found.groupBy(ident).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(path)).alias("paths"))
+
+
+def conflicting(found: DataFrame, ident: str, path: str) -> DataFrame:
+    """``ident, n, detail``: one row for every id that was seen more than once; the detail lists its paths in order, null if none is known."""
+    detail = F.when(F.size("paths") > 0, F.array_join("paths", "；"))
+    return _paths(found, ident, path).where("n > 1").select(ident, "n", detail.alias("detail"))
+
+
 def conflicts(found: DataFrame, ident: str, path: str) -> tuple[DataFrame, DataFrame]:
-    """Ids seen once, and one issue for every path of an id that was seen more often (it lists them all)."""
-    by = found.groupBy(ident).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(path)).alias("paths"))
+    """Ids seen once, and one issue for every path of an id that was seen more often (it lists them all, so issues grow with the square of an id's paths)."""
+    by = _paths(found, ident, path)
     once = by.where("n = 1").select(ident, F.get("paths", F.lit(0)).alias(path))
     issues = by.where("n > 1").select(F.explode("paths").alias(path), ident, F.array_join("paths", "；").alias("detail"))
     return once, issues

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
+from pyspark.sql import functions as F
 from test_queries import rows
 
 from quire.catalog import ORACLES, QUERIES
@@ -21,3 +24,14 @@ def same(spark, folder, name, table, df):
 def test_events_of_two_logs_share_ids(spark, tmp_path):
     events = spark.createDataFrame([(i, f"k{i % 7}") for i in (0, 1, 99, 100, 300, 1_000_000, 1_000_001, 1_000_100, 1_000_300, 2_000_000)], "event_id long, event_type string")
     assert len(same(spark, tmp_path, "event_merge", "events", events)) == 17
+
+
+def test_conflicts_without_urls(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/x"), (2, "http://a/x"), (3, "http://a/"), (4, "http://b/"), (5, None), (6, None), (7, "x"), (8, "")], "page_id long, url string")
+    assert len(same(spark, tmp_path, "conflict_catalog", "pages", pages)) == 3
+
+
+def test_conflicts_of_one_large_book(spark, tmp_path):
+    pages = spark.range(60_000).select(F.col("id").alias("page_id"), F.format_string("http://one.example/en/%s/%09d", F.lit("x" * 100), "id").alias("url"))
+    began = time.time()
+    assert same(spark, tmp_path, "conflict_catalog", "pages", pages).n.tolist() == [60_000] and time.time() - began < 60
