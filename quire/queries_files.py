@@ -59,16 +59,20 @@ s AS (SELECT *, CASE WHEN n <= 4 OR event_id % 3 = 0 THEN 0 ELSE n * 2 END AS gi
 a AS (SELECT *, count(nullif(given, 0)) OVER (PARTITION BY user_id ORDER BY n) AS anchor, coalesce(max(given) OVER (PARTITION BY user_id ORDER BY n), 0) AS known FROM s)
 SELECT user_id::VARCHAR AS task, event_id, event_type AS kind, known + row_number() OVER (PARTITION BY user_id, anchor ORDER BY n) - CASE WHEN anchor = 0 THEN 0 ELSE 1 END AS seq FROM a""")
 def event_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event logs as files: an older array of the first four events of each task, then lines; events without a number are numbered on."""
+    """Event logs as files: older arrays of the first four events of each task, then lines; events without a number are numbered on.
+
+    Tasks share files, which name the task in each event: as many files as partitions, however many tasks there are.
+    """
     root = scratch_folder(spark)
-    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task"), "event_id", F.col("event_type").alias("kind"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("n"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("task"), "event_id", F.col("event_type").alias("kind"))
+    events = events.withColumn("n", F.row_number().over(Window.partitionBy("task").orderBy("event_id")))
     seq = F.when((F.col("n") <= 4) | (F.col("event_id") % 3 == 0), 0).otherwise(F.col("n") * 2).cast("long")
-    events = events.withColumn("json", F.to_json(F.struct("event_id", "kind", seq.alias("seq"))))
-    old = events.where("n <= 4").groupBy("task").agg(F.array_sort(F.collect_list(F.struct("n", "json"))).alias("x"))
-    array = old.select("task", F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e["json"]), ",\n"), F.lit("]")).alias("value"))
-    array.repartition("task").write.partitionBy("task").text(f"{root}/arrays")
-    events.where("n > 4").repartition("task").sortWithinPartitions("task", "n").select("task", F.col("json").alias("value")).write.partitionBy("task").text(f"{root}/lines")
-    return files.event_logs(spark, StructType.fromDDL("event_id long, kind string, seq long"), f"{root}/lines", f"{root}/arrays")
+    json = F.to_json(F.struct("task", "event_id", "kind", seq.alias("seq")))
+    old = events.where("n <= 4").select("task", "n", json.alias("json")).groupBy("task").agg(F.array_sort(F.collect_list(F.struct("n", "json"))).alias("x"))
+    array = F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e["json"]), ",\n"), F.lit("]"))
+    old.select(array.alias("value")).write.option("lineSep", files.APART).text(f"{root}/arrays")
+    events.where("n > 4").select(json.alias("value")).write.text(f"{root}/lines")  # the window leaves each task in one partition, in order
+    return files.event_logs(spark, StructType.fromDDL("event_id long, kind string, seq long"), f"{root}/lines", f"{root}/arrays", files.APART)
 
 
 @query("""WITH s AS (SELECT user_id, event_type, event_id FROM events), half AS (SELECT max(event_id) // 2 AS h FROM events)

@@ -44,10 +44,15 @@ def task_events(spark: SparkSession, schema: StructType, lines: str, legacy: str
     return number_events(rows.withColumn("_at", F.monotonically_increasing_id()), "_part", "_at").drop("_part", "_at")
 
 
-def event_logs(spark: SparkSession, schema: StructType, lines: str, legacy: str | None = None) -> DataFrame:
-    """The logs of many tasks, a folder ``task=<id>`` each below ``lines`` (JSON lines) and ``legacy`` (an older JSON array): arrays first, numbered on by task.
+#: Between the arrays of a file that holds several: an empty line, which no array has inside.
+APART = "\n\n"
 
-    ``schema`` is that of an event, with ``seq``; rows count in order of their file's name and their place in it.
+
+def event_logs(spark: SparkSession, schema: StructType, lines: str, legacy: str | None = None, apart: str | None = None) -> DataFrame:
+    """The logs of many tasks below ``lines`` (JSON lines) and ``legacy`` (older JSON arrays): arrays first, numbered on by task.
+
+    ``schema`` is that of an event, with ``seq``. The task is named by a folder ``task=<id>`` of its own or, where files are shared, by each event (``task``).
+    A legacy file is one array, or several with ``apart`` between them. Rows count in order of their file's name and their place in it.
     """
     whole = StructType([*schema.fields, StructField("task", StringType())])
 
@@ -57,20 +62,17 @@ def event_logs(spark: SparkSession, schema: StructType, lines: str, legacy: str
 
     rows = read(1, lines)
     if legacy:
-        rows = read(0, legacy, multiLine="true").unionByName(rows)
+        rows = read(0, legacy, **({"lineSep": apart} if apart else {"multiLine": "true"})).unionByName(rows)
     return number_events(rows, "_part", "_where", task="task").drop("_part", "_where")
 
 
 def number_events(rows: DataFrame, part: str, at: str, seq: str = "seq", task: str | None = None) -> DataFrame:
     """Sequence 0 becomes the last known sequence plus the events since."""
-    keys = [task] if task else [F.lit(0)]
-    order = Window.partitionBy(*keys).orderBy(part, at)
-    known = F.last(F.nullif(F.col(seq), F.lit(0)), ignorenulls=True).over(order)
-    anchor = F.count(F.nullif(F.col(seq), F.lit(0))).over(order)
-    marked = rows.withColumn("_known", F.coalesce(known, F.lit(0))).withColumn("_anchor", anchor)
-    since = F.row_number().over(Window.partitionBy(*keys, "_anchor").orderBy(part, at))
-    step = F.when(F.col("_anchor") == 0, since).otherwise(since - 1)
-    return marked.withColumn(seq, (F.col("_known") + step).cast("long")).drop("_known", "_anchor")
+    order = Window.partitionBy(task or F.lit(0)).orderBy(part, at)
+    known = F.when(F.nullif(F.col(seq), F.lit(0)).isNotNull(), F.struct(F.col(seq).alias("seq"), F.col("_n").alias("n")))
+    last = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    marked = rows.withColumn("_n", F.row_number().over(order)).withColumn("_last", last)  # one sort serves both
+    return marked.withColumn(seq, F.coalesce(F.col("_last.seq") - F.col("_last.n"), F.lit(0)).cast("long") + F.col("_n")).drop("_n", "_last")
 
 
 def image_pages(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -6,9 +6,11 @@ import time
 
 import duckdb
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from test_queries import rows
 
 from quire.catalog import ORACLES, QUERIES
+from quire.sources import files
 
 
 def same(spark, folder, name, table, df):
@@ -35,3 +37,26 @@ def test_conflicts_of_one_large_book(spark, tmp_path):
     pages = spark.range(60_000).select(F.col("id").alias("page_id"), F.format_string("http://one.example/en/%s/%09d", F.lit("x" * 100), "id").alias("url"))
     began = time.time()
     assert same(spark, tmp_path, "conflict_catalog", "pages", pages).n.tolist() == [60_000] and time.time() - began < 60
+
+
+def test_logs_of_many_tasks_share_files(spark, tmp_path):
+    events = spark.range(3000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 401 != 0, F.col("id") * 7 % 400).alias("user_id"), F.concat(F.lit('k"\n\n['), F.col("id") % 3).alias("event_type"))
+    assert len(same(spark, tmp_path, "event_log_files", "events", events)) == 3000
+    assert len(QUERIES["event_log_files"](spark, str(tmp_path)).inputFiles()) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_logs_in_folders_and_in_shared_files(spark, tmp_path):
+    schema = T.StructType.fromDDL("event_id long, seq long")
+    array, lines = '[{%s"event_id":1,"seq":0},\n{%s"event_id":2,"seq":5}]', '{%s"event_id":3,"seq":0}\n{%s"event_id":4,"seq":9}\n{%s"event_id":5,"seq":0}\n'
+    for part, text in (("arrays", array), ("lines", lines)):
+        shared = []
+        for task in "ab":
+            (tmp_path / "apart" / part / f"task={task}").mkdir(parents=True)
+            (tmp_path / "apart" / part / f"task={task}" / "x.json").write_text(text.replace("%s", ""))
+            shared.append(text.replace("%s", f'"task":"{task}",'))
+        (tmp_path / "shared" / part).mkdir(parents=True)
+        (tmp_path / "shared" / part / "x.json").write_text((files.APART if part == "arrays" else "").join(shared))
+    want = [(t, e, n) for t in "ab" for e, n in ((1, 1), (2, 5), (3, 6), (4, 9), (5, 10))]
+    for layout, apart in (("apart", None), ("shared", files.APART)):
+        got = files.event_logs(spark, schema, f"{tmp_path}/{layout}/lines", f"{tmp_path}/{layout}/arrays", apart)
+        assert sorted((r.task, r.event_id, r.seq) for r in got.collect()) == want
