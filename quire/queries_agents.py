@@ -317,12 +317,43 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT p_partkey, p_size AS number, (contains(p_brand, '1') = (p_size % 3 = 0)) AS complete, CASE WHEN p_partkey % 7 BETWEEN 1 AND p_size AND p_size <= 40 THEN p_partkey % 7 END AS first,
-CASE WHEN p_partkey % 7 BETWEEN 1 AND p_size AND p_size <= 40 THEN p_size END AS last FROM part""")
+def _mod(n: str, m: int) -> str:
+    return f"((({n}) % {m} + {m}) % {m} + 1)::INT"
+
+
+def _spelled(n: Column, *places: tuple[int, list[str]]) -> Column:
+    """A number by its decimal digits: for each place the words of 0 to 9."""
+    return F.concat(*[_pick(F.floor(n / place), *words) for place, words in places])
+
+
+def _roman(n: Column) -> Column:
+    words = lambda a, b, c: ["", a, a * 2, a * 3, a + b, b, b + a, b + a * 2, b + a * 3, a + c]
+    return _spelled(n, (100, words("c", "d", "m")), (10, words("x", "l", "c")), (1, words("i", "v", "x")))
+
+
+def _chinese(n: Column) -> Column:
+    words = lambda unit: ["", *[d + unit for d in "一二三四五六七八九"]]
+    return _spelled(n, (100, words("百")), (10, words("十")), (1, words("")))
+
+
+_OPEN, _CLOSE = "(（[【", ")）]】"
+_BALANCED = " AND ".join(f"length(b) - length(replace(b, '{x}', '')) = length(b) - length(replace(b, '{y}', ''))" for x, y in zip(_OPEN, _CLOSE, strict=True))
+
+
+@query(f"""WITH p AS (SELECT *, {_mod("p_partkey + p_size", 6)} AS kind, {_mod("p_partkey * 100 + p_size", 999)} AS n FROM part),
+t AS (SELECT *, ['', '', '', '', '', '【'][kind] || p_name || CASE WHEN contains(p_brand, '1') THEN ' ' || {list(_OPEN)}[{_mod("p_partkey", 4)}] ELSE '' END || CASE WHEN p_size % 3 = 0 THEN {list(_CLOSE)}[{_mod("p_partkey + p_size // 30", 4)}] ELSE '' END AS b FROM p)
+SELECT p_partkey, CASE WHEN kind <= 4 AND b IS NOT NULL THEN n END AS number, ({_BALANCED}) AS complete, CASE WHEN p_partkey % 7 BETWEEN 1 AND p_size AND p_size <= 40 THEN p_partkey % 7 END AS first,
+CASE WHEN p_partkey % 7 BETWEEN 1 AND p_size AND p_size <= 40 THEN p_size END AS last FROM t""")
 def heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings numbered in digits, Roman and Chinese, or in no way that counts; brackets of four kinds, some open or closed by another kind; ranges of pages, some not valid."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    tail = F.concat(F.col("p_name"), F.when(F.contains("p_brand", F.lit("1")), " (").otherwise(""), F.when(size % 3 == 0, ")").otherwise(""))
-    heading = F.when((F.col("p_type") == "SMALL") & (size < 10), _say("第", F.get(F.split(F.lit("零一二三四五六七八九"), ""), size.cast("int")), "章 ", tail)).otherwise(_say("Chapter ", size, ": ", tail))
+    opened = F.when(F.contains("p_brand", F.lit("1")), _say(" ", _pick(k, *_OPEN))).otherwise("")
+    closed = F.when(size % 3 == 0, _pick(k + F.floor(size / 30), *_CLOSE)).otherwise("")
+    n, tail = F.pmod(k * 100 + size, F.lit(999)) + 1, F.concat("p_name", opened, closed)
+    heading = _pick(
+        k + size, _say("Chapter ", n, ": ", tail), _say("CHAPTER ", _roman(n), " ", tail), _say("第 ", _chinese(n), " 章 ", tail), _say("第", n, "章 ", tail),
+        _say("Chapters ", n, " ", tail), _say("【chapter ", n, " ", tail),
+    )
     rows = table(spark, sf_dir, "part").select("p_partkey", heading.alias("h"), N.page_range(_say("pages:", k % 7, "-", size), F.lit(40)).alias("r"))
     return rows.select("p_partkey", N.chapter_ordinal(F.col("h")).alias("number"), N.complete_heading(F.col("h")).alias("complete"), "r.first", "r.last")
 

@@ -60,3 +60,12 @@ def test_logs_in_folders_and_in_shared_files(spark, tmp_path):
     for layout, apart in (("apart", None), ("shared", files.APART)):
         got = files.event_logs(spark, schema, f"{tmp_path}/{layout}/lines", f"{tmp_path}/{layout}/arrays", apart)
         assert sorted((r.task, r.event_id, r.seq) for r in got.collect()) == want
+
+
+def test_headings_of_every_form(spark, tmp_path):
+    part = spark.range(12_000).select(
+        F.col("id").alias("p_partkey"), F.when(F.col("id") % 997 != 0, F.concat(F.lit("ring"), F.element_at(F.array(*map(F.lit, ("", " (a)", "（"))), (F.col("id") % 3 + 1).cast("int")))).alias("p_name"),
+        F.concat(F.lit("Brand#"), F.col("id") * 5 % 23).alias("p_brand"), F.when(F.col("id") % 991 != 0, F.pmod(F.xxhash64("id"), F.lit(50)) + 1).cast("int").alias("p_size"),
+    )
+    got = same(spark, tmp_path, "heading_numbers", "part", part)
+    assert got.number.dropna().nunique() > 990 and got.number.isna().sum() > 3000 and (got.complete == False).sum() > 1000  # noqa: E712
